@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.llm.lines import OP3_SQL, op3_line_dedup
+from docketry.llm.packing import op9_packing
 from docketry.llm.pii import op8_pii
 from docketry.llm.quality import op4_quality_rules
+from docketry.llm.warc import op5_warc_derivatives
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +20,8 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op8_pii)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_quality_rules, op5_warc_derivatives, op8_pii, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
