@@ -32,7 +32,7 @@ from docketry.llm.textbytes import LOWER, Run, runs
 
 SEQ_LEN, END_ID = 2048, 1
 #: Rows of a block of running sums, and rounds of a chunk of the stream.
-BLOCK_ROWS, CHUNK_ROUNDS = 50_000, 16_384
+BLOCK_ROWS, CHUNK_ROUNDS = 4_096, 1_024
 CACHE_WORDS = 1_200_000
 #: Marks that are cut off the end of a word whose core ends in an ASCII letter: the vocabulary's pattern
 #: ends a match there anyway, and fewer different strings are left to encode.
@@ -84,8 +84,12 @@ class WordIds:
         self.ids, self.at, self.full = np.zeros(1 << 20, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), 0
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            i, ids = len(self.known), e.ids
+        # The pattern and the normaliser leave a word of lower-case ASCII letters as it is: the model alone will do.
+        plain = [w.isascii() and w.isalpha() and w.islower() for w in words]
+        rest = iter(self.tokenizer.encode_batch([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+        model = self.tokenizer.model
+        for h, w, p in zip(hashes, words, plain, strict=True):
+            i, ids = len(self.known), [t.id for t in model.tokenize(w)] if p else next(rest).ids
             while self.full + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             if i + 2 > len(self.at):
