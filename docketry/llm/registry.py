@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docketry.llm.ann import op1_multi_index_hashing
 from docketry.llm.bpe import op7_byte_bpe
 from docketry.llm.html import op10_html_extraction
+from docketry.llm.jaccard import op6_ngram_jaccard
 from docketry.llm.lines import OP3_SQL, op3_line_dedup
 from docketry.llm.packing import op9_packing
 from docketry.llm.pii import op8_pii
@@ -23,7 +24,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index_hashing, op3_line_dedup, op4_quality_rules, op5_warc_derivatives, op7_byte_bpe, op8_pii, op9_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_multi_index_hashing, op3_line_dedup, op4_quality_rules, op5_warc_derivatives, op6_ngram_jaccard, op7_byte_bpe, op8_pii, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
