@@ -14,6 +14,7 @@ from docketry.llm.lines import OP3_SQL, op3_line_dedup
 from docketry.llm.packing import op9_packing
 from docketry.llm.pii import op8_pii
 from docketry.llm.quality import op4_quality_rules
+from docketry.llm.suffixes import op2_suffix_array_dedup
 from docketry.llm.warc import op5_warc_derivatives
 
 
@@ -24,7 +25,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index_hashing, op3_line_dedup, op4_quality_rules, op5_warc_derivatives, op6_ngram_jaccard, op7_byte_bpe, op8_pii, op9_packing, op10_html_extraction)}
+    return {"pipeline": _pipeline} | {f.__name__: f for f in (op1_multi_index_hashing, op2_suffix_array_dedup, op3_line_dedup, op4_quality_rules, op5_warc_derivatives, op6_ngram_jaccard, op7_byte_bpe, op8_pii, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
