@@ -16,9 +16,7 @@ from docketry.llm.common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    labels = table(spark, sf_dir, "labels")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    trees = quality.train(written(quality.statistics(labelled), "stats"), labels)
+    trees = quality.train(written(quality.statistics(docs), "stats"), table(spark, sf_dir, "labels"))
     return quality.keep(docs, trees)
 
 
