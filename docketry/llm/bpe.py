@@ -2,12 +2,14 @@
 
 Texts are cut into words by the vocabulary's pattern.  Each word a task has not met before is folded
 once: from single bytes, the adjacent pair of lowest rank (leftmost on ties) is merged until no pair
-has a rank.  Ranks are a literal: maps in hash buckets, so a lookup compares a few keys only.
+has a rank.  Ranks are a literal map of token pairs, held as an array with open addressing, so a
+lookup reads a slot or two.
 Decoding joins the binary pieces of the ids.  Words of over ``LONG`` bytes, on which the fold would
 be quadratic, are merged with a heap instead; the result is the same.
 
-All is one narrow stage without a shuffle: an Arrow step numbers the words of each text, the fold
-runs in the JVM on words that are new to the task, a second Arrow step puts texts together.
+All is one narrow stage without a shuffle: the JVM cuts texts into words, an Arrow step numbers
+them, the fold runs in the JVM on words that are new to the task, a second Arrow step puts texts
+together.
 
 Null text counts as empty: no tokens, digests of the empty string.  Repeated rows are encoded each
 for itself; an empty table gives an empty result; other columns than doc_id and text are not read.
@@ -24,17 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.common import table
 
 LONG = 192
-BUCKETS = 1 << 14
+SLICE = 2_000
+#: Factors that scatter pairs of ids over the slots.
+LEFT, RIGHT = 611_953, 424_243
 #: Words a task remembers before it starts anew.
 REMEMBER = 500_000
-NO_RANK = 2**31 - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,18 +45,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.hash(key), F.lit(BUCKETS))
-
-
-def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The ranks by upper-case hex of the token: array (by bucket) of maps."""
-    keys = [t.hex().upper() for t in ranks]
-    placed = spark.createDataFrame([(k,) for k in keys], "k string").select(_bucket(F.col("k"))).toPandas().iloc[:, 0]
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for k, b, r in zip(keys, placed, ranks.values(), strict=True):
-        buckets[b][k] = r
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+class PairRanks:
+    """The ranks by the pair of tokens that a merge joins, as one literal array with open addressing: an entry
+    is left, right and rank in 20 bits each, 0 is an empty slot, and ``reach`` slots are looked at."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs.append((left, right, rank))
+        self.slots, self.reach = 4 * len(pairs) + 7 | 1, 1
+        entries = [0] * self.slots
+        for left, right, rank in pairs:
+            at, tries = (left * LEFT + right * RIGHT) % self.slots, 1
+            while entries[at]:
+                at, tries = (at + 1) % self.slots, tries + 1
+            entries[at] = left << 40 | right << 20 | rank
+            self.reach = max(self.reach, tries)
+        self.literal = F.from_json(F.lit(json.dumps(entries, separators=(",", ":"))), "array<bigint>")
+
+    def merged(self, entries: Column, left: Column, right: Column) -> Column:
+        """The rank of the merged token, which is also its id; null where the pair does not merge."""
+        key = F.shiftleft(left.cast("long"), 20).bitwiseOR(right.cast("long"))
+        out, found = None, None
+        for tries in range(self.reach):
+            entry = entries[((left.cast("long") * LEFT + right.cast("long") * RIGHT + tries) % self.slots).cast("int")]
+            found = F.shiftright(entry, 20) == key
+            out = (F.when(entry == 0, None) if out is None else out.when(entry == 0, None)).when(found, entry.bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+        return out
 
 
 def _let(value: Column, body) -> Column:
@@ -61,26 +82,19 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
-def fold(word: Column, table_of_ranks: Column) -> Column:
-    """Token ids (array<int>) of one word given as upper-case hex."""
-    rank = lambda key: F.coalesce(table_of_ranks[_bucket(key)][key], F.lit(NO_RANK))
-    n = F.length(word) / 2
-    pieces = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(word, i * 2 + 1, F.lit(2)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n.cast("int") - 2), lambda i: rank(F.substring(word, i * 2 + 1, F.lit(4))))).otherwise(F.array().cast("array<int>"))
+def fold(tokens: Column, pairs: PairRanks, entries: Column) -> Column:
+    """Token ids (array<int>) of one word given as the ids of its bytes; ``entries``: the literal."""
 
-    def merge(p: Column, r: Column, i: Column) -> Column:  # i: the place of the pair, from 1
-        def joined(q: Column) -> Column:
-            before = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(rank(F.concat(p[i - 2], q))))).otherwise(F.array().cast("array<int>"))
-            after = F.when(i < F.size(r), F.concat(F.array(rank(F.concat(q, p[i + 1]))), F.slice(r, i + 2, F.size(r)))).otherwise(F.array().cast("array<int>"))
-            return F.struct(F.concat(F.slice(p, F.lit(1), i - 1), F.array(q), F.slice(p, i + 2, F.size(p))).alias("p"), F.concat(before, after).alias("r"))
+    def step(acc: Column, _: Column) -> Column:
+        def join(found: Column) -> Column:  # of each token with the next; null where they do not merge
+            def at(i: Column) -> Column:
+                return F.concat(F.slice(acc, F.lit(1), i - 1), F.array(F.array_min(found)), F.slice(acc, i + 2, F.size(acc)))
 
-        return _let(F.concat(p[i - 1], p[i]), joined)
+            return F.when(F.array_min(found).isNull(), acc).otherwise(_let(F.array_position(found, F.array_min(found)).cast("int"), at))
 
-    def step(acc: Column, _: Column) -> Column:
-        lowest = F.array_min(acc["r"])
-        return F.when(F.coalesce(lowest, F.lit(NO_RANK)) == NO_RANK, acc).otherwise(_let(F.array_position(acc["r"], lowest).cast("int"), lambda i: merge(acc["p"], acc["r"], i)))
+        return _let(F.transform(acc, lambda t, i: pairs.merged(entries, t, F.get(acc, i + 1))), join)
 
-    return F.aggregate(pairs, F.struct(pieces.alias("p"), pairs.alias("r")), step, lambda acc: F.transform(acc["p"], rank))
+    return F.aggregate(F.slice(tokens, 2, F.size(tokens)), tokens, step)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -112,75 +126,76 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Numbers(dict):
-    """Numbers words as they come; new ones are noted in ``fresh``."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
+def java_pattern(pattern: str) -> str:
+    """The pattern with white space as Unicode has it, as the JVM's regular expressions read it."""
+    return f"(?U){pattern}"
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, ids (array<int>), joined (ids in decimal) and decoded (binary) would be large together, so
-    each text comes back as doc_id, n_tokens, ids (binary, little-endian 32-bit), ids_sha256 and decoded_sha256."""
+    """doc_id, n_tokens, ids (little-endian 32-bit), ids_sha256 and decoded_sha256 of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)  # the vocabulary: bounded by its file
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = regex.compile(pattern), _Numbers()
+        """Numbers words as the task meets them; ``fresh`` (byte ids) and ``whole`` (long ones) are new with this row."""
+        byte_ids = np.array([shared.value[bytes([x])] for x in range(256)], dtype=np.int32)
+        known: dict[bytes, int] = {}
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                numbers, firsts, words, lengths = [], [], [], []
-                for text in b.column(1).slice(i, 256).to_pylist():
-                    if len(known) > REMEMBER:
-                        known = _Numbers()
-                    firsts.append(len(known))
-                    numbers.append(np.fromiter(map(known.__getitem__, cut.findall(text or "")), dtype=np.int32).tobytes())
-                    words += known.fresh
-                    lengths.append(len(known.fresh))
-                    known.fresh = []
-                raw = [w.encode() for w in words]
-                at = np.zeros(len(lengths) + 1, dtype=np.int32)
-                np.cumsum(lengths, out=at[1:])
-                hexed = pa.ListArray.from_arrays(pa.array(at), pa.array([w.hex().upper() if len(w) <= LONG else "" for w in raw], pa.string()))
-                whole = pa.ListArray.from_arrays(pa.array(at), pa.array([w if len(w) > LONG else None for w in raw], pa.binary()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256), pa.array(numbers, pa.binary()), pa.array(firsts, pa.int32()), hexed, whole], names=["doc_id", "numbers", "first", "fresh", "whole"])
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                words, at = part.column(1).flatten(), np.zeros(part.num_rows + 1, dtype=np.int64)
+                np.cumsum(pc.fill_null(pc.list_value_length(part.column(1)), 0), out=at[1:])
+                coded = words.cast(pa.binary()).dictionary_encode()
+                unique = coded.dictionary.to_pylist()
+                if len(known) > REMEMBER:
+                    known = {}
+                before = len(known)
+                fresh = [w for w in unique if w not in known]
+                known.update(zip(fresh, range(before, before + len(fresh)), strict=True))
+                number_of = np.fromiter((known[w] for w in unique), dtype=np.int32, count=len(unique))
+                numbers = number_of[np.asarray(coded.indices)] if len(unique) else np.zeros(0, dtype=np.int32)
+                short = [w if len(w) <= LONG else b"" for w in fresh]
+                ends = np.cumsum([0, *map(len, short)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[np.frombuffer(b"".join(short), dtype=np.uint8)]))
+                # All new words of a slice ride on its first row.
+                rides = pa.array(np.array([0, *[len(fresh)] * part.num_rows], dtype=np.int32))
+                binary = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((at * 4).astype(np.int32).tobytes()), pa.py_buffer(numbers.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), binary, pa.array([before] * part.num_rows, pa.int32()), pa.ListArray.from_arrays(rides, ids), pa.ListArray.from_arrays(rides, pa.array([w if len(w) > LONG else None for w in fresh], pa.binary()))],
+                    names=["doc_id", "numbers", "first", "fresh", "whole"],
+                )
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = shared.value
-        pieces = {r: t for t, r in rank_of.items()}
-        ids: list[np.ndarray] = []
-        decimal: list[str] = []
-        binary: list[bytes] = []
+        pieces, texts = {r: t for t, r in rank_of.items()}, {r: str(r) for r in rank_of.values()}
+        sizes, decimal, binary, words_ids = np.zeros(0, dtype=np.int64), [], [], []
         for b in batches:
-            rows = b.to_pydict()
-            n_tokens, ids_sha, text_sha, all_ids = [], [], [], []
-            for numbers, first, folded, whole in zip(rows["numbers"], rows["first"], rows["folded"], rows["whole"], strict=True):
-                if first == 0:
-                    ids, decimal, binary = [], [], []
-                for word_ids, long in zip(folded, whole, strict=True):
-                    if long is not None:
-                        word_ids = merge_long(long, rank_of)
-                    ids.append(word_ids)
-                    decimal.append(" ".join(map(str, word_ids)))
-                    binary.append(b"".join([pieces[r] for r in word_ids]))
-                words = np.frombuffer(numbers, dtype=np.int32).tolist()
-                n_tokens.append(sum([len(ids[w]) for w in words]))
+            n_tokens, all_ids, ids_sha, text_sha = [], [], [], []
+            for i, numbers in enumerate(b.column(1).to_pylist()):
+                if (folded := b.column(3)[i].as_py()) or b.column(2)[i].as_py() == 0:
+                    if b.column(2)[i].as_py() == 0 and (folded or not decimal):
+                        decimal, binary, words_ids = [], [], []
+                    for ids, long in zip(folded, b.column(4)[i].as_py(), strict=True):
+                        ids = ids if long is None else merge_long(long, rank_of)
+                        words_ids.append(np.array(ids, dtype="<u4").tobytes())
+                        decimal.append(" ".join([texts[r] for r in ids]))
+                        binary.append(b"".join([pieces[r] for r in ids]))
+                    sizes = np.fromiter(map(len, words_ids), dtype=np.int64, count=len(words_ids)) // 4
+                words = np.frombuffer(numbers, dtype=np.int32)
+                n_tokens.append(int(sizes[words].sum()))
+                words = words.tolist()
+                all_ids.append(b"".join([words_ids[w] for w in words]))
                 ids_sha.append(hashlib.sha256(" ".join([decimal[w] for w in words]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join([binary[w] for w in words])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(all_ids, pa.binary()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    numbered = docs.select("doc_id", "text").mapInArrow(number, "doc_id long, numbers binary, first int, fresh array<string>, whole array<binary>")
-    literal = rank_literal(spark, ranks)
-    one = lambda ranks_of: F.transform("fresh", lambda w: F.when(w == "", F.array().cast("array<int>")).otherwise(fold(w, ranks_of)))
-    folded = numbered.select("doc_id", "numbers", "first", _let(literal, one).alias("folded"), "whole")  # bound once, so the plan holds the literal once
-    return folded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).mapInArrow(number, "doc_id long, numbers binary, first int, fresh array<array<int>>, whole array<binary>")
+    pairs = PairRanks(ranks)
+    one = lambda entries: F.transform("fresh", lambda w: fold(w, pairs, entries))
+    folded = numbered.select("doc_id", "numbers", "first", _let(pairs.literal, one).alias("folded"), "whole")  # bound once, so the plan holds the literal once
+    return folded.mapInArrow(assemble, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return encode(table(spark, sf_dir, "documents"), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN).drop("ids")
