@@ -16,7 +16,8 @@ blocks.  A pair of sets is counted in its first common home only.  Classes are j
 by label propagation in Spark.
 
 Null or empty texts, and texts without words, have the empty set and are linked with nothing; fewer
-words than five count as one shingle.  Repeated rows are copies.  An empty table gives an empty
+words than five count as one shingle.  Repeated rows are copies, rows that repeat an id with another
+text are documents of their own; a null id comes after all others.  An empty table gives an empty
 result.  Only doc_id and text are read.
 """
 
@@ -207,12 +208,11 @@ def _homes(prefixes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, home long, lists long, needed long").groupBy("key", "home").agg(F.sum("lists").alias("lists"), F.min("needed").alias("needed"))
 
 
-def _decide(keys: np.ndarray, side: np.ndarray, weight: np.ndarray, homes: list[set[int]], home: int, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For the sets of a home (of one block, or of two told apart by ``side``): each set's root among
+def _decide(keys: np.ndarray, side: np.ndarray, across: bool, weight: np.ndarray, homes: list[set[int]], home: int, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For the sets of a home (of one block, or ``across`` two told apart by ``side``): each set's root among
     those linked to it, and the rows it is linked with in pairs whose first common home this is."""
     order = np.lexsort((keys, [len(s) for s in sets]))
     sets, sizes, m = [sets[i] for i in order], np.array([len(sets[i]) for i in order]), len(order)
-    both = len(set(side.tolist())) > 1
     side = side[order]
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(m), sizes)
@@ -256,7 +256,7 @@ def _decide(keys: np.ndarray, side: np.ndarray, weight: np.ndarray, homes: list[
             union = sizes[i] + sizes - overlap
             partner = (100 * overlap >= PERCENT * union) & (overlap > 0)
             partner[i] = False
-            if both:
+            if across:
                 partner &= side != side[i]
             done[i] = True
             near = np.flatnonzero(partner)
@@ -282,22 +282,23 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(key, root, linked) for every set of every home; ``members``: doc_id, key, weight, homes (array of home and number of blocks)."""
 
     def decide(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("key")
+        f = f.drop_duplicates(["key", "text"])
         sets = list(shingles(pa.array(f["text"], pa.string())))
+        good = np.array([set_key(x) == k for x, k in zip(sets, f["key"].tolist(), strict=True)])  # another text may bear the same doc_id
+        good[good] = ~f["key"][good].duplicated().to_numpy()
+        f, sets = f[good], [x for x, g in zip(sets, good, strict=True) if g]
         keys, side = f["key"].to_numpy(np.int64), f["block"].to_numpy()
-        good = np.array([set_key(s) == k for s, k in zip(sets, keys.tolist(), strict=True)])  # another text may bear the same doc_id
-        if not good.all():
-            f, keys, side, sets = f[good], keys[good], side[good], [s for s, g in zip(sets, good, strict=True) if g]
         if len(f) < 2:
             return pd.DataFrame({"key": [], "root": [], "linked": []}).astype("int64")
-        root, linked = _decide(keys, side, f["weight"].to_numpy(np.int64), [set(h) for h in f["homes"]], int(f["home"].iloc[0]), sets)
+        root, linked = _decide(keys, side, bool(f["a"].iloc[0] != f["b"].iloc[0]), f["weight"].to_numpy(np.int64), [set(h) for h in f["homes"]], int(f["home"].iloc[0]), sets)
         return pd.DataFrame({"key": keys, "root": keys[root], "linked": linked})
 
     each = members.select("doc_id", "key", "weight", F.col("homes.home").alias("homes"), F.explode("homes").alias("h")).select("doc_id", "key", "weight", "homes", "h.home", "h.blocks")
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>"))
     dealt = each.withColumn("block", block).withColumn("other", other).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other")).drop("other", "blocks")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(dealt.groupBy("doc_id").agg(F.collect_list(F.struct("key", "weight", "homes", "home", "block", "a", "b")).alias("to")), "doc_id")
+    wanted = dealt.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("key", "weight", "homes", "home", "block", "a", "b")).alias("to"))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")))
     return joined.select("text", F.explode("to").alias("to")).select("text", "to.*").groupBy("home", "a", "b").applyInPandas(decide, "key long, root long, linked long")
 
 
