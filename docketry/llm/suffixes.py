@@ -10,7 +10,7 @@ substrings sorted recursively, all else induced from them in linear time.  Permu
 (capped at ``LENGTH``) then tell which windows start twice.
 
 Null text counts as empty.  Rows that repeat an id are documents of their own: they are told apart by
-the hash of their text, and equal rows repeat each other.  Texts shorter than ``LENGTH`` bytes lose
+the hash of their text, and equal rows repeat each other.  A null id is an id like any other.  Texts shorter than ``LENGTH`` bytes lose
 nothing.  An empty table gives an empty result.  Only doc_id and text are read.
 """
 
@@ -29,6 +29,8 @@ from docketry.llm.textbytes import Run, mix, runs
 
 LENGTH, GRAM = 200, 64
 SHARD_BYTES = 1 << 20
+#: Stands for a null id, so that joins keep its rows.
+NO_ID = -(1 << 63)
 #: Symbols from which on an alphabet is too wide to go through it bucket by bucket.
 WIDE = 512
 
@@ -322,7 +324,9 @@ def _compared(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of every row."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("version"), "text")
+    own = F.col("doc_id").cast("long")
+    named = documents.select(own.alias("own_id"), F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("version"), "text")
+    docs = named.drop("own_id")
     met = written(_meet(_segments(docs, length)), "segments")
     equal = met.where("whole").select("doc_id", "version", F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("stop"))
     covered = equal.unionByName(_compared(docs, met.where("compare"), length))
@@ -351,7 +355,7 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    joined = docs.join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
+    joined = named.join(spans, ["doc_id", "version"], "left").select("own_id", "text", "spans")
     return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
