@@ -15,7 +15,7 @@ search again with a radius that takes in every code.
 Equal vectors are one index entry with their k+1 smallest ids (all that can ever be returned), so a
 vector held by a third of all rows costs one entry.  Null or zero vectors, those with null or
 non-finite components or another dimension than the sample's commonest take no part.  Rows that
-repeat an id and vector count once.  Ties go to the smaller id.  An empty table gives no rows.
+repeat an id and vector count once; a query whose id has several vectors asks with the least of them.  Ties go to the smaller id.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -172,7 +172,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, max_fit: int = MAX
             x = np.asarray(b.column(1).flatten(), dtype="<f8").reshape(-1, dimension) + 0.0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coder.encode(x).view("<i8") if len(x) else np.zeros(0, dtype=np.int64)), pa.array([v.tobytes() for v in x], pa.binary())], names=["query_id", "code", "vector"])
 
-    queries = written(valid.where(is_query & (F.size("vector") == dimension)).dropDuplicates(["vec_id"]).mapInArrow(coded, "query_id long, code long, vector binary"), "queries")
+    asked = valid.where(is_query & (F.size("vector") == dimension)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    queries = written(asked.mapInArrow(coded, "query_id long, code long, vector binary"), "queries")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     first = written(ranked(_search(index, queries, coder, coder.radius, k)), "found")
