@@ -91,7 +91,7 @@ def courts_near(sites: DataFrame, courts: DataFrame, before: int = 90, after: in
     known = courts.where(F.length(normal_court(F.col("court"))) >= 4).agg(F.collect_list(F.struct(F.col("court"), F.col("court_id"))).alias("known"))
     listed = [r.asDict() for r in known.first()["known"]]
     literal = F.array(*(F.struct(F.lit(c["court"]).alias("court"), F.lit(c["court_id"]).alias("court_id"), F.length(F.lit(c["court"])).alias("size")) for c in sorted(listed, key=lambda c: c["court"])))
-    hits = F.transform(literal, lambda c: F.struct(F.locate(c["court"], F.col("near")).alias("at"), c["size"].alias("size"), c["court"].alias("court"), c["court_id"].alias("court_id")))
+    hits = F.transform(literal, lambda c: F.struct(F.position(c["court"], F.col("near")).alias("at"), c["size"].alias("size"), c["court"].alias("court"), c["court_id"].alias("court_id")))
     hits = F.filter(hits, lambda h: h["at"] > 0)
     each = window.select("doc_id", "site", "low", "near", hits.alias("hits")).withColumn("hit", F.explode("hits"))
     h = F.col("hit")

@@ -25,8 +25,19 @@ def claims(expected: DataFrame, observed: DataFrame) -> DataFrame:
         out += [(f["document"].iloc[0], f["identity"].iloc[0], None, x[0]) for x in free]
         return pd.DataFrame(out, columns=["document", "identity", "expected_start", "observed_start"]).astype({"expected_start": "Int64", "observed_start": "Int64"})
 
+    # Most identities are found once in a document on either side at most: they need no order, and no Python.
+    one = lambda side, column: F.min(F.when(F.col("side") == side, F.col(column)))
+    counts = [F.count(F.when(F.col("side") == side, 1)).alias(name) for side, name in ((0, "n_expected"), (1, "n_observed"))]
+    groups = both.groupBy("document", "identity").agg(*counts, one(0, "start").alias("a"), one(0, "end").alias("b"), one(1, "start").alias("c"), one(1, "end").alias("d"))
+    plain = (F.col("n_expected") <= 1) & (F.col("n_observed") <= 1)
+    meet = (F.col("a") < F.col("d")) & (F.col("c") < F.col("b"))
+    pair = lambda x, y: F.struct(x.cast("long").alias("expected_start"), y.cast("long").alias("observed_start"))
+    nothing = F.lit(None)
+    outcomes = F.when(meet, F.array(pair(F.col("a"), F.col("c")))).otherwise(F.filter(F.array(pair(F.col("a"), nothing), pair(nothing, F.col("c"))), lambda x: x["expected_start"].isNotNull() | x["observed_start"].isNotNull()))
+    settled = groups.where(plain).select("document", "identity", F.explode(outcomes).alias("x")).select("document", "identity", "x.*")
     document = expected.schema["document"].dataType.simpleString()
-    return both.groupBy("document", "identity").applyInPandas(claim, f"document {document}, identity string, expected_start long, observed_start long")
+    ordered = both.join(groups.where(~plain).select("document", "identity"), ["document", "identity"], "left_semi")
+    return settled.unionByName(ordered.groupBy("document", "identity").applyInPandas(claim, f"document {document}, identity string, expected_start long, observed_start long"))
 
 
 def scores(claimed: DataFrame) -> DataFrame:
