@@ -18,6 +18,9 @@ COURTS = {
     "1st Cir.": "ca1", "2d Cir.": "ca2", "3d Cir.": "ca3", "4th Cir.": "ca4", "5th Cir.": "ca5", "6th Cir.": "ca6", "7th Cir.": "ca7", "8th Cir.": "ca8", "9th Cir.": "ca9", "10th Cir.": "ca10", "11th Cir.": "ca11",
     "D.C. Cir.": "cadc", "Fed. Cir.": "cafc", "S.D.N.Y.": "nysd", "E.D.N.Y.": "nyed", "D. Mass.": "mad", "N.D. Cal.": "cand", "C.D. Cal.": "cacd", "N.D. Ill.": "ilnd", "E.D. Pa.": "paed", "D.N.J.": "njd", "D.D.C.": "dcd",
 }
+# Words before a case name that are not part of it ("In re" is).
+SIGNALS = ["In", "See", "Accord", "Cf.", "But", "Also", "Compare", "Contra", "And"]
+_SIGNALS = re.compile(r"(?:(?:" + "|".join(map(re.escape, SIGNALS)) + r") (?:see |also )*)+(?=[A-Z])")
 FIELDS = ("plaintiff", "defendant", "volume", "reporter", "page", "pin_cite", "extra", "year", "court", "publisher", "parenthetical")
 
 
@@ -56,8 +59,12 @@ def cite_spans(text: str, tolerant: bool = False) -> list[dict]:
                 continue
             taken.append(m.span())
             have = m.groupdict()
+            start = m.start()
+            if have.get("plaintiff") and (signal := _SIGNALS.match(have["plaintiff"])):
+                have["plaintiff"] = have["plaintiff"][signal.end() :]
+                start += signal.end()
             inner = m.span("locator") if have.get("locator") else m.span("volume")[:1] + m.span("page")[1:] if have.get("page") else m.span()
-            out.append({"kind": kind, "start": m.start(), "end": m.end(), "locator_start": inner[0], "locator_end": inner[1], "matched_text": m.group(), **{f: have.get(f) for f in FIELDS}})
+            out.append({"kind": kind, "start": start, "end": m.end(), "locator_start": inner[0], "locator_end": inner[1], "matched_text": text[start : m.end()], **{f: have.get(f) for f in FIELDS}})
     return sorted(out, key=lambda c: c["start"])
 
 
