@@ -54,10 +54,15 @@ def search(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Dat
     asked = looked_up.where((F.col("lookup") == "not_found") & F.col("court_id").isNotNull() & (F.col("plaintiff") != "") & (F.col("defendant") != ""))
     opinions = clusters.select(F.col("court_id").alias("found_court"), F.col("case_name").alias("retrieved_name"), F.substring("date_filed", 1, 4).alias("found_year"), F.col("cluster_id").alias("found_id"), F.lit("opinion").alias("source"))
     recap = dockets.select(F.col("court_id").alias("found_court"), F.col("case_name").alias("retrieved_name"), F.lit(None).cast("string").alias("found_year"), F.col("docket_id").alias("found_id"), F.lit("recap").alias("source"))
-    # Equal names first: a case name holds both parties when it is their composition, which can be joined on its key.
-    key = lambda c: identity_part(c)
-    pool = opinions.unionByName(recap).withColumn("name_key", key(F.col("retrieved_name")))
-    found = asked.withColumn("name_key", key(case_name(F.col("plaintiff"), F.col("defendant")))).join(pool, (F.col("court_id") == F.col("found_court")) & (asked_key() == pool["name_key"])).drop(pool["name_key"])
+    # A name that holds both parties has their rarest word, so words are the key: the join meets the fewest names.
+    pool = opinions.unionByName(recap).withColumn("name_words", _words(F.col("retrieved_name")))
+    by_word = pool.select("*", F.explode(F.array_distinct(F.split(F.btrim("name_words"), " "))).alias("word"))
+    often = by_word.groupBy("found_court", "word").agg(F.count("*").alias("often"))
+    both = F.concat(_words(F.col("plaintiff")), _words(F.col("defendant")))
+    asked_words = asked.select(*KEY, F.col("court_id").alias("found_court"), F.explode(F.array_distinct(F.split(F.btrim(both), " +"))).alias("word"))
+    rarest = asked_words.join(often, ["found_court", "word"]).groupBy(*KEY).agg(F.min_by("word", F.struct("often", "word")).alias("rarest"))
+    met = asked.join(rarest, KEY).join(by_word, (F.col("court_id") == F.col("found_court")) & (F.col("rarest") == F.col("word")))
+    found = met.where(F.contains("name_words", _words(F.col("plaintiff"))) & F.contains("name_words", _words(F.col("defendant")))).drop("rarest", "word", "name_words")
     total = F.count("*").over(Window.partitionBy(*KEY, "source"))
     number = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy("found_id"))
     kept = found.withColumn("total", total).withColumn("candidate", number).where(F.col("total") <= GUARD)
@@ -65,8 +70,9 @@ def search(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Dat
     return kept.withColumn("verdict", search_verdict(F.col("source"), name, court, year))
 
 
-def asked_key() -> Column:
-    return identity_part(case_name(F.col("plaintiff"), F.col("defendant")))
+def _words(x: Column) -> Column:
+    """Lower-case words between blanks, so that containment is of whole words."""
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def summaries(looked_up: DataFrame, assessed: DataFrame, searched: DataFrame) -> DataFrame:

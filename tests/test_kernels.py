@@ -157,3 +157,11 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     filings.write.parquet(str(tmp_path / "in"))
     write_citations(read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, X.extract(filings).collect()))
+
+
+def test_search_finds_names_that_hold_both_parties(spark):
+    asked = spark.createDataFrame([(1, "a", "not_found", "ca2", "Brown", "Board of Education", "1954"), (1, "b", "not_found", "ca2", "Brow", "Board", "1954"), (1, "c", "found", "ca2", "Brown", "Board", "1954"), (1, "d", "not_found", None, "Brown", "Board", "1954")], "doc_id long, citation_id string, lookup string, court_id string, plaintiff string, defendant string, year string")
+    clusters = spark.createDataFrame([("1", "Oliver Brown v. Board of Education of Topeka", "1954-05-17", "ca2"), ("2", "Brown v. Board of Education", "1954-05-17", "ca9"), ("3", "Brown v. Education Board", "1954-05-17", "ca2")], "cluster_id string, case_name string, date_filed string, court_id string")
+    dockets = spark.createDataFrame([("9", "ca2", "BROWN v. BOARD OF EDUCATION")], "docket_id string, court_id string, case_name string")
+    got = validation.search(asked, clusters, dockets).collect()
+    assert sorted((r["citation_id"], r["source"], r["found_id"], r["verdict"]) for r in got) == [("a", "opinion", "1", "mismatch"), ("a", "recap", "9", "possible_match")]
