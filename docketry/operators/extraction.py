@@ -49,14 +49,18 @@ def resolve(citations: DataFrame) -> DataFrame:
     same = Window.partitionBy("doc_id", F.col("volume"), F.regexp_replace("reporter", r"[\s.]", "")).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     full = F.when(F.col("kind").isin(*FULL_KINDS), F.col("citation_id"))
     out = citations.withColumn("__short", F.when(F.col("kind") == "short_case", F.last(full, ignorenulls=True).over(same)))
-    # A supra names a party: the full cases before it are looked through, the last that has the name counts.
-    cases = F.when(F.col("kind") == "full_case", F.struct("citation_id", "plaintiff", "defendant"))
-    out = out.withColumn("__cases", F.when(F.col("kind") == "supra", F.collect_list(cases).over(before)))
-    named = F.filter("__cases", lambda x: (x["plaintiff"] == F.col("plaintiff")) | (x["defendant"] == F.col("plaintiff")))
-    out = out.withColumn("__own", F.coalesce("__short", F.try_element_at(named, F.lit(-1))["citation_id"], full))
+    # A supra names a party: a full case stands once for each of its parties, so the last one that bears the name is a
+    # running value of that name; only the first row of a case stays.
+    party = lambda i, name: F.struct(F.lit(i).alias("i"), F.col(name).alias("name"))
+    parties = F.when(F.col("kind") == "full_case", F.array(party(0, "plaintiff"), party(1, "defendant"))).when(F.col("kind") == "supra", F.array(party(0, "plaintiff"))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("name"))))
+    out = out.withColumn("__party", F.explode(parties))
+    bearer = Window.partitionBy("doc_id", "__party.name").orderBy("start", "__party.i").rowsBetween(Window.unboundedPreceding, -1)
+    case = F.when(F.col("kind") == "full_case", F.col("citation_id"))
+    out = out.withColumn("__named", F.when(F.col("kind") == "supra", F.last(case, ignorenulls=True).over(bearer))).where("__party.i = 0")
+    out = out.withColumn("__own", F.coalesce("__short", "__named", full))
     nearest = F.last("__own", ignorenulls=True).over(before)
     resolved = F.when(F.col("kind") == "id", nearest).when(~F.col("kind").isin(*FULL_KINDS), F.col("__own"))
-    return out.withColumn("resolves_to", resolved).drop("__short", "__cases", "__own")
+    return out.withColumn("resolves_to", resolved).drop("__short", "__party", "__named", "__own")
 
 
 def documents(filings: DataFrame, citations: DataFrame) -> DataFrame:
