@@ -3,9 +3,12 @@
 A document's set is its distinct five-word shingles; documents with equal sets are one class.  Tokens
 are ordered rare first by a sketch of ``2**CELL_BITS`` counters over the whole corpus (any order that
 all share is exact; the sketch only keeps passages that many documents share out of the prefixes).
-Two sets with Jaccard ``PERCENT`` or more share a token of their prefixes, so they meet in that
-token's list.  The first set of a list in order of size is its pivot; every set of the list goes to
-the pivot's home, once however many lists lead there, and all pairs of a home are decided there:
+Two sets with Jaccard ``PERCENT`` or more share tokens of their prefixes, so they meet in those
+tokens' lists.  The first set of a list in order of size is its pivot; every set of the list belongs
+to the pivot's home, once however many lists lead there.  First only the prefix tokens that sets
+share go to their homes: a linked pair shares a number of them that follows from its sizes, so sets
+that merely hold a common passage drop out there.  Then the texts of those left go to the homes they
+were left in, and all pairs of a home are decided:
 
 * lists are sorted by set size, and each is entered at the first position a set's size allows;
 * a set highly similar to the one just answered derives its overlaps from that one's: the lists of
@@ -156,14 +159,11 @@ def _rows(tokens_of: list[np.ndarray], ns: list[int], keys: list[int]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens_of).view(np.int64)), pa.array(np.repeat(np.array(ns, dtype=np.int32), sizes)), pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes))], names=["token", "n", "key"])
 
 
-def _homes(prefixes: DataFrame) -> DataFrame:
-    """(key, home, lists, needed) from each list of two or more sets: its members and its pivot.
-
-    ``needed`` is the least number of common prefix tokens that Jaccard asks of a pair of the member with any
-    other in the list: with overlap a = 3/7 (n + m), the larger set's prefix must hold a - 3/4 n + 1 of it."""
+def _lists(prefixes: DataFrame) -> DataFrame:
+    """(key, home, token, n): the members of every token's list of two or more sets, and the list's pivot, its smallest set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_token, pivot, last_key, least = None, 0, None, 0
+        last_token, pivot, last_key = None, 0, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -174,38 +174,103 @@ def _homes(prefixes: DataFrame) -> DataFrame:
             first = np.ones(len(token), dtype=bool)
             first[1:] = token[1:] != token[:-1]
             first[0] = token[0] != last_token
-            begins = np.flatnonzero(first)
-            group = np.cumsum(first) - 1  # -1: goes on from the last batch
-            pivots, leasts = np.append(key[begins], pivot), np.append(n[begins], least)
-            ends = np.append(begins[1:], len(token)) - 1
-            most = np.append(n[ends], n[begins[0] - 1] if len(begins) and begins[0] else n[-1])
-            most = most.astype(float)
-            if len(begins):
-                most[len(begins) - 1] = np.inf  # the batch's last list may go on
-            else:
-                most[-1] = np.inf
-            of, low, high = pivots[group], leasts[group], most[group]
+            of = np.append(key[first], pivot)[np.cumsum(first) - 1]  # -1: goes on from the last batch
             # Some other member must be of a size that fits: in order of size, a neighbour.
             before, after = np.zeros(len(n), dtype=bool), np.ones(len(n), dtype=bool)
-            before[1:] = ~first[1:] & (100 * n[:-1].astype(np.int64) >= PERCENT * n[1:].astype(np.int64))
+            fits = 100 * n[:-1].astype(np.int64) >= PERCENT * n[1:].astype(np.int64)
+            before[1:] = ~first[1:] & fits
             before[0] = not first[0]
-            after[:-1] = ~first[1:] & (PERCENT * n[1:].astype(np.int64) <= 100 * n[:-1].astype(np.int64))
-            t = PERCENT / 100
-            share = t / (1 + t)
-            small, large = np.maximum(low, t * n), np.minimum(high, n / t)
-            needed = np.minimum(share * (n + small) - t * n, share * (n + large) - t * large) + 1
+            after[:-1] = ~first[1:] & fits
             use = fresh & (before | after)
-            out = np.column_stack([key[use], of[use]])
-            if len(out):
-                pairs, where, count = np.unique(out, axis=0, return_inverse=True, return_counts=True)
-                lows = np.full(len(pairs), np.inf)
-                np.minimum.at(lows, where.ravel(), needed[use])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count.astype(np.int64)), pa.array(np.maximum(1, np.floor(lows - 1e-6)).astype(np.int64))], names=["key", "home", "lists", "needed"])
-            last_token, last_key = token[-1], key[-1]
-            pivot, least = of[-1], low[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (key, of, token, n)], names=["key", "home", "token", "n"])
+            last_token, last_key, pivot = token[-1], key[-1], of[-1]
 
     ordered = prefixes.repartition("token").sortWithinPartitions("token", "n", "key")
-    return ordered.mapInArrow(run, "key long, home long, lists long, needed long").groupBy("key", "home").agg(F.sum("lists").alias("lists"), F.min("needed").alias("needed"))
+    return ordered.mapInArrow(run, "key long, home long, token long, n int")
+
+
+def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
+    """A row of ``columns`` and of all homes of a set for each of its homes (key, home) and pair of blocks (a, b); homes of one set are left out."""
+    sizes = members.groupBy("home").agg(F.count("*").alias("size")).where("size > 1").select("home", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    of = members.join(sizes, "home").groupBy("key").agg(F.collect_list(F.struct("home", "blocks")).alias("homes"))
+    return of.select("key", F.col("homes.home").alias("homes"), F.explode("homes").alias("h")).select("key", "homes", "h.home", F.pmod(F.xxhash64("key"), F.col("h.blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("h.blocks") - 1).cast("array<long>")).alias("other")).select(
+        "key", "homes", "home", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), *columns
+    )
+
+
+def _needed(n: np.ndarray, m: int) -> np.ndarray:
+    """The least number of tokens that prefixes of sets of sizes n and m share if the sets are linked: of the overlap
+    that is asked for, what the larger set's tokens beyond its prefix cannot hold."""
+    overlap = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return overlap + 1 - -(-PERCENT * np.maximum(n, m) // 100)
+
+
+def _may_link(keys: np.ndarray, side: np.ndarray, across: bool, sizes: np.ndarray, homes: list[np.ndarray], home: int, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which sets of a home share enough prefix tokens with another, in a pair whose first common home this is."""
+    m, live = len(keys), np.zeros(len(keys), dtype=bool)
+    row = np.repeat(np.arange(m), np.diff(at))
+    ids = np.unique(tokens, return_inverse=True)[1].ravel()
+    by = np.argsort(ids, kind="stable")
+    rows, list_at = row[by], np.append(0, np.cumsum(np.bincount(ids)))
+    for i in range(m):
+        own = ids[at[i] : at[i + 1]]
+        size = list_at[own + 1] - list_at[own]
+        begin = np.cumsum(size) - size
+        entries = rows[np.repeat(list_at[own] - begin, size) + np.arange(size.sum())]
+        count = np.bincount(entries, minlength=m)
+        partner = count >= _needed(sizes, int(sizes[i]))
+        partner &= (100 * sizes >= PERCENT * sizes[i]) & (PERCENT * sizes <= 100 * sizes[i])
+        partner[i] = False
+        if across:
+            partner &= side != side[i]
+        mine = None
+        for j in np.flatnonzero(partner).tolist():
+            if live[i] and live[j]:
+                continue
+            mine = mine if mine is not None else set(homes[i].tolist())
+            if min(mine.intersection(homes[j].tolist())) == home:
+                live[i] = live[j] = True
+    return live
+
+
+def _candidates(lists: DataFrame) -> DataFrame:
+    """(key, home) of the sets that a home's prefix tokens leave as possible partners.  Only tokens move, no texts."""
+
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys, home, block, a, b, n = (t.column(c).to_numpy() for c in ("key", "home", "block", "a", "b", "n"))
+        lists_of = lambda c: (t.column(c).chunk(0).flatten().to_numpy(), np.append(0, np.cumsum(t.column(c).chunk(0).value_lengths().to_numpy())))
+        (tokens, at), (all_homes, homes_at) = lists_of("tokens"), lists_of("homes")
+        cut = np.flatnonzero(np.append(True, (home[1:] != home[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        use = np.zeros(len(keys), dtype=bool)
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True):
+            if y - x > 1:
+                own = [all_homes[homes_at[i] : homes_at[i + 1]] for i in range(x, y)]
+                use[x:y] = _may_link(keys[x:y], block[x:y], bool(a[x] != b[x]), n[x:y].astype(np.int64), own, int(home[x]), tokens[at[x] : at[y]], at[x : y + 1] - at[x])
+        return pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(home[use])], names=["key", "home"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        group = lambda b, i: tuple(b.column(b.schema.get_field_index(c))[i].as_py() for c in ("home", "a", "b"))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = group(b, b.num_rows - 1)
+            home, x, y = (np.asarray(b.column(b.schema.get_field_index(c))) for c in ("home", "a", "b"))
+            cut = int(np.argmax((home == last[0]) & (x == last[1]) & (y == last[2])))
+            if cut or held and group(held[-1], 0) != last:
+                if held or cut:
+                    yield settle([*held, b.slice(0, cut)] if cut else held)
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield settle(held)
+
+    members = lists.select("key", "home").distinct()
+    tokens = lists.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
+    rows = _dealt(members, []).join(tokens, "key").select("key", "home", "block", "a", "b", "n", "tokens", "homes")
+    ordered = rows.repartition("home", "a", "b").sortWithinPartitions("home", "a", "b")
+    return ordered.mapInArrow(run, "key long, home long").distinct()
 
 
 def _decide(keys: np.ndarray, side: np.ndarray, across: bool, weight: np.ndarray, homes: list[set[int]], home: int, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -278,8 +343,8 @@ def _decide(keys: np.ndarray, side: np.ndarray, across: bool, weight: np.ndarray
     return out_root, out_linked
 
 
-def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(key, root, linked) for every set of every home; ``members``: doc_id, key, weight, homes (array of home and number of blocks)."""
+def _links(docs: DataFrame, candidates: DataFrame, copies: DataFrame) -> DataFrame:
+    """(key, root, linked) for every set of every home of ``candidates`` (key, home); ``copies``: doc_id, key, weight."""
 
     def decide(f: pd.DataFrame) -> pd.DataFrame:
         f = f.drop_duplicates(["key", "text"])
@@ -293,10 +358,7 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
         root, linked = _decide(keys, side, bool(f["a"].iloc[0] != f["b"].iloc[0]), f["weight"].to_numpy(np.int64), [set(h) for h in f["homes"]], int(f["home"].iloc[0]), sets)
         return pd.DataFrame({"key": keys, "root": keys[root], "linked": linked})
 
-    each = members.select("doc_id", "key", "weight", F.col("homes.home").alias("homes"), F.explode("homes").alias("h")).select("doc_id", "key", "weight", "homes", "h.home", "h.blocks")
-    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<long>"))
-    dealt = each.withColumn("block", block).withColumn("other", other).withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other")).drop("other", "blocks")
+    dealt = _dealt(candidates, []).join(copies, "key")
     wanted = dealt.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("key", "weight", "homes", "home", "block", "a", "b")).alias("to"))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")))
     return joined.select("text", F.explode("to").alias("to")).select("text", "to.*").groupBy("home", "a", "b").applyInPandas(decide, "key long, root long, linked long")
@@ -320,14 +382,10 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (documents linked with it, copies included) of every row."""
     classes, sketch = classes_and_sketch(docs)
-    homes = written(_homes(_prefixes(docs, token_ranks(sketch))), "homes")
-    # A set that shares fewer prefix tokens with all others together than any one pair needs has no partner.
-    can = homes.groupBy("key").agg(F.sum("lists").alias("all"), F.min("needed").alias("least")).where("all >= least").select("key")
-    kept = homes.select("key", "home").unionByName(homes.select(F.col("home").alias("key"), "home")).distinct().join(can, "key", "left_semi")
-    sizes = kept.groupBy("home").agg(F.count("*").alias("size")).where("size > 1").select("home", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
-    of = kept.join(sizes, "home").groupBy("key").agg(F.collect_list(F.struct("home", "blocks")).alias("homes"))
+    lists = written(_lists(_prefixes(docs, token_ranks(sketch))), "lists")
+    candidates = written(_candidates(lists), "candidates")
     copies = classes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"))
-    found = written(_links(docs, copies.join(of, "key")), "links")
+    found = written(_links(docs, candidates, copies), "links")
     labels = components(found.where("key <> root").select("key", "root"))
     counted = found.groupBy("key").agg(F.sum("linked").alias("linked"))
     named = copies.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")).join(counted, "key", "left")
