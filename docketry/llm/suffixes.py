@@ -4,8 +4,9 @@ Every window of ``LENGTH`` bytes is assigned to an anchor, the ``GRAM``-byte str
 least hash (leftmost on ties).  Equal windows have equal anchors at equal places, so anchors deal the
 work: an anchor's segment is the bytes of the windows assigned to it, and only segments of equal
 anchors can hold equal windows.  Segments that are byte for byte the same, with the anchor at the
-same place, repeat as a whole.  Segments of one anchor that differ are put in one shard, and the
-shard's suffix array is built by induced sorting: suffixes are classified, leftmost-smaller
+same place, repeat as a whole.  Segments of one anchor that differ are put in one shard (those of an
+anchor with over ``MANY`` are compared window by window instead), and the shard's suffix array is
+built by induced sorting: suffixes are classified, leftmost-smaller
 substrings sorted recursively, all else induced from them in linear time.  Permuted common prefixes
 (capped at ``LENGTH``) then tell which windows start twice.
 
@@ -29,6 +30,9 @@ from docketry.llm.textbytes import Run, mix, runs
 
 LENGTH, GRAM = 200, 64
 SHARD_BYTES = 1 << 20
+#: Segments of a task that are brought together, distinct segments of an anchor that one suffix array holds at most,
+#: and rows of an anchor that are held at once.
+CHUNK, MANY, HOLD = 1 << 20, 4_096, 1 << 20
 #: Stands for a null id, so that joins keep its rows.
 NO_ID = -(1 << 63)
 #: Symbols from which on an alphabet is too wide to go through it bucket by bucket.
@@ -231,49 +235,88 @@ def _anchors(run: Run, length: int) -> tuple[np.ndarray, ...]:
 
 
 def _segments(docs: DataFrame, length: int) -> DataFrame:
+    """Segments, equal ones of a chunk of a task brought together: the first stands for all ``n`` of them, the others
+    (n = 0) are known to repeat and get a key of their own instead of the anchor, so none of them meet in one task."""
+
+    def settle(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, version, anchor, context, first, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((context, anchor))
+        new = np.append(True, (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1]))
+        n = np.zeros(len(order), dtype=np.int32)
+        n[order[new]] = np.diff(np.append(np.flatnonzero(new), len(order)))
+        own = mix(context.view(np.uint64) ^ mix(np.arange(len(order), dtype=np.uint64))).view(np.int64)
+        columns = (doc, version, np.where(n > 0, anchor, own), context, first, size, n)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "version", "anchor", "context", "first", "size", "n"])
+
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, full = [], 0
         for b in batches:
+            ids, versions = np.asarray(b.column(0)), np.asarray(b.column(1))
             for run in runs(b.column(2)):
                 row, anchor, context, first, size = _anchors(run, length)
-                rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(anchor), pa.array(context), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], names=["doc_id", "version", "anchor", "context", "first", "size"])
+                if len(row):
+                    parts.append((ids[row], versions[row], anchor, context, first.astype(np.int32), size.astype(np.int32)))
+                    full += len(row)
+                if full > CHUNK:
+                    yield settle(parts)
+                    parts, full = [], 0
+        if parts:
+            yield settle(parts)
 
-    return docs.mapInArrow(run_batches, "doc_id long, version int, anchor long, context long, first int, size int")
+    return docs.mapInArrow(run_batches, "doc_id long, version int, anchor long, context long, first int, size int, n int")
 
 
 def _meet(segments: DataFrame) -> DataFrame:
     """Segments whose anchor is found again.  ``whole``: an equal segment exists.  ``compare``: the anchor has
-    segments that differ, and this row stands for all that equal it."""
+    segments that differ, and this row stands for all that equal it: 1, or 2 where they are over ``MANY``."""
     names = ["doc_id", "version", "anchor", "context", "first", "size"]
 
-    def settle(cols: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, context = cols[2], cols[3]
+    def settle(cols: list[np.ndarray], known: tuple[int, int] | None) -> pa.RecordBatch:
+        """``known``: an anchor that has over ``MANY`` segments, and the last of their contexts that was given out."""
+        anchor, context, n = cols[2], cols[3], cols[6]
         begin = np.append(True, anchor[1:] != anchor[:-1])
         fresh = begin | np.append(True, context[1:] != context[:-1])
         group, kind = np.cumsum(begin) - 1, np.cumsum(fresh) - 1
-        whole = np.bincount(kind)[kind] > 1
-        several = np.bincount(group[fresh], minlength=group[-1] + 1)[group] > 1
-        compare = several & fresh
-        use = whole | compare
-        return pa.RecordBatch.from_arrays([*(pa.array(c[use]) for c in cols), pa.array(whole[use]), pa.array(compare[use])], names=[*names, "whole", "compare"])
+        alone = n == 0
+        total = np.bincount(kind, weights=n)[kind]
+        whole = (total > 1) | alone
+        contexts = np.bincount(group[fresh & ~alone], minlength=group[-1] + 1)[group]
+        if known is not None:
+            contexts[anchor == known[0]] += MANY
+            given = (anchor == known[0]) & (context == known[1])
+            whole |= given
+            fresh &= ~given
+        compare = np.where(fresh & ~alone, np.where(contexts > MANY, 2, np.where(contexts > 1, 1, 0)), 0).astype(np.int32)
+        use = whole | (compare > 0)
+        return pa.RecordBatch.from_arrays([*(pa.array(c[use]) for c in cols[:6]), pa.array(whole[use]), pa.array(compare[use])], names=[*names, "whole", "compare"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        known = None
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append([np.asarray(b.column(k)) for k in range(6)])
-            if held[0][2][0] == held[-1][2][-1]:
+            held.append([np.asarray(b.column(k)) for k in range(7)])
+            rows = sum(len(h[0]) for h in held)
+            if held[0][2][0] == held[-1][2][-1] and rows < HOLD:
                 continue  # one anchor goes on
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
             cut = int(np.searchsorted(cols[2], cols[2][-1]))
-            yield settle([c[:cut] for c in cols])
-            held = [[c[cut:] for c in cols]]
+            if cut:
+                yield settle([c[:cut] for c in cols], known)
+                cols = [c[cut:] for c in cols]
+            if len(cols[0]) >= HOLD:  # give out what is there but for the last context, so no anchor fills the memory
+                same = cols[3] == cols[3][-1]
+                cut = int(np.argmax(same)) or len(same)
+                anchor, context = int(cols[2][0]), int(cols[3][cut - 1])
+                yield settle([c[:cut] for c in cols], known if known and known[0] == anchor else (anchor, None))
+                known, cols = (anchor, context), [c[cut:] for c in cols]
+            held = [cols] if len(cols[0]) else []
         if held:
-            yield settle([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield settle([np.concatenate(c) for c in zip(*held, strict=True)], known)
 
     ordered = segments.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "version", "first")
-    return ordered.mapInArrow(run, "doc_id long, version int, anchor long, context long, first int, size int, whole boolean, compare boolean")
+    return ordered.mapInArrow(run, "doc_id long, version int, anchor long, context long, first int, size int, whole boolean, compare int")
 
 
 def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -282,8 +325,9 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gaps + 1)].tolist(), (starts[np.append(gaps, len(starts) - 1)] + length).tolist(), strict=True))
 
 
-def _compared(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(doc_id, version, begin, stop) of the repeats that suffix arrays find among ``wanted`` segments."""
+def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of ``wanted`` segments."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,7 +337,35 @@ def _compared(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 out += [(doc, version, s["anchor"], s["first"], s["whole"], data[s["first"] : s["first"] + s["size"]]) for s in segments]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=["doc_id", "version", "anchor", "first", "whole", "bytes"])
 
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    per_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "first", "size", "whole")).alias("segments"))
+    cut = docs.join(per_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "segments").dropDuplicates(["doc_id", "version"])
+    return cut.mapInArrow(take, "doc_id long, version int, anchor long, first int, whole boolean, bytes binary")
+
+
+def _windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(doc_id, version, begin, stop) of the repeats among segments of anchors that have more of them than one suffix
+    array should hold: their windows are met one by one, by hash, so no task holds an anchor."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for run in runs(b.column(5)):
+                prefix, sizes = run.prefix(), np.diff(run.at)
+                n = np.maximum(sizes - length + 1, 0)
+                row = np.repeat(np.arange(run.n), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                starts = run.at[:-1][row] + place
+                window = Run.spans(prefix, starts, starts + length)
+                rows = pa.array(row + run.first)
+                begin = np.asarray(b.column(3))[row + run.first] + place
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in (0, 1, 2, 4)), pa.array(begin.astype(np.int32)), pa.array(window.view(np.int64))], names=["doc_id", "version", "anchor", "whole", "begin", "window"])
+
+    every = written(_cut(docs, wanted).mapInArrow(each, "doc_id long, version int, anchor long, whole boolean, begin int, window long"), "windows")
+    twice = every.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    return every.where("NOT whole").join(twice, ["anchor", "window"]).select("doc_id", "version", "begin", (F.col("begin") + length).alias("stop"))
+
+
+def _compared(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(doc_id, version, begin, stop) of the repeats that suffix arrays find among ``wanted`` segments."""
 
     def sort(rows: list[dict]) -> pa.RecordBatch:
         found = []
@@ -316,9 +388,7 @@ def _compared(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         if rows:
             yield sort(rows)
 
-    per_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "first", "size", "whole")).alias("segments"))
-    cut = docs.join(per_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "segments").dropDuplicates(["doc_id", "version"])
-    each = cut.mapInArrow(take, "doc_id long, version int, anchor long, first int, whole boolean, bytes binary")
+    each = _cut(docs, wanted)
     return each.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shards, "doc_id long, version int, begin int, stop int")
 
 
@@ -329,7 +399,10 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = named.drop("own_id")
     met = written(_meet(_segments(docs, length)), "segments")
     equal = met.where("whole").select("doc_id", "version", F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("stop"))
-    covered = equal.unionByName(_compared(docs, met.where("compare"), length))
+    covered = equal.unionByName(_compared(docs, met.where("compare = 1"), length))
+    many = met.where("compare = 2")
+    if not many.isEmpty():
+        covered = covered.unionByName(_windows(docs, many, length))
     spans = covered.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,11 @@ def repeated_bytes(texts, length):
     return out
 
 
-def test_suffix_dedup_matches_brute_force(frame):
+@pytest.mark.parametrize("many, hold", [(suffixes.MANY, suffixes.HOLD), (1, 3)])
+def test_suffix_dedup_matches_brute_force(frame, monkeypatch, many, hold):
+    monkeypatch.setattr(suffixes, "MANY", many)
+    monkeypatch.setattr(suffixes, "HOLD", hold)
+    monkeypatch.setattr(suffixes, "CHUNK", 200 if many == 1 else suffixes.CHUNK)
     rng = random.Random(1)
     passages = [" ".join(words(rng, 70)) for _ in range(4)]
     texts = [None, "", "a" * 900, "ab" * 300, "x" * 199, "é" * 150]
