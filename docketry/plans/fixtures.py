@@ -17,7 +17,9 @@ from docketry.sources.authority import Authority
 # What citations are made of.
 REPORTERS = ["U.S.", "F.2d", "F.3d", "S.W.2d", "N.E.2d"]
 COURTS = [("2d Cir.", "ca2"), ("9th Cir.", "ca9"), ("S.D.N.Y.", "nysd"), ("D. Mass.", "mad"), ("Fed. Cir.", "cafc")]
-HEAD, JOIN = " see ", "; see "
+HEAD, JOIN, TAIL = " see ", "; see ", ".\n"
+#: Where citations are put into a document; the SQL counts from here.
+PLACE = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +51,23 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cite", F.concat("w_plaintiff", F.lit(" v. "), "defendant", F.lit(", "), "volume", gap, "reporter", F.lit(" "), "page", F.lit(", "), "pin", F.lit(" ("), "w_court", F.lit(" "), "w_year", F.lit(")")))
 
 
-def filings(spark: SparkSession, sf_dir: str, cites: DataFrame | None = None) -> DataFrame:
-    """doc_id and text: the first 200 characters of a document, then its citations in order."""
+def _listed(spark: SparkSession, sf_dir: str, cites: DataFrame | None) -> DataFrame:
     cites = injected(spark, sf_dir).select("doc_id", "cite_no", "cite") if cites is None else cites
-    listed = cites.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cite_no", "cite"))), lambda x: x["cite"]).alias("cites"))
-    head = F.substring(F.coalesce("text", F.lit("")), 1, 200)
-    return table(spark, sf_dir, "documents").select("doc_id", head.alias("head")).join(listed, "doc_id").select("doc_id", F.concat("head", F.lit(HEAD), F.array_join("cites", JOIN)).alias("text"))
+    return cites.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cite_no", "cite"))), lambda x: x["cite"]).alias("cites"))
+
+
+def filings(spark: SparkSession, sf_dir: str, cites: DataFrame | None = None) -> DataFrame:
+    """doc_id and text: every document whole; its citations, if any, stand in order after its first ``PLACE`` characters."""
+    text = F.coalesce("text", F.lit(""))
+    rest = F.substring(text, PLACE + 1, 1 << 30)
+    written = F.concat(F.substring(text, 1, PLACE), F.lit(HEAD), F.array_join("cites", JOIN), F.when(rest != "", F.concat(F.lit(TAIL), rest)).otherwise(""))
+    return table(spark, sf_dir, "documents").join(_listed(spark, sf_dir, cites), "doc_id", "left").select("doc_id", F.when(F.col("cites").isNull(), text).otherwise(written).alias("text"))
+
+
+def short_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings as the SQL of masked_filings and artifact_round_trip writes them out: without what follows the citations."""
+    head = F.substring(F.coalesce("text", F.lit("")), 1, PLACE)
+    return table(spark, sf_dir, "documents").select("doc_id", head.alias("head")).join(_listed(spark, sf_dir, None), "doc_id").select("doc_id", F.concat("head", F.lit(HEAD), F.array_join("cites", JOIN)).alias("text"))
 
 
 @dataclass(frozen=True)

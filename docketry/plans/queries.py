@@ -12,7 +12,7 @@ from docketry.functions import verdicts as V
 from docketry.functions.grounding import grounded, page_text
 from docketry.operators import extraction as X
 from docketry.operators import scoring, validation
-from docketry.plans.fixtures import authority, filings, injected, table
+from docketry.plans.fixtures import authority, filings, injected, short_filings, table
 from docketry.sources import artifacts
 from docketry.sources import authority as service
 from docketry.sources.documents import from_column
@@ -131,7 +131,7 @@ def locator_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def masked_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = filings(spark, sf_dir)
+    texts = short_filings(spark, sf_dir)
     found = X.full_citations(X.extract(texts))
     gone = X.mask(X.documents(texts, found))
     return gone.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("citations").cast("long").alias("n_citations"), F.length(F.replace("text", F.lit(" "), F.lit(""))).cast("long").alias("n_left"))
@@ -284,7 +284,7 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = filings(spark, sf_dir)
+    texts = short_filings(spark, sf_dir)
     whole = X.documents(texts, X.full_citations(X.extract(texts)))
     back = artifacts.read_extracted(artifacts.extracted_json(whole), whole.schema["citations"].dataType.simpleString())
     return back.select("doc_id", F.md5("text").alias("text_md5"), F.size("citations").cast("long").alias("n"), F.array_join(F.transform("citations", lambda c: c["page"]), ",").alias("pages"))
