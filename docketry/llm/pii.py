@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from docketry.llm.common import table
 
 # Starting only at the head of a run of class characters (or right after the last match) finds the
-# same leftmost matches without trying every character of a long run again.
+# same leftmost matches without trying every character of a long run again.  Groups that repeat
+# without bound are possessive: java.util.regex walks others by recursion and overflows its stack.
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
-    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_HOST}+(?:\.{_HOST}+)+",
+    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_HOST}+(?:\.{_HOST}+)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",

@@ -103,16 +103,19 @@ def nodes(looked_up: DataFrame, assessed: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes_of: DataFrame) -> DataFrame:
-    """(node_id, ancestor, distance) over the graph of dependencies, by a recursive query."""
-    nodes_of.select("node_id", F.explode("depends_on").alias("parent")).createOrReplaceTempView("docketry_edges")
-    return nodes_of.sparkSession.sql("""
-        WITH RECURSIVE up AS (
-            SELECT node_id, parent AS ancestor, 1 AS distance FROM docketry_edges
-            UNION ALL
-            SELECT up.node_id, e.parent, up.distance + 1 FROM up JOIN docketry_edges e ON up.ancestor = e.node_id
-        )
-        SELECT node_id, ancestor, min(distance) AS distance FROM up GROUP BY node_id, ancestor
-    """)
+    """(node_id, ancestor, distance) over the graph of dependencies: one join a level, until a level adds nothing."""
+    edges = nodes_of.select("node_id", F.explode("depends_on").alias("ancestor")).distinct().localCheckpoint()
+    up = edges.select("node_id", "ancestor", F.lit(1).alias("distance"))
+    level, distance = up, 1
+    while True:
+        distance += 1
+        step = edges.select(F.col("node_id").alias("ancestor"), F.col("ancestor").alias("next"))
+        nearer = up.select("node_id", "ancestor")
+        further = level.join(step, "ancestor").select("node_id", F.col("next").alias("ancestor")).distinct()
+        level = further.join(nearer, ["node_id", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)).localCheckpoint()
+        if level.isEmpty():
+            return up
+        up = up.unionByName(level)
 
 
 def broken_invariants(nodes_of: DataFrame) -> DataFrame:
