@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from docketry.llm.ann import op1_multi_index_hashing
 from docketry.llm.bpe import op7_byte_bpe
 from docketry.llm.html import op10_html_extraction
-from docketry.llm.jaccard import op6_ngram_jaccard
+from docketry.llm.jaccard import OP6_SQL, op6_ngram_jaccard
 from docketry.llm.lines import OP3_SQL, op3_line_dedup
 from docketry.llm.packing import op9_packing
-from docketry.llm.pii import op8_pii
+from docketry.llm.pii import OP8_SQL, op8_pii
 from docketry.llm.quality import op4_quality_rules
-from docketry.llm.suffixes import op2_suffix_array_dedup
+from docketry.llm.suffixes import OP2_SQL, op2_suffix_array_dedup
 from docketry.llm.warc import op5_warc_derivatives
 
 
@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op2_suffix_array_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_pii": OP8_SQL}

@@ -434,3 +434,27 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+# Bytes as pairs of hexadecimal digits; windows are taken from blocks, so no long text is walked for each of them.
+OP2_SQL = f"""
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), blocks AS (
+    SELECT doc_id, b, substr(h, 2 * b + 1, {2 * (1000 + LENGTH - 1)}) AS part FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {LENGTH - 1}, 0), 1000)) AS b FROM d)
+), windows AS (
+    SELECT doc_id, b + i AS pos, md5(substr(part, 2 * i + 1, {2 * LENGTH})) AS w FROM (SELECT doc_id, b, part, unnest(range(0, least(1000, length(part) // 2 - {LENGTH - 1}))) AS i FROM blocks)
+), twice AS (
+    SELECT w FROM windows GROUP BY w HAVING count(*) > 1
+), marked AS (
+    SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {LENGTH} THEN 0 ELSE 1 END AS opens FROM windows WHERE w IN (SELECT w FROM twice)
+), spans AS (
+    SELECT doc_id, span, min(pos) AS a, max(pos) + {LENGTH} AS z FROM (SELECT doc_id, pos, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM marked) GROUP BY doc_id, span
+), gaps AS (
+    SELECT doc_id, span, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY span), 0) AS after, lead(a) OVER (PARTITION BY doc_id ORDER BY span) IS NULL AS is_last FROM spans
+), kept AS (
+    SELECT g.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * after + 1, 2 * (a - after)) || CASE WHEN is_last THEN substr(h, 2 * z + 1) ELSE '' END, '' ORDER BY span) AS h
+    FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id
+)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
