@@ -14,14 +14,18 @@ were left in, and all pairs of a home are decided:
 * a set highly similar to the one just answered derives its overlaps from that one's: the lists of
   the tokens that differ are added or taken away, all others are skipped.
 
-A home of more than ``BLOCK`` sets is dealt over pairs of blocks, so no task holds more than two
-blocks.  A pair of sets is counted in its first common home only.  Classes are joined to components
+A home of more than ``BLOCK`` sets or ``BLOCK_TOKENS`` shingles is dealt over pairs of blocks, so no
+task holds more than two blocks.  A pair of sets is counted in its first common home only.  Classes are joined to components
 by label propagation in Spark.
 
 Null or empty texts, and texts without words, have the empty set and are linked with nothing; fewer
 words than five count as one shingle.  Repeated rows are copies, rows that repeat an id with another
-text are documents of their own; a null id comes after all others.  An empty table gives an empty
-result.  Only doc_id and text are read.
+text are documents of their own; a null id comes after all others.  Very long texts are compared
+whole: blocks are bounded by their shingles too.  An empty table gives an empty result.  Only doc_id
+and text are read.
+
+Links are counted exactly, so a group of near copies of many different texts costs the square of its
+texts; copies with equal sets cost nothing.
 """
 
 from __future__ import annotations
@@ -33,15 +37,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import table, written
+from docketry.llm.common import fresh, table, written
 from docketry.llm.textbytes import Run, mix, runs
 
 WORDS, PERCENT = 5, 75
 CELL_BITS, CHUNK_BITS, SALTS = 22, 16, 32
-BLOCK = 2_048
+#: Sets of a block, and shingles of a block's sets, before a home is dealt over more blocks.
+BLOCK, BLOCK_TOKENS = 2_048, 1 << 22
 
 
 def shingles(column: pa.Array) -> Iterator[np.ndarray]:
@@ -77,12 +82,17 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def version_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def classes_and_sketch(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: (doc_id, n, key) of every row, and the counters of each task in packed chunks."""
+    """One pass over the texts: (doc_id, version, n, key) of every row, and the counters of each task in packed chunks.
+    ``version``, a hash of the text, tells rows apart that bear the same doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << CELL_BITS, dtype=np.uint32), set()
-        names = ["doc_id", "n", "key", "chunk", "salt", "packed"]
+        names = ["doc_id", "version", "n", "key", "chunk", "salt", "packed"]
         for b in batches:
             ns, keys = [], []
             for tokens in shingles(b.column(1)):
@@ -93,16 +103,17 @@ def classes_and_sketch(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     seen.add(key)
                     counts[_cells(tokens)] += 1  # distinct tokens of one set may share a cell; order is all that depends on it
             nothing = pa.nulls(len(ns), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), nothing, nothing, pa.nulls(len(ns), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), nothing, nothing, pa.nulls(len(ns), pa.binary())], names=names)
         if seen:
             parts = counts.reshape(-1, 1 << CHUNK_BITS)
             salt = TaskContext.get().partitionId() % SALTS
             n = len(parts)
             packed = [zlib.compress(p.tobytes(), 1) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    both = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long, chunk int, salt int, packed binary"), "classes")
-    return both.where("chunk IS NULL").select("doc_id", "n", "key"), both.where("chunk IS NOT NULL").select("chunk", "salt", "packed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", version_of(F.col("text")).alias("version"))
+    both = written(rows.mapInArrow(run, "doc_id long, version long, n long, key long, chunk int, salt int, packed binary"), "classes")
+    return both.where("chunk IS NULL").select("doc_id", "version", "n", "key"), both.where("chunk IS NOT NULL").select("chunk", "salt", "packed")
 
 
 def token_ranks(sketch: DataFrame) -> np.ndarray:
@@ -189,12 +200,13 @@ def _lists(prefixes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, home long, token long, n int")
 
 
-def _dealt(members: DataFrame, columns: list[str]) -> DataFrame:
-    """A row of ``columns`` and of all homes of a set for each of its homes (key, home) and pair of blocks (a, b); homes of one set are left out."""
-    sizes = members.groupBy("home").agg(F.count("*").alias("size")).where("size > 1").select("home", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+def _dealt(members: DataFrame) -> DataFrame:
+    """A row of all homes of a set for each of its homes (key, home, n) and pair of blocks (a, b); homes of one set are left out."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long")
+    sizes = members.groupBy("home").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1").select("home", blocks.alias("blocks"))
     of = members.join(sizes, "home").groupBy("key").agg(F.collect_list(F.struct("home", "blocks")).alias("homes"))
     return of.select("key", F.col("homes.home").alias("homes"), F.explode("homes").alias("h")).select("key", "homes", "h.home", F.pmod(F.xxhash64("key"), F.col("h.blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("h.blocks") - 1).cast("array<long>")).alias("other")).select(
-        "key", "homes", "home", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), *columns
+        "key", "homes", "home", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")
     )
 
 
@@ -234,7 +246,7 @@ def _may_link(keys: np.ndarray, side: np.ndarray, across: bool, sizes: np.ndarra
 
 
 def _candidates(lists: DataFrame) -> DataFrame:
-    """(key, home) of the sets that a home's prefix tokens leave as possible partners.  Only tokens move, no texts."""
+    """(key, home, n) of the sets that a home's prefix tokens leave as possible partners.  Only tokens move, no texts."""
 
     def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -247,7 +259,7 @@ def _candidates(lists: DataFrame) -> DataFrame:
             if y - x > 1:
                 own = [all_homes[homes_at[i] : homes_at[i + 1]] for i in range(x, y)]
                 use[x:y] = _may_link(keys[x:y], block[x:y], bool(a[x] != b[x]), n[x:y].astype(np.int64), own, int(home[x]), tokens[at[x] : at[y]], at[x : y + 1] - at[x])
-        return pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(home[use])], names=["key", "home"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[use]), pa.array(home[use]), pa.array(n[use])], names=["key", "home", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -266,11 +278,11 @@ def _candidates(lists: DataFrame) -> DataFrame:
         if held:
             yield settle(held)
 
-    members = lists.select("key", "home").distinct()
+    members = lists.select("key", "home", "n").distinct()
     tokens = lists.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
-    rows = _dealt(members, []).join(tokens, "key").select("key", "home", "block", "a", "b", "n", "tokens", "homes")
+    rows = _dealt(members).join(tokens, "key").select("key", "home", "block", "a", "b", "n", "tokens", "homes")
     ordered = rows.repartition("home", "a", "b").sortWithinPartitions("home", "a", "b")
-    return ordered.mapInArrow(run, "key long, home long").distinct()
+    return ordered.mapInArrow(run, "key long, home long, n int").distinct()
 
 
 def _decide(keys: np.ndarray, side: np.ndarray, across: bool, weight: np.ndarray, homes: list[set[int]], home: int, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -344,7 +356,7 @@ def _decide(keys: np.ndarray, side: np.ndarray, across: bool, weight: np.ndarray
 
 
 def _links(docs: DataFrame, candidates: DataFrame, copies: DataFrame) -> DataFrame:
-    """(key, root, linked) for every set of every home of ``candidates`` (key, home); ``copies``: doc_id, key, weight."""
+    """(key, root, linked) for every set of every home of ``candidates`` (key, home, n); ``copies``: doc_id, key, weight."""
 
     def decide(f: pd.DataFrame) -> pd.DataFrame:
         f = f.drop_duplicates(["key", "text"])
@@ -358,7 +370,7 @@ def _links(docs: DataFrame, candidates: DataFrame, copies: DataFrame) -> DataFra
         root, linked = _decide(keys, side, bool(f["a"].iloc[0] != f["b"].iloc[0]), f["weight"].to_numpy(np.int64), [set(h) for h in f["homes"]], int(f["home"].iloc[0]), sets)
         return pd.DataFrame({"key": keys, "root": keys[root], "linked": linked})
 
-    dealt = _dealt(candidates, []).join(copies, "key")
+    dealt = _dealt(candidates).join(copies, "key")
     wanted = dealt.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("key", "weight", "homes", "home", "block", "a", "b")).alias("to"))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")))
     return joined.select("text", F.explode("to").alias("to")).select("text", "to.*").groupBy("home", "a", "b").applyInPandas(decide, "key long, root long, linked long")
@@ -379,8 +391,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (documents linked with it, copies included) of every row."""
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, version, n, key) of every row, and (key, label, component_id, n_links) of every set that is not empty."""
     classes, sketch = classes_and_sketch(docs)
     lists = written(_lists(_prefixes(docs, token_ranks(sketch))), "lists")
     candidates = written(_candidates(lists), "candidates")
@@ -390,13 +402,39 @@ def join(docs: DataFrame) -> DataFrame:
     counted = found.groupBy("key").agg(F.sum("linked").alias("linked"))
     named = copies.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")).join(counted, "key", "left")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_key = named.join(smallest, "label").select("key", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return classes, named.join(smallest, "label").select("key", "label", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (documents linked with it, copies included) of every row."""
+    classes, by_key = labelled(docs)
     own = F.col("n") == 0
     return classes.join(by_key, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, 0).otherwise(F.col("n_links")).cast("long").alias("n_links")
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component: the one with the smallest doc_id (a null id comes last), then the
+    least hash of its text; of rows equal in both, any one.  Rows without words are linked with nothing and all stay."""
+    classes, by_key = labelled(docs)
+    rows = classes.groupBy("doc_id", "version", "n", "key").agg(F.count("*").alias("times"))
+    words = rows.where("n > 0")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "times")).alias("first")
+    # A set that a third of all rows share is one row before it meets its label.
+    first = words.groupBy("key").agg(order).join(by_key.select("key", "label"), "key").groupBy("label").agg(F.min("first").alias("first"))
+    without = rows.where("n = 0").select("doc_id", "version", F.lit(1).alias("times"))
+    id_of, version, times = (fresh(docs, c) for c in ("stays_id", "stays_version", "stays_times"))
+    stays = written(first.select("first.doc_id", "first.version", "first.times").unionByName(without).toDF(id_of, version, times), "stays")
+
+    def kept(of: DataFrame) -> DataFrame:
+        return docs.join(of, docs["doc_id"].cast("long").eqNullSafe(of[id_of]) & (version_of(docs["text"]) == of[version]))
+
+    out = kept(stays.where(F.col(times) == 1)).select(*docs.columns)
+    again = stays.where(F.col(times) > 1)
+    return out if again.isEmpty() else out.unionByName(kept(again).dropDuplicates([id_of, version]).select(*docs.columns))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
