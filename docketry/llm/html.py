@@ -1,15 +1,20 @@
 """HTML main text by consensus host paths.
 
 Every page's containers are scored on the text they hold; a page's best containers vote for their
-generalised path (tags and classes from the root, digits taken out).  Votes are summed by host in
+generalised path (tags and classes from the root, digits taken out).  What is voted for is the whole
+article: from the best container the vote goes up to the ``article`` (else ``main``) around it, or
+where there is none as far as what a parent adds is text rather than links.  Votes are summed by host in
 Spark, each host keeps its ``TOP_PATHS`` strongest paths, and every page is extracted anew from the
 first of its host's paths that it has; a page that has none of them uses its own best container, and
 a page without containers its body.  Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out wherever they stand.
-
-Null html counts as empty and gives an empty text; a null url belongs to the host ''.  Repeated
-pages are extracted each for itself.  Ties between paths go to the path that sorts first.  An empty
-table gives an empty result.
+scripts, styles and reader comments are left out wherever they stand: by tag and role, or by a class or
+id that names them.  A class or id alone never leaves out an element that holds an ``article`` or
+``main``, nor, on a page that has neither, one with three quarters of the page's text.
+
+Null html counts as empty and gives an empty text; a null url belongs to the host ''.  Repeated pages
+and ids are extracted each for itself, extra columns are not read.  Very long pages are parsed whole, in
+time that grows with their length, broken markup included.  Ties between paths go to the path that
+sorts first.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +30,14 @@ from pyspark.sql import functions as F
 from docketry.llm.common import table, written
 
 TOP_PATHS, VOTES = 5, 3
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg|math|iframe|object|canvas|textarea|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Levels of a path; what is nested deeper shares one path.
+DEPTH = 64
+# Markup that begins at a "<"; attribute values may hold ">" between quotes.
+_QUOTED = r"(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)"
+_MARKUP = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|template|noscript|svg|math|iframe|object|canvas|textarea|select|title)\b{skip}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*){attrs}>|<[!?/][^>]*>"
+_TOKEN = re.compile(_MARKUP.format(skip=_QUOTED.replace("?P<attrs>", "?:"), attrs=_QUOTED), re.S | re.I)
+#: For pages with a quote that is never closed: the next ">" ends a tag.
+_BROKEN = re.compile(_MARKUP.format(skip="[^>]*", attrs="(?P<attrs>[^>]*)"), re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -45,8 +51,15 @@ _OUT_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer header masthead topbar toolbar widget widgets "
     "comment comments disqus replies respond reviews share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager".split()
 )
-_WORDS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+# Words that say nothing of their own next to one of those, and words before them that turn their sense.
+_PLAIN_WORDS = frozenset(
+    "area bar block body bottom box button buttons column container content entry feed field form global group heading icon icons image inner item items left link links list main message middle "
+    "module outer page panel post posts primary right row secondary section site slot small social stories story strip tag text thread title top unit wide wrap wrapper zone".split()
+)
+_TURNING = frozenset("has have no not non with without is hide show".split())
+_WORDS = re.compile(r"[A-Z]*[a-z]+|[A-Z]+|[0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -54,11 +67,20 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _left_out(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in _OUT_TAGS or attrs.get("role", "").lower() in _OUT_ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs:
-        return True
-    if tag in ("body", "html", "article", "main"):  # these hold the article whatever their classes say
-        return False
-    return any(w.lower() in _OUT_WORDS for key in ("class", "id") for w in _WORDS.findall(attrs.get(key, "")))
+    """By tag, role or hiding: whatever it holds."""
+    return tag in _OUT_TAGS or attrs.get("role", "").lower() in _OUT_ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs
+
+
+def _names_other(attrs: dict[str, str]) -> bool:
+    """Whether a class or id names something other than the article: it ends in a word for that (``site-header``), or
+    holds one among words that say nothing else (``related-posts``); ``share-price`` and ``has-sidebar`` do not."""
+    for name in (*attrs.get("class", "").split(), attrs.get("id", "")):
+        words = [w.lower() for w in _WORDS.findall(name) if not w[0].isdigit()]
+        if not words or words[0] in _TURNING or _OUT_WORDS.isdisjoint(words):
+            continue
+        if words[-1] in _OUT_WORDS and _TURNING.isdisjoint(words) or all(w in _OUT_WORDS or w in _PLAIN_WORDS for w in words):
+            return True
+    return False
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -66,6 +88,19 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Markup of a page, in order.  At most one tag is searched to the end of the page in vain."""
+    pattern, at, last = _TOKEN, page.find("<"), page.rfind(">")
+    while 0 <= at:
+        m = pattern.match(page, at) if at < last or page.startswith(("<!--", "<![CDATA["), at) else None
+        if m is None and pattern is _TOKEN and at < last and page[at + 1 : at + 2].strip(" \t\r\n0123456789=<"):
+            pattern = _BROKEN
+            m = pattern.match(page, at)
+        if m is not None:
+            yield m
+        at = page.find("<", m.end() if m is not None else at + 1)
+
+
 class Page:
     """The containers of a page, in order, and the pieces of text with the containers they are in."""
 
@@ -74,20 +109,37 @@ class Page:
         self.parents: list[int] = []
         #: (container or -1, text, within a link); None is a break between blocks.
         self.pieces: list[tuple[int, str, bool] | None] = []
-        stack: list[tuple[str, int, bool, str]] = []  # tag, innermost container, left out, path
-        here, out, path, at, links = -1, False, "", 0, 0
-        for m in _TOKEN.finditer(page):
-            if m.start() > at and not out:
-                self.pieces.append((here, page[at : m.start()], links > 0))
+        named: list[int] = []  # of every piece, the innermost element whose class or id names something else
+        above: list[int] = []  # of every such element, the next one around it
+        holds: list[bool] = []  # whether an article or main is in it
+        stack: list[tuple[str, int, bool, str, int]] = []  # tag, innermost container, left out, path, innermost such element
+        here, out, path, other, at, links, head = -1, False, "", -1, 0, 0, -1
+
+        def text(piece: str) -> None:
+            nonlocal here, out, path, other
+            if 0 <= head < len(stack) and piece.strip():  # text ends a head that was not closed
+                del stack[head:]
+                here, out, path, other = stack[-1][1:] if stack else (-1, False, "", -1)
+            if not out:
+                self.pieces.append((here, piece, links > 0))
+                named.append(other)
+
+        def gap() -> None:
+            self.pieces.append(None)
+            named.append(other)
+
+        for m in _tokens(page):
+            if m.start() > at:
+                text(page[at : m.start()])
             at = m.end()
             tag = m["tag"]
             if tag is None:
                 if m["raw"] and m["raw"].lower() != "svg" and m["raw"].lower() != "math":
-                    self.pieces.append(None)
+                    gap()
                 continue
             tag = tag.lower()
             if tag not in _INLINE:
-                self.pieces.append(None)
+                gap()
             if m["end"]:
                 place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
                 # An inline end tag does not close the blocks it stands in.
@@ -97,6 +149,12 @@ class Page:
             elif tag in _VOID:
                 continue
             else:
+                if tag == "head":
+                    head = min(head, len(stack)) if 0 <= head < len(stack) else len(stack)
+                elif tag not in _IN_HEAD and 0 <= head < len(stack):
+                    del stack[head:]
+                if len(stack) <= head and tag != "head":
+                    head = -1
                 if tag in _CLOSES_P:
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == "p":
@@ -112,46 +170,122 @@ class Page:
                             break
                         if stack[i][0] in ("ul", "ol", "dl", "table", "select") or stack[i][0] == "tr" and tag != "tr" or stack[i][0] in _CONTAINERS:
                             break
-                above = stack[-1] if stack else ("", -1, False, "")
+                around = stack[-1] if stack else ("", -1, False, "", -1)
                 attrs = _attributes(m["attrs"]) if m["attrs"] else {}
-                own, gone = above[1], above[2] or _left_out(tag, attrs)
-                path = f"{above[3]}>{_step(tag, attrs)}" if above[3] else _step(tag, attrs)
+                own, gone, inside = around[1], around[2] or _left_out(tag, attrs), around[4]
+                if len(stack) < DEPTH:
+                    path = f"{around[3]}>{_step(tag, attrs)}" if around[3] else _step(tag, attrs)
+                else:
+                    path = around[3] if around[3].endswith(">*") else f"{around[3]}>*"
+                if tag in ("article", "main"):
+                    up = inside
+                    while up >= 0 and not holds[up]:
+                        holds[up], up = True, above[up]
+                elif attrs and not gone and tag not in ("body", "html") and _names_other(attrs):
+                    above.append(inside)
+                    holds.append(False)
+                    inside = len(above) - 1
                 if tag in _CONTAINERS and not gone:
                     self.paths.append(path)
-                    self.parents.append(above[1])
+                    self.parents.append(around[1])
                     own = len(self.paths) - 1
                 if not m["attrs"].endswith("/") or tag in _CONTAINERS:
-                    stack.append((tag, own, gone, path))
-            here, out, path = stack[-1][1:] if stack else (-1, False, "")
+                    stack.append((tag, own, gone, path, inside))
+            here, out, path, other = stack[-1][1:] if stack else (-1, False, "", -1)
             links = sum(s[0] == "a" for s in stack) if tag == "a" or links else 0
-        if at < len(page) and not out:
-            self.pieces.append((here, page[at:], links > 0))
-
-    def scores(self) -> list[float]:
-        """Per container: the text right in it in full, less for each container between; links count against it."""
-        own = [0.0] * len(self.paths)
+        if at < len(page):
+            text(page[at:])
+        self._leave_out(named, above, holds)
+
+    def _leave_out(self, named: list[int], above: list[int], holds: list[bool]) -> None:
+        """Take out the pieces within elements that name something else, unless those hold the article or, on a page
+        that marks none, three quarters of the text."""
+        if not above:
+            return
+        articles = any(p.rpartition(">")[2].split(".")[0] in ("article", "main") for p in self.paths)
+        size, total = [0] * len(above), 0
+        for piece, of in zip(self.pieces, named, strict=True):
+            if piece:
+                n = len(piece[1].strip())
+                total += n
+                if of >= 0:
+                    size[of] += n
+        for i in range(len(above) - 1, -1, -1):  # what is inside comes later
+            if above[i] >= 0:
+                size[above[i]] += size[i]
+        gone: list[bool] = []
+        for up, n, article in zip(above, size, holds, strict=True):
+            gone.append(up >= 0 and gone[up] or not article and (articles or 4 * n < 3 * total))
+        self.pieces = [piece if of < 0 or not gone[of] else None for piece, of in zip(self.pieces, named, strict=True)]
+
+    def sizes(self) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Per container: the text right in it, of links right in it, and both with all that is inside."""
+        own, own_links = [0] * len(self.paths), [0] * len(self.paths)
         for piece in self.pieces:
             if piece and piece[0] >= 0:
-                size = len(piece[1].strip())
-                own[piece[0]] += -size if piece[2] else size
-        total = own[:]
+                (own_links if piece[2] else own)[piece[0]] += len(piece[1].strip())
+        every, every_links = own[:], own_links[:]
         for i in range(len(own) - 1, -1, -1):  # children come after their parents
-            share, up = own[i] / 2, self.parents[i]
+            if self.parents[i] >= 0:
+                every[self.parents[i]] += every[i]
+                every_links[self.parents[i]] += every_links[i]
+        return own, own_links, every, every_links
+
+    def scores(self) -> list[float]:
+        """Per container: the text right in it in full, less for each container between; links count against it."""
+        own, links, _, _ = self.sizes()
+        total = [float(a - b) for a, b in zip(own, links, strict=True)]
+        for i, (a, b) in enumerate(zip(own, links, strict=True)):
+            share, up = (a - b) / 2, self.parents[i]
             while up >= 0 and abs(share) >= 1:
                 total[up] += share
                 share, up = share / 2, self.parents[up]
-        return [s * (1.25 if p.rpartition(">")[2].split(".")[0] in ("article", "main") else 1.0) for s, p in zip(total, self.paths, strict=True)]
+        return total
+
+    def _tag(self, i: int) -> str:
+        return self.paths[i].rpartition(">")[2].split(".")[0]
+
+    def whole(self, i: int) -> int:
+        """The container of the whole article that container ``i`` belongs to."""
+        around, up = [], self.parents[i]
+        while up >= 0:
+            around.append(up)
+            up = self.parents[up]
+        for tag in ("article", "main"):
+            if self._tag(i) == tag:
+                return i
+            if held := [u for u in around if self._tag(u) == tag]:
+                return held[0]
+        _, _, text, links = self.sizes()
+        for up in around:
+            more, more_links = text[up] - text[i], links[up] - links[i]
+            # Up to the body only where most text lies outside: it holds whatever else the page has.
+            if more_links > more / 2 or self._tag(up) == "body" and text[i] > more:
+                break
+            i = up
+        return i
 
     def best(self, n: int) -> list[tuple[str, float]]:
         """The n best paths with their shares of the page's score, strongest first."""
-        by: dict[str, float] = {}
-        for path, s in zip(self.paths, self.scores(), strict=True):
+        by: dict[int, float] = {}
+        for i, s in enumerate(self.scores()):
             if s > 0:
-                by[path] = by.get(path, 0.0) + s
-        ranked = sorted(by.items(), key=lambda x: (-x[1], x[0]))
-        top = [x for x in ranked if not ranked[0][0].startswith(f"{x[0]}>")][:n]  # what merely surrounds the best is no rival
-        whole = sum(s for _, s in top)
-        return [(p, s / whole) for p, s in top]
+                by[i] = s
+        if not by:
+            return []
+        top = self.whole(min(by, key=lambda i: (-by[i], self.paths[i])))
+        inside = [False] * len(self.paths)
+        for i, up in enumerate(self.parents):
+            inside[i] = self.paths[i] == self.paths[top] or up >= 0 and inside[up]
+        votes: dict[str, float] = {self.paths[top]: 0.0}
+        for i, s in by.items():
+            if inside[i]:
+                votes[self.paths[top]] += s
+            elif not self.paths[top].startswith(f"{self.paths[i]}>"):  # what merely surrounds the best is no rival
+                votes[self.paths[i]] = votes.get(self.paths[i], 0.0) + s
+        ranked = sorted(votes.items(), key=lambda x: (x[0] != self.paths[top], -x[1], x[0]))[:n]
+        whole = sum(s for _, s in ranked)
+        return [(p, s / whole) for p, s in ranked]
 
     def text(self, path: str | None) -> str:
         """The text within all containers of ``path`` (None: the whole page)."""
