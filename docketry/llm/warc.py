@@ -4,27 +4,35 @@ Both name the response they derive from (WARC-Refers-To, its target URI and date
 HTTP header block and payload digest, carry digests of their own, and name each other
 (WARC-Concurrent-To).  Identifiers are derived from the source's, so a re-run task writes the same.
 
-Input: record_id, target_uri, date, http_headers, payload (string or null).  A null payload counts
-as empty, a null URI or header block as the empty string; a repeated record gives repeated
-derivatives.  Extra columns are ignored.  An empty table gives no records.
+Input: record_id, target_uri, date, http_headers, payload (string or null), as :func:`read` gives them
+of WARC files and :func:`responses` of a table of pages.  A null payload counts as empty, a null URI or
+header block as the empty string.  Pages that repeat an id, a URL or both are responses of their own
+with ids of their own: the row's place in its input split is part of an id.  Line ends in header values
+become blanks when records are written.  Very long pages are converted whole, extra columns ignored.
+An empty table gives no records.
 """
 
 from __future__ import annotations
 
+import gzip
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from docketry.llm.common import table
 
+RESPONSE = "record_id string, target_uri string, date string, http_headers string, payload string"
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 COLUMNS = ("record_type", "record_id", "refers_to", "refers_to_target_uri", "refers_to_date", "concurrent_to", "target_uri", "date", "content_type", "source_headers", "source_payload_digest", "block_digest", "content_length", "content")
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# The title goes to the metadata record; what else a head holds has no text, so a head that is not closed hides nothing.
+_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|aside|main|form|blockquote|pre|hr|title|body|html|dl|dt|dd|figure|figcaption)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>?")
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
@@ -60,7 +68,8 @@ def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
     """Response records of crawled pages (page_id, url, html), carrying page_id."""
     body = F.coalesce("html", F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body), F.lit("\r\n\r\n"))
-    return pages.select("page_id", uuid_of(F.lit("response"), F.col("page_id"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), head.alias("http_headers"), body.alias("payload"))
+    record_id = uuid_of(F.lit("response"), F.col("page_id"), F.col("url"), F.sha2(body, 256), F.monotonically_increasing_id())
+    return pages.select("page_id", record_id.alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), head.alias("http_headers"), body.alias("payload"))
 
 
 def derive(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -92,7 +101,7 @@ def derive(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def serialized(derived: DataFrame) -> DataFrame:
     """One column ``record``: the records in WARC/1.1 form without their closing blank lines (see :func:`save`).
     The source's header lines are kept as WARC-Source-Header fields."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\r\n"))
     angled = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
     source = F.array_join(F.transform(F.filter(F.split("source_headers", "\r\n"), lambda h: h != ""), lambda h: line("WARC-Source-Header", h)), "")
     head = F.concat(
@@ -109,15 +118,53 @@ def save(derived: DataFrame, path: str) -> None:
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record of a WARC file's bytes."""
+    """Headers and block of every record of a WARC file's bytes (gzip members are unpacked); an error if one is cut off."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        head = dict(h.split(": ", 1) for h in data[at:end].decode().split("\r\n")[1:])
+        lines = data[at:end].decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+        head = dict(h.split(":", 1) for h in lines[1:] if ":" in h)
+        head = {k.strip(): v.strip() for k, v in head.items()}
         size = int(head["Content-Length"])
+        if end + 4 + size > len(data):
+            raise ValueError("a WARC record is cut off")
         yield head, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
 
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._-]+)", re.I)
+
+
+def _response(head: dict[str, str], block: bytes) -> tuple[str | None, ...]:
+    """record_id, target_uri, date, http_headers and payload of a response record."""
+    http, _, body = block.partition(b"\r\n\r\n")
+    lines = http.decode("latin-1")
+    if re.search(r"(?im)^content-encoding:\s*gzip", lines):
+        body = gzip.decompress(body)
+    found = _CHARSET.search(lines)
+    try:
+        payload = body.decode(found[1] if found else "utf-8", "replace")
+    except LookupError:  # a charset that is unknown
+        payload = body.decode("utf-8", "replace")
+    return head.get("WARC-Record-ID", "").strip("<>") or None, head.get("WARC-Target-URI", "").strip("<>") or None, head.get("WARC-Date"), lines + "\r\n\r\n", payload
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files, plain or gzipped: record_id, target_uri, date, http_headers, payload.  Records
+    of other types are skipped.  A file is unpacked by one task, so crawls are best kept in files of some hundred MB."""
+    names = RESPONSE.replace(" string", "").split(", ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                rows = (_response(head, block) for head, block in parse(data.as_py()) if head.get("WARC-Type") == "response")
+                while some := list(itertools.islice(rows, 256)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(responses(table(spark, sf_dir, "pages")), keep=("page_id",))
