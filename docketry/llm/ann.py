@@ -1,15 +1,14 @@
 """Nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-Rotations are learned on at most ``MAX_ROTATE`` vectors of a sample of at most ``MAX_FIT`` (those with
-the smallest hash of their row): principal directions, then alternating signs and orthogonal fits from
+Rotations are learned on a sample of at most ``MAX_FIT`` vectors (those with the smallest hash of their
+row): principal directions, then alternating signs and orthogonal fits from
 several starts until ``BITS`` bits are there.  Signs of the rotated vector are its code.  Codes are cut
 into substrings of 16 bits, and every vector is indexed by each of them.  If two codes differ in at
 most r bits, some substring j differs in at most its share of r (the pigeonhole), so a query probes the
 buckets whose substring lies within that share and retrieves every code within r.  Retrieved codes
 farther than a second radius in all bits go; what is left is reranked by cosine in double precision.
-Both radii come from the sample: the first is the least whose probes find ``FOUND`` of the true
-neighbours there, the second holds ``NEAR`` of them.  The whole table is denser than the sample, so its
-neighbours lie closer and recall is no lower.
+Both radii come from ``FIT_QUERIES`` rows of the sample and their true neighbours in the whole table, found
+in one pass over it: the first is the least whose probes find ``FOUND`` of them, the second holds ``NEAR``.
 
 A bucket key is the first ``prefix`` bits of a substring, as many as leave ``GROUP_ROWS`` codes to a
 bucket; the rest of the substring is compared inside.  Only codes move to the buckets, vectors meet
@@ -29,7 +28,7 @@ no rows.  Only vec_id, vector and what ``is_query`` names are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +38,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import table, written
 
-MAX_FIT, MAX_ROTATE, FIT_QUERIES, ROUNDS = 16_384, 4_096, 1_024, 10
-BITS, SUB_BITS, FOUND, NEAR, K = 256, 16, 0.95, 0.97, 5
+MAX_FIT, FIT_QUERIES, ROUNDS = 4_096, 256, 10
+BITS, SUB_BITS, FOUND, NEAR, K = 256, 16, 0.97, 0.98, 5
 #: Codes that a bucket is to hold, codes from which on it is salted, and queries met at once.
 GROUP_ROWS, HOT_ROWS, STEP = 512, 8_192, 128
 WORDS = ["c0", "c1", "c2", "c3"]
@@ -81,26 +80,49 @@ def _rotation(low: np.ndarray, seed: int) -> np.ndarray:
     return turn
 
 
-def fit(x: np.ndarray, k: int = K) -> Codes:
-    """Codes for the sample ``x``."""
+def fit(x: np.ndarray) -> Codes:
+    """Codes for the sample ``x``; their radii take in everything."""
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    some = unit[:MAX_ROTATE]
-    centre = some.mean(axis=0)
+    centre = unit.mean(axis=0)
     size = min(BITS, x.shape[1])
-    _, _, v = np.linalg.svd(some - centre, full_matrices=False)
+    _, _, v = np.linalg.svd(unit - centre, full_matrices=False)
     axes = np.zeros((x.shape[1], size))
     axes[:, : min(size, len(v))] = v[:size].T
-    low = (some - centre) @ axes
-    coder = Codes(centre, np.concatenate([axes @ _rotation(low, seed) for seed in range(BITS // size)], axis=1), BITS, BITS)
-    if len(x) > k + 1:
-        codes, near = coder.encode(x), unit[:FIT_QUERIES] @ unit.T
-        own = np.arange(len(near))
-        near[own, own] = -np.inf
-        top = np.argpartition(-near, k, axis=1)[:, :k]
-        apart = np.bitwise_count(subs(codes)[own, None] ^ subs(codes)[top])[:, :, : coder.m].astype(int)
-        coder.reach = int(np.quantile(apart.sum(axis=-1), NEAR, method="higher"))
-        coder.radius = next(r for r in range(coder.m - 1, BITS + coder.m) if (apart <= coder.shares(r)).any(axis=-1).mean() >= FOUND)
-    return coder
+    low = (unit - centre) @ axes
+    return Codes(centre, np.concatenate([axes @ _rotation(low, seed) for seed in range(BITS // size)], axis=1), BITS + SUB_BITS, BITS)
+
+
+def calibrate(coder: Codes, asked: np.ndarray, query: np.ndarray, found: np.ndarray) -> None:
+    """Set the radii so that probes and whole codes hold the true neighbours ``found`` (codes) of ``asked[query]``."""
+    apart = np.bitwise_count(subs(asked)[query] ^ subs(found))[:, : coder.m].astype(int)
+    coder.reach = int(np.quantile(apart.sum(axis=1), NEAR, method="higher"))
+    coder.radius = next(r for r in range(coder.m - 1, BITS + SUB_BITS + 1) if (apart <= coder.shares(r)).any(axis=1).mean() >= FOUND)
+
+
+def true_neighbours(rows: DataFrame, coder: Codes, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, code) of the k nearest of a few vectors ``asked`` in the whole table, vectors equal to them apart."""
+    unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    dimension = unit.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, codes = np.full((len(unit), 0), 0.0), np.zeros((len(unit), 0, len(WORDS)), dtype="<u8")
+        for b in batches:
+            if b.num_rows:
+                x = _vectors(b, 0, dimension)
+                near = unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                near[near > 1 - 1e-9] = -np.inf
+                some = np.argpartition(-near, min(k, len(x)) - 1, axis=1)[:, :k]
+                both = np.concatenate([best, np.take_along_axis(near, some, axis=1)], axis=1)
+                all_codes = np.concatenate([codes, coder.encode(x)[some]], axis=1)
+                top = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                best, codes = np.take_along_axis(both, top, axis=1), np.take_along_axis(all_codes, top[:, :, None], axis=1)
+        q, i = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best[q, i]), *_words(codes[q, i])], names=["query", "score", *WORDS])
+
+    each = rows.select("vector").mapInArrow(run, "query long, score double, " + ", ".join(f"{c} long" for c in WORDS))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), *WORDS)
+    top = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query", *WORDS).toArrow()
+    return top.column("query").to_numpy(), np.column_stack([top.column(c).to_numpy().view("<u8") for c in WORDS])
 
 
 def _valid(vector: str) -> Column:
@@ -137,6 +159,10 @@ def entries(rows: DataFrame, coder: Codes, keep_ids: int) -> DataFrame:
     return gathered.withColumn("entry", F.monotonically_increasing_id())
 
 
+def _at_most(bits: int) -> Callable[[Column], Column]:
+    return lambda x: F.bit_count(x) <= bits
+
+
 def probe(index: DataFrame, queries: DataFrame, coder: Codes, n: int, shares: list[int], reach: int, compared: Accumulator | None = None) -> DataFrame:
     """(uid, entry) of every pair that some substring retrieves and that differs in at most ``reach`` bits.
 
@@ -146,9 +172,9 @@ def probe(index: DataFrame, queries: DataFrame, coder: Codes, n: int, shares: li
     places = [j for j in range(coder.m) if shares[j] >= 0]
     head = lambda j: F.shiftrightunsigned(F.col(WORDS[j // 4]), SUB_BITS * (j % 4)).bitwiseAND(F.lit(low))
     # Only prefixes within the substring's share can hold a match: the query's own, altered by these masks.
-    masks = lambda share: F.filter(F.sequence(F.lit(0), F.lit(low)), lambda x: F.bit_count(x) <= share)
+    masks = {share: F.filter(F.sequence(F.lit(0), F.lit(low)), _at_most(share)) for share in set(shares)}
     cells = F.array(*(F.struct(F.lit(j).alias("j"), head(j).alias("head")) for j in places))
-    near = lambda j: F.transform(masks(shares[j]), lambda x: F.struct(F.lit(j).alias("j"), head(j).bitwiseXOR(x.cast("long")).alias("head")))
+    near = lambda j: F.transform(masks[shares[j]], lambda x: F.struct(F.lit(j).alias("j"), head(j).bitwiseXOR(x.cast("long")).alias("head")))
     probes = F.concat(*map(near, places))
     at = lambda df, name, where, side: df.select(F.explode(where).alias("cell"), F.col(name).alias("id"), *WORDS).select("cell.j", "cell.head", F.lit(side).alias("side"), "id", *WORDS)
     indexed, asked = at(index, "entry", cells, 0), at(queries, "uid", probes, 1)
@@ -242,8 +268,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, max_fit: int = MAX
     sample = _sample(rows, rows.count(), max_fit)
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    coder, dimension = fit(sample, k), sample.shape[1]
+    coder, dimension = fit(sample), sample.shape[1]
     rows = rows.where(F.size("vector") == dimension)
+    asked_by = sample[:FIT_QUERIES]
+    query, near = true_neighbours(rows, coder, asked_by, k)
+    if len(query):
+        calibrate(coder, coder.encode(asked_by), query, near)
     index, n_rows = written(entries(rows, coder, k + 1), "codes"), rows.count()
     n = index.count()
 
