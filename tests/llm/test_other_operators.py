@@ -3,7 +3,8 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -27,7 +28,7 @@ def test_nearest_neighbours_against_brute_force(spark):
     centres = rng.normal(size=(20, 24))
     vectors = np.concatenate([centres[rng.integers(0, 20, 560)] + 0.4 * rng.normal(size=(560, 24)), np.repeat(rng.normal(size=(1, 24)), 40, axis=0)]).astype(np.float32).astype(float)
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (950, [0.0] * 24), (1000, [float("nan")] * 24), (1050, [1.0, None] + [0.0] * 22), (1100, [1.0] * 3)]
-    df = spark.createDataFrame(rows + rows[:3], "vec_id long, vector array<double>")
+    df = spark.createDataFrame(rows + rows[1:3], "vec_id long, vector array<double>")  # repeated rows are candidates of their own
     got = defaultdict(list)
     for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"], r["rank"]))
@@ -41,8 +42,9 @@ def test_nearest_neighbours_against_brute_force(spark):
             assert abs(score - (x @ y) / np.sqrt((x @ x) * (y @ y))) < 1e-12
         hits += len({v for v, _, _ in got[q]} & {v for _, v in best})
     assert hits >= 0.9 * 5 * len(want)
-    # Equal vectors tie exactly: the smallest ids are returned.
-    assert [v for v, _, _ in got[550 + 50 - 50]] if 550 in got else True
+    # Equal vectors tie exactly: a query among 560..599 meets the smallest other ids that bear its vector.
+    twins = ann.nearest(df, F.col("vec_id").isin(560, 575)).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in twins] == [561, 562, 563, 564, 565, 560, 561, 562, 563, 564]
 
 
 def test_few_or_no_vectors(spark):
@@ -54,14 +56,64 @@ def test_few_or_no_vectors(spark):
 
 def test_pigeonhole_finds_every_code_within_the_radius():
     rng = np.random.default_rng(2)
-    coder = ann.Codes(np.zeros(64), np.eye(64), 21)
-    shares = coder.shares(21)
-    codes = rng.integers(0, 2**63, 3000, dtype=np.uint64)
-    near = codes ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 21)).astype(np.uint64), axis=1)
-    hit = np.zeros(3000, dtype=bool)
-    for j in range(coder.m):
-        hit |= np.bitwise_count(ann.sub(codes ^ near, j)) <= shares[j]
-    assert hit[np.bitwise_count(codes ^ near) <= 21].all()
+    coder = ann.Codes(np.zeros(64), np.zeros((64, ann.BITS)), 40, ann.BITS)
+    for radius in (15, 16, 40, 71):
+        shares = coder.shares(radius)
+        assert sum(shares) == radius - coder.m + 1
+        codes = rng.integers(0, 2**63, (2000, 4), dtype=np.uint64)
+        near = codes.copy()
+        for _ in range(radius):
+            near[np.arange(2000), rng.integers(0, 4, 2000)] ^= np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)
+        hit = (np.bitwise_count(ann.subs(codes) ^ ann.subs(near)) <= shares).any(axis=1)
+        assert hit[np.bitwise_count(codes ^ near).sum(axis=1) <= radius].all()
+
+
+def _clustered(seed, groups, size, noise):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, 64))
+    return (np.repeat(centres, size, axis=0) + noise * rng.normal(size=(groups * size, 64)))[rng.permutation(groups * size)]
+
+
+def test_buckets_leave_most_vectors_uncompared(spark, tmp_path):
+    """50,000 vectors of 5,000 clusters: recall, and how many of the pairs were compared."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = _clustered(3, 5_000, 10, 0.35)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "vector": pa.array(list(x))}), tmp_path / "v.parquet")
+    compared = spark.sparkContext.accumulator(0)
+    rows = ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 50 == 0, compared=compared).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    queries = np.arange(0, len(x), 50)
+    scores = unit[queries] @ unit.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    best = np.argpartition(-scores, 5, axis=1)[:, :5]
+    got = {(r["query_id"], r["vec_id"]) for r in rows}
+    recall = np.mean([(q, v) in got for q, b in zip(queries.tolist(), best.tolist(), strict=True) for v in b])
+    share = compared.value / (len(queries) * len(x))
+    print(f"recall {recall:.3f}, compared {compared.value} of {len(queries) * len(x)} pairs ({share:.4f})")
+    assert len(rows) == 5 * len(queries) and recall >= 0.9
+    assert np.log2(len(x) / ann.GROUP_ROWS) > 6 and share < 0.05
+
+
+def test_hot_buckets_give_what_others_give(spark, monkeypatch):
+    x = np.concatenate([_clustered(4, 30, 10, 0.3), np.ones((300, 64)) + 0.05 * np.random.default_rng(5).normal(size=(300, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    plain = sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 50 == 0).collect()))
+    for name, value in (("HOT_ROWS", 16), ("GROUP_ROWS", 8), ("STEP", 3)):
+        monkeypatch.setattr(ann, name, value)
+    assert sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 50 == 0).collect())) == plain
+    # All of the tight cluster's queries find their neighbours in it.
+    assert all(r[2] >= 300 for r in plain if r[0] >= 300)
+
+
+def test_rows_that_repeat_an_id_are_candidates_and_queries(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [4.0, 0.0]), (3, [8.0, 0.0]), (4, [1.0, 1.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, vector array<double>, entry string, uid string")
+    got = Counter((r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect())
+    half = round(0.5**0.5, 9)
+    same = [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0), (5, 4, half)]
+    assert got == Counter([*same, *same, (1, 4, half), (2, 0, 0.0), (3, 0, 0.0), (4, 1, 0.0), (5, 2, 0.0)])
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>x</style></head><body>
@@ -104,6 +156,93 @@ def test_warc_records_round_trip(spark, tmp_path):
             assert b"<p>" not in block and b"var x" not in block
 
 
+def _page(rng, n):
+    """A page and its article's text; what stands around the article varies."""
+    said = lambda k: " ".join(words(rng, k))
+    lead, parts, title = said(6), [said(rng.randint(20, 60)) for _ in range(rng.randint(2, 5))], said(4)
+    other = lambda name: f'<div class="{name}"><p>{said(30)}</p></div>'
+    kind = n % 4
+    if kind == 0:  # headline and lead beside the body
+        body, want = f'<article><h1>{title}</h1><p>{lead}</p><div class="body">' + "".join(f"<p>{p}" for p in parts) + "</div></article>", [title, lead, *parts]
+    elif kind == 1:  # sections of different classes, no article
+        body, want = f'<div class="content has-sidebar"><h1>{title}</h1>' + "".join(f'<section class="part{"" if i else " intro"}"><p>{p}</p></section>' for i, p in enumerate(parts)) + "</div>", [title, *parts]
+    elif kind == 2:  # classes inside the article that hold words for something else
+        body, want = f'<main><div class="share-price-report"><p>{lead}</p></div><div class="no-ads">' + "".join(f"<p>{p}</p>" for p in parts) + f"</div>{other('related-posts')}</main>", [lead, *parts]
+    else:  # the article inside a wrapper that is named for what it also holds
+        body, want = f'<div id="page" class="with-header notice"><article><h2>{title}</h2>' + "".join(f"<p>{p}</p>" for p in parts) + f"{other('ad-banner')}</article></div>", [title, *parts]
+    head = f"<head><title>{title}</title><meta charset=utf-8>" + ("</head>" if n % 3 else "")
+    page = f'<html>{head}<body class="with-header"><nav><a href="/">{said(9)}</a></nav>{other("cookie-notice")}{body}<aside>{said(20)}</aside><div id="comments">{said(25)}</div><footer>{said(5)}</footer></body></html>'
+    return page, " ".join(want)
+
+
+def test_main_text_of_made_pages(spark):
+    rng = random.Random(21)
+    made = [_page(rng, n) for n in range(160)]
+    rows = [(n if n % 9 else None, f"https://site{n % 4}.example/{n}", p, str(n), "x") for n, (p, _) in enumerate(made)]
+    got = {r["url"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, paths string")).collect()}
+    for n, (_, want) in enumerate(made):
+        assert got[f"https://site{n % 4}.example/{n}"]["text"] == want, n
+
+
+def test_pages_of_broken_markup_take_linear_time(spark):
+    import time
+
+    long = "a long sentence of the story " * 40
+    pages = ['<a "' * 100_000, "<div class='x" * 100_000, "<!" * 100_000, "<" * 200_000, "<p>" * 50_000, "<div>" * 50_000 + long, f"<html><head><title>t</title><p>{long}", f"<html><head><style>x</style>{long}", "x" * 2_000_000]
+    began = time.monotonic()
+    texts = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert time.monotonic() - began < 60
+    assert [texts[i] for i in (5, 6, 7)] == [long.strip()] * 3 and len(texts[8]) == 2_000_000
+
+
+class _Visible(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "title", "template", "noscript")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "title", "template", "noscript") and self.hidden > 0
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_conversion_records_hold_the_visible_text_and_metadata_the_links(spark):
+    rng = random.Random(22)
+    made = [_page(rng, n)[0].replace("<p>", f'<p><a href="/to/{n}">x &amp; y</a> ', 1) for n in range(40)]
+    pages = spark.createDataFrame([(n, f"http://h/{n}\r\nWARC-Type: evil", p) for n, p in enumerate(made)] + [(0, "http://h/0", made[0])] * 3 + [(None, "http://h/n", "a"), (None, "http://h/n", "b")], "page_id long, url string, html string")
+    derived = warc.derive(warc.responses(pages), keep=("page_id",)).cache()
+    assert derived.select("record_id").distinct().count() == derived.count() == 2 * (40 + 5)
+    for r in derived.where("page_id > 0").collect():
+        if r["record_type"] == "conversion":
+            seen = _Visible()
+            seen.feed(made[r["page_id"]])
+            assert "".join(r["content"].split()) == "".join("".join(seen.out).split())
+        else:
+            assert f"outlink: /to/{r['page_id']}\r\n" in r["content"]
+    heads = warc.serialized(derived).collect()
+    assert not any("\nWARC-Type: evil" in r["record"] for r in heads)
+
+
+def test_warc_files_are_read(spark, tmp_path):
+    import gzip
+
+    def record(kind, n, block):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{n}>\r\nWARC-Target-URI: http://h/{n}\r\nWARC-Date: 2024-01-0{n}T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n"
+    blocks = [record("warcinfo", 1, b"software: x"), record("response", 2, http + "caf\xe9".encode("latin-1")), record("response", 3, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress("naïve".encode())), record("response", 4, b"HTTP/1.1 204 No Content\r\n\r\n")]
+    (tmp_path / "a.warc").write_bytes(b"".join(blocks[:2]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, blocks[2:])))
+    got = sorted(tuple(r)[:3] + (r["payload"],) for r in warc.read(spark, str(tmp_path)).collect())
+    assert got == [(f"urn:uuid:{n}", f"http://h/{n}", f"2024-01-0{n}T00:00:00Z", text) for n, text in ((2, "café"), (3, "naïve"), (4, ""))]
+    assert warc.derive(warc.read(spark, str(tmp_path))).count() == 6
+
+
 @pytest.fixture
 def corpus(spark, tmp_path):
     """Documents and labels whose fate in the pipeline is known."""
