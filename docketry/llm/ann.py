@@ -10,7 +10,7 @@ farther than a second radius in all bits go; what is left is reranked by cosine
 Both radii come from ``FIT_QUERIES`` rows of the sample and their true neighbours in the whole table, found
 in one pass over it: the first is the least whose probes find ``FOUND`` of them, the second holds ``NEAR``.
 
-A bucket key is the first ``prefix`` bits of a substring, as many as leave ``GROUP_ROWS`` codes to a
+A bucket key is the first ``PREFIX`` bits of a substring, or as many more as leave ``GROUP_ROWS`` codes to a
 bucket; the rest of the substring is compared inside.  Only codes move to the buckets, vectors meet
 after the second radius.  A bucket of over ``HOT_ROWS`` codes is salted by its own size; queries
 stream past a bucket's codes, so their number is not bounded.  A pair is reported by the first
@@ -40,8 +40,8 @@ from docketry.llm.common import table, written
 
 MAX_FIT, FIT_QUERIES, ROUNDS = 4_096, 256, 10
 BITS, SUB_BITS, FOUND, NEAR, K = 256, 16, 0.97, 0.98, 5
-#: Codes that a bucket is to hold, codes from which on it is salted, and queries met at once.
-GROUP_ROWS, HOT_ROWS, STEP = 512, 8_192, 128
+#: Codes that a bucket is to hold, codes from which on it is salted, queries met at once, and bits of a bucket key.
+GROUP_ROWS, HOT_ROWS, STEP, PREFIX = 4_096, 16_384, 128, 8
 WORDS = ["c0", "c1", "c2", "c3"]
 #: Shares that are added when a query found too few; the last takes in every code.
 WIDER = (1, 3, 7, SUB_BITS)
@@ -167,7 +167,7 @@ def probe(index: DataFrame, queries: DataFrame, coder: Codes, n: int, shares: li
     """(uid, entry) of every pair that some substring retrieves and that differs in at most ``reach`` bits.
 
     ``index`` (entry, code) holds ``n`` codes, ``queries`` are (uid, code); ``compared`` counts whole codes compared."""
-    prefix = min(SUB_BITS, max(0, int(np.ceil(np.log2(max(n / GROUP_ROWS, 1))))))
+    prefix = min(SUB_BITS, max(PREFIX, int(np.ceil(np.log2(max(n / GROUP_ROWS, 1))))))
     low = (1 << prefix) - 1
     places = [j for j in range(coder.m) if shares[j] >= 0]
     head = lambda j: F.shiftrightunsigned(F.col(WORDS[j // 4]), SUB_BITS * (j % 4)).bitwiseAND(F.lit(low))
