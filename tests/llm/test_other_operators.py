@@ -93,7 +93,7 @@ def test_buckets_leave_most_vectors_uncompared(spark, tmp_path):
     share = compared.value / (len(queries) * len(x))
     print(f"recall {recall:.3f}, compared {compared.value} of {len(queries) * len(x)} pairs ({share:.4f})")
     assert len(rows) == 5 * len(queries) and recall >= 0.9
-    assert np.log2(len(x) / ann.GROUP_ROWS) > 6 and share < 0.05
+    assert ann.PREFIX > 6 and share < 0.05
 
 
 def test_hot_buckets_give_what_others_give(spark, monkeypatch):
