@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 # Public abbreviations of reporters, codes and journals, with canonical spellings where they differ.
@@ -21,6 +22,7 @@ COURTS = {
 # Words before a case name that are not part of it ("In re" is).
 SIGNALS = ["In", "See", "Accord", "Cf.", "But", "Also", "Compare", "Contra", "And"]
 _SIGNALS = re.compile(r"(?:(?:" + "|".join(map(re.escape, SIGNALS)) + r") (?:see |also )*)+(?=[A-Z])")
+PARTY = r"[A-Z][\w.&'’-]*(?: (?:of|the|and|for|in|ex|rel\.|&|[A-Z0-9][\w.&'’-]*))*"
 FIELDS = ("plaintiff", "defendant", "volume", "reporter", "page", "pin_cite", "extra", "year", "court", "publisher", "parenthetical")
 
 
@@ -34,7 +36,7 @@ def _names(names: list[str], gap: str) -> str:
 def patterns(tolerant: bool = False) -> list[tuple[str, re.Pattern]]:
     """(kind, pattern) in order of precedence.  ``tolerant``: parts may be joined by any white space or none."""
     gap, must = (r"\s*", r"\s*") if tolerant else (" ", " ")
-    party = r"[A-Z][\w.&'’-]*(?: (?:of|the|and|for|in|ex|rel\.|&|[A-Z0-9][\w.&'’-]*))*"
+    party = PARTY
     tail = rf"(?:,{gap}(?P<pin_cite>\d+(?:[-–—]\d+)?))?(?:{gap}\((?:(?P<court>[A-Z0-9][A-Za-z0-9.' ]*?){gap})?(?P<year>\d{{4}})\))?(?:{gap}\((?P<parenthetical>[^()]{{1,300}})\))?"
     guard = r"(?<![\w.])"
     page = r"(?P<page>\d+)(?!\d)" if not tolerant else r"(?P<page>\d+)"
@@ -51,13 +53,17 @@ def patterns(tolerant: bool = False) -> list[tuple[str, re.Pattern]]:
 
 def cite_spans(text: str, tolerant: bool = False) -> list[dict]:
     """Citations of a text in order, none overlapping: earlier kinds win, then earlier places."""
-    taken: list[tuple[int, int]] = []
+    begins: list[int] = []
+    stops: list[int] = []
     out = []
     for kind, pattern in patterns(tolerant):
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            # What is taken does not overlap, so begins and stops are in the same order.
+            i = bisect_right(stops, m.start())
+            if i < len(begins) and begins[i] < m.end():
                 continue
-            taken.append(m.span())
+            begins.insert(i, m.start())
+            stops.insert(i, m.end())
             have = m.groupdict()
             start = m.start()
             if have.get("plaintiff") and (signal := _SIGNALS.match(have["plaintiff"])):

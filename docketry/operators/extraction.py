@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -86,29 +88,45 @@ def docket_sites(filings: DataFrame) -> DataFrame:
     return placed.select("doc_id", "text", "site", start.alias("start"), (start + F.length("docket")).alias("end"), "docket")
 
 
+#: Court strings that are sent to every task at most.
+MAX_COURTS = 20_000
+DOCKET_CONTEXT = 170
+
+
 def courts_near(sites: DataFrame, courts: DataFrame, before: int = 90, after: int = 140) -> DataFrame:
-    """doc_id, site, court, court_id, at: court strings around a site, none within a longer one.
+    """doc_id, site, court, court_id, at: every place of a court string around a site, none within a longer one.
 
-    ``courts`` (court, court_id) is a dimension; the strings are matched in the site's own window."""
+    ``courts`` (court, court_id) is a dimension of at most ``MAX_COURTS`` strings; of equal ones the least id counts."""
+    rows = courts.where(F.length(normal_court(F.col("court"))) >= 4).groupBy("court").agg(F.min("court_id").alias("court_id")).limit(MAX_COURTS + 1).collect()
+    if len(rows) > MAX_COURTS:
+        raise ValueError(f"more than {MAX_COURTS} court strings")
+    ids = {r["court"]: r["court_id"] for r in rows}
     low = F.greatest(F.col("start") - before, F.lit(0))
     window = sites.select("doc_id", "site", low.alias("low"), F.substring("text", low + 1, F.col("end") + after - low).alias("near"))
-    known = courts.where(F.length(normal_court(F.col("court"))) >= 4).agg(F.collect_list(F.struct(F.col("court"), F.col("court_id"))).alias("known"))
-    listed = [r.asDict() for r in known.first()["known"]]
-    literal = F.array(*(F.struct(F.lit(c["court"]).alias("court"), F.lit(c["court_id"]).alias("court_id"), F.length(F.lit(c["court"])).alias("size")) for c in sorted(listed, key=lambda c: c["court"])))
-    hits = F.transform(literal, lambda c: F.struct(F.position(c["court"], F.col("near")).alias("at"), c["size"].alias("size"), c["court"].alias("court"), c["court_id"].alias("court_id")))
-    hits = F.filter(hits, lambda h: h["at"] > 0)
-    each = window.select("doc_id", "site", "low", "near", hits.alias("hits")).withColumn("hit", F.explode("hits"))
-    h = F.col("hit")
-    bounded = ~F.substring("near", h["at"] - 1, F.when(h["at"] > 1, 1).otherwise(0)).rlike(r"[A-Za-z0-9.]") & ~F.substring("near", h["at"] + h["size"], F.lit(1)).rlike("[A-Za-z0-9]")
-    within = F.exists("hits", lambda o: (o["at"] <= h["at"]) & (h["at"] + h["size"] <= o["at"] + o["size"]) & (o["size"] > h["size"]))
-    return each.where(bounded & ~within).select("doc_id", "site", h["court"].alias("court"), h["court_id"].alias("court_id"), (F.col("low") + h["at"] - 1).alias("at"))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # At each place the longest string that ends with its word; alternatives are tried longest first.
+        pattern = re.compile(r"(?<![A-Za-z0-9.])(?=(" + "|".join(re.escape(c) for c in sorted(ids, key=lambda c: (-len(c), c))) + r")(?![A-Za-z0-9]))")
+        for windows in batches:
+            out = []
+            for text in windows:
+                found, reached = [], 0
+                for m in pattern.finditer(text or "") if ids else ():
+                    if m.end(1) > reached:
+                        found.append({"at": m.start(), "court": m[1], "court_id": ids[m[1]]})
+                        reached = m.end(1)
+                out.append(found)
+            yield pd.Series(out, dtype=object)
+
+    hits = F.pandas_udf(run, "array<struct<at:int,court:string,court_id:string>>")
+    return window.select("doc_id", "site", "low", F.explode(hits("near")).alias("h")).select("doc_id", "site", "h.court", "h.court_id", (F.col("low") + F.col("h.at")).alias("at"))
 
 
 def court_table(spark) -> DataFrame:
     return spark.createDataFrame(list(COURTS.items()), "court string, court_id string")
 
 
-def suspected_dockets(filings: DataFrame, courts: DataFrame, context: int = 170) -> DataFrame:
+def suspected_dockets(filings: DataFrame, courts: DataFrame, context: int = DOCKET_CONTEXT) -> DataFrame:
     """Docket sites with their courts in order and a window of text."""
     sites = docket_sites(filings)
     near = courts_near(sites, courts).groupBy("doc_id", "site").agg(F.array_sort(F.collect_list(F.struct("at", "court", "court_id"))).alias("courts"))
@@ -117,9 +135,7 @@ def suspected_dockets(filings: DataFrame, courts: DataFrame, context: int = 170)
 
 
 def suspected_locators(masked_filings: DataFrame, reporters: list[str], before: int = 170, after: int = 85, digits_within: int = 12) -> DataFrame:
-    """Reporter strings in what is left of a filing, with a digit near on both sides: doc_id, start, end, reporter, window."""
-    import re
-
+    """Reporter strings in what is left of a filing, with a digit near on both sides: doc_id, start, end, reporter, window_start, window."""
     alternatives = "|".join(re.escape(r) for r in sorted({r for r in reporters if len(r) >= 2}, key=lambda r: (-len(r), r)))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -128,7 +144,7 @@ def suspected_locators(masked_filings: DataFrame, reporters: list[str], before:
             yield pd.Series(
                 [
                     [
-                        {"start": m.start(), "end": m.end(), "reporter": m.group(), "window": t[max(0, m.start() - before) : m.end() + after]}
+                        {"start": m.start(), "end": m.end(), "reporter": m.group(), "window_start": max(0, m.start() - before), "window": t[max(0, m.start() - before) : m.end() + after]}
                         for m in pattern.finditer(t or "")
                         if re.search(r"\d", t[max(0, m.start() - digits_within) : m.start()]) and re.search(r"\d", t[m.end() : m.end() + digits_within])
                     ]
@@ -137,7 +153,7 @@ def suspected_locators(masked_filings: DataFrame, reporters: list[str], before:
                 dtype=object,
             )
 
-    hunt = F.pandas_udf(run, "array<struct<start:int,end:int,reporter:string,window:string>>")
+    hunt = F.pandas_udf(run, "array<struct<start:int,end:int,reporter:string,window_start:int,window:string>>")
     return masked_filings.select("doc_id", F.explode(hunt("text")).alias("s")).select("doc_id", "s.*")
 
 
@@ -150,13 +166,16 @@ def greedy_longest(candidates: DataFrame) -> DataFrame:
 
     def pick(f: pd.DataFrame) -> pd.DataFrame:
         f = f.assign(size=f["end"] - f["start"]).sort_values(["size", "start"], ascending=[False, True])
-        kept: list[tuple[int, int]] = []
+        begins: list[int] = []
+        stops: list[int] = []
         use = []
         for a, b in zip(f["start"], f["end"], strict=True):
-            free = all(b <= x or y <= a for x, y in kept)
+            i = bisect_right(stops, a)
+            free = i == len(begins) or b <= begins[i]
             use.append(free)
             if free:
-                kept.append((a, b))
+                begins.insert(i, a)
+                stops.insert(i, b)
         return f[use].drop(columns="size").sort_values("start")
 
     return candidates.groupBy("doc_id").applyInPandas(pick, candidates.schema)

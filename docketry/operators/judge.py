@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.grammar import cite_spans
 from docketry.functions.grounding import grounded
 from docketry.functions.text import normal_case_name, window_end, window_start
 
 BUDGET = 2
+_NAMED = re.compile(r"([A-Z][\w.&'’-]*(?:\s+[A-Z0-9][\w.&'’-]*)*)\s+v\.\s+([A-Z][\w.&'’-]*(?:\s+[A-Z0-9][\w.&'’-]*)*)\s*,")
 
 
 class Judge(Protocol):
@@ -36,11 +39,29 @@ class RuleJudge:
             before = prompt["window"][: prompt["at"]].rstrip()
             sentence = before.rpartition(". ")[2].strip()
             return json.dumps({"outcome": "identified" if sentence else "inconclusive", "quote": sentence or None})
+        if task == "parties":
+            named = list(_NAMED.finditer(prompt["before"]))
+            if not named:
+                return json.dumps({"classification": "no_case_name", "plaintiff": None, "defendant": None})
+            return json.dumps({"classification": "complete_case_name", "plaintiff": named[-1][1], "defendant": named[-1][2]})
+        if task == "pinpoint":
+            words = [{w.strip(".,*").lower() for w in prompt[k].split() if len(w) > 3} for k in ("proposition", "page")]
+            holds = bool(words[0]) and 2 * len(words[0] & words[1]) >= len(words[0])
+            return json.dumps({"verdict": "supports" if holds else "inconclusive", "reasoning": "shared words", "evidence_quote": prompt["page"] if holds else None})
+        if task == "locators":
+            found = [c for c in cite_spans(prompt["window"], True) if c["kind"] == "full_case" and 0 < c["locator_start"] and c["locator_end"] < len(prompt["window"])]  # not cut off
+            return json.dumps({"locators": [{"text": prompt["window"][c["locator_start"] : c["locator_end"]], "volume": c["volume"], "reporter": c["reporter"], "page": c["page"]} for c in found]})
+        if task == "docket":
+            offered = json.loads(prompt["offered"]) if prompt.get("offered") else []
+            after = prompt["window"].partition(prompt["docket"])[2]
+            near = sorted((after.find(c), c) for c in offered if c in after)
+            return json.dumps({"is_docket_citation": True, "docket": prompt["docket"], "court": near[0][1] if near else next(iter(offered), None)})
         raise ValueError(f"no rule for {task}")
 
 
-def asked(judge: Judge, task: str, prompt: Column, valid: Callable[[dict], bool]) -> Column:
-    """struct<answer, error>: the judge's answer as JSON, asked again up to ``BUDGET`` times while it is not valid."""
+def asked(judge: Judge, task: str, prompt: Column, valid: Callable[..., bool], with_prompt: bool = False) -> Column:
+    """struct<answer, error>: the judge's answer as JSON, asked again up to ``BUDGET`` times while it is not valid;
+    ``valid`` sees the answer, and the prompt too if told so."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for prompts in batches:
@@ -50,7 +71,7 @@ def asked(judge: Judge, task: str, prompt: Column, valid: Callable[[dict], bool]
                 for _ in range(BUDGET + 1):
                     try:
                         said = judge(task, p)
-                        answer, error = (said, None) if valid(json.loads(said)) else (None, "not valid")
+                        answer, error = (said, None) if valid(json.loads(said), *([p] if with_prompt else [])) else (None, "not valid")
                     except ValueError as e:
                         error = str(e)
                     if answer is not None:
@@ -78,7 +99,7 @@ def propositions(citations: DataFrame, filings: DataFrame, judge: Judge) -> Data
     placed = said.withColumn("quote", F.get_json_object("__said.answer", "$.quote")).withColumn("place", grounded(F.col("window"), F.col("quote")))
     found = F.col("place.start").isNotNull()
     outcome = F.when(F.col("__said.answer").isNull(), "failed").when(F.col("quote").isNotNull() & ~found, "failed").when(found, "identified").otherwise("inconclusive")
-    return placed.select("doc_id", "citation_id", outcome.alias("outcome"), (F.col("low") + F.col("place.start")).alias("start"), (F.col("low") + F.col("place.end")).alias("end"), F.col("place.method").alias("method"))
+    return placed.select("doc_id", "citation_id", outcome.alias("outcome"), F.col("place.text").alias("proposition"), (F.col("low") + F.col("place.start")).alias("start"), (F.col("low") + F.col("place.end")).alias("end"), F.col("place.method").alias("method"))
 
 
 def grounded_parties(windows: DataFrame) -> DataFrame:

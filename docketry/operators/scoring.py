@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 
 def claims(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """(document, identity, expected_start, observed_start): each expected occurrence, in order, claims the first
-    unclaimed observed one of its document and identity that overlaps it; for dockets courts must meet too."""
+    unclaimed observed one of its document and identity that overlaps it.  Where both sides have ``courts`` (an array,
+    null for what is no docket), dockets must have a court in common too."""
     columns = ["document", "identity", "start", "end"]
+    if "courts" in expected.columns and "courts" in observed.columns:
+        columns.append("courts")
+    else:
+        expected, observed = expected.withColumn("courts", F.lit(None).cast("array<string>")), observed.withColumn("courts", F.lit(None).cast("array<string>"))
+        columns.append("courts")
     both = expected.select(*columns).withColumn("side", F.lit(0)).unionByName(observed.select(*columns).withColumn("side", F.lit(1)))
 
     def claim(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("start", kind="stable")
-        free = list(f.loc[f["side"] == 1, ["start", "end"]].itertuples(index=False))
+        free = list(f.loc[f["side"] == 1, ["start", "end", "courts"]].itertuples(index=False))
         out = []
-        for a, b in f.loc[f["side"] == 0, ["start", "end"]].itertuples(index=False):
-            hit = next((x for x in free if a < x[1] and x[0] < b), None)
+        for a, b, courts in f.loc[f["side"] == 0, ["start", "end", "courts"]].itertuples(index=False):
+            meets = lambda x: x[2] is None and courts is None or x[2] is not None and courts is not None and not set(x[2]).isdisjoint(courts)  # noqa: B023, E731
+            hit = next((x for x in free if a < x[1] and x[0] < b and meets(x)), None)
             if hit is not None:
-                free.remove(hit)
+                free = [x for x in free if x is not hit]
             out.append((f["document"].iloc[0], f["identity"].iloc[0], a, None if hit is None else hit[0]))
         out += [(f["document"].iloc[0], f["identity"].iloc[0], None, x[0]) for x in free]
         return pd.DataFrame(out, columns=["document", "identity", "expected_start", "observed_start"]).astype({"expected_start": "Int64", "observed_start": "Int64"})
@@ -28,9 +35,10 @@ def claims(expected: DataFrame, observed: DataFrame) -> DataFrame:
     # Most identities are found once in a document on either side at most: they need no order, and no Python.
     one = lambda side, column: F.min(F.when(F.col("side") == side, F.col(column)))
     counts = [F.count(F.when(F.col("side") == side, 1)).alias(name) for side, name in ((0, "n_expected"), (1, "n_observed"))]
-    groups = both.groupBy("document", "identity").agg(*counts, one(0, "start").alias("a"), one(0, "end").alias("b"), one(1, "start").alias("c"), one(1, "end").alias("d"))
+    groups = both.groupBy("document", "identity").agg(*counts, one(0, "start").alias("a"), one(0, "end").alias("b"), one(1, "start").alias("c"), one(1, "end").alias("d"), F.first(F.when(F.col("side") == 0, F.col("courts")), ignorenulls=True).alias("e_courts"), F.first(F.when(F.col("side") == 1, F.col("courts")), ignorenulls=True).alias("o_courts"))
     plain = (F.col("n_expected") <= 1) & (F.col("n_observed") <= 1)
-    meet = (F.col("a") < F.col("d")) & (F.col("c") < F.col("b"))
+    same_court = (F.col("e_courts").isNull() & F.col("o_courts").isNull()) | F.coalesce(F.arrays_overlap("e_courts", "o_courts"), F.lit(False))
+    meet = (F.col("a") < F.col("d")) & (F.col("c") < F.col("b")) & same_court
     pair = lambda x, y: F.struct(x.cast("long").alias("expected_start"), y.cast("long").alias("observed_start"))
     nothing = F.lit(None)
     outcomes = F.when(meet, F.array(pair(F.col("a"), F.col("c")))).otherwise(F.filter(F.array(pair(F.col("a"), nothing), pair(nothing, F.col("c"))), lambda x: x["expected_start"].isNotNull() | x["observed_start"].isNotNull()))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import case_name, identity_part, locator_text, year_of
 from docketry.functions.verdicts import GUARD, agree, case_name_check, guard, locator_verdict, lookup_outcome, lookup_status, search_summary, search_verdict, strongest, verdict_rank
+from docketry.tables import written
 
 KEY = ["doc_id", "citation_id"]
 
@@ -61,11 +62,14 @@ def search(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Dat
     both = F.concat(_words(F.col("plaintiff")), _words(F.col("defendant")))
     asked_words = asked.select(*KEY, F.col("court_id").alias("found_court"), F.explode(F.array_distinct(F.split(F.btrim(both), " +"))).alias("word"))
     rarest = asked_words.join(often, ["found_court", "word"]).groupBy(*KEY).agg(F.min_by("word", F.struct("often", "word")).alias("rarest"))
-    met = asked.join(rarest, KEY).join(by_word, (F.col("court_id") == F.col("found_court")) & (F.col("rarest") == F.col("word")))
-    found = met.where(F.contains("name_words", _words(F.col("plaintiff"))) & F.contains("name_words", _words(F.col("defendant")))).drop("rarest", "word", "name_words")
-    total = F.count("*").over(Window.partitionBy(*KEY, "source"))
+    holds = F.contains("name_words", _words(F.col("plaintiff"))) & F.contains("name_words", _words(F.col("defendant")))
+    meets = (F.col("court_id") == F.col("found_court")) & (F.col("rarest") == F.col("word")) & holds
+    # Counts come first, on keys alone: what is over the guard never becomes rows.
+    terms = asked.select(*KEY, "court_id", "plaintiff", "defendant").join(rarest, KEY)
+    within = terms.join(by_word.select("found_court", "word", "name_words", "source"), meets).groupBy(*KEY, "source").agg(F.count("*").alias("total")).where(F.col("total") <= GUARD)
+    met = asked.join(rarest, KEY).join(within.withColumnRenamed("source", "of_source"), KEY).join(by_word, meets & (F.col("of_source") == F.col("source")))
     number = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy("found_id"))
-    kept = found.withColumn("total", total).withColumn("candidate", number).where(F.col("total") <= GUARD)
+    kept = met.drop("rarest", "word", "name_words", "of_source").withColumn("candidate", number)
     name, court, year = case_name_check(case_name(F.col("plaintiff"), F.col("defendant")), F.col("retrieved_name")), agree(F.col("court_id"), F.col("found_court")), agree(F.col("year"), F.col("found_year"))
     return kept.withColumn("verdict", search_verdict(F.col("source"), name, court, year))
 
@@ -104,7 +108,8 @@ def nodes(looked_up: DataFrame, assessed: DataFrame) -> DataFrame:
 
 def ancestors(nodes_of: DataFrame) -> DataFrame:
     """(node_id, ancestor, distance) over the graph of dependencies: one join a level, until a level adds nothing."""
-    edges = nodes_of.select("node_id", F.explode("depends_on").alias("ancestor")).distinct().localCheckpoint()
+    edges = nodes_of.select("node_id", F.explode("depends_on").alias("ancestor")).distinct()
+    edges = written(edges, "edges")
     up = edges.select("node_id", "ancestor", F.lit(1).alias("distance"))
     level, distance = up, 1
     while True:
@@ -112,7 +117,8 @@ def ancestors(nodes_of: DataFrame) -> DataFrame:
         step = edges.select(F.col("node_id").alias("ancestor"), F.col("ancestor").alias("next"))
         nearer = up.select("node_id", "ancestor")
         further = level.join(step, "ancestor").select("node_id", F.col("next").alias("ancestor")).distinct()
-        level = further.join(nearer, ["node_id", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)).localCheckpoint()
+        level = further.join(nearer, ["node_id", "ancestor"], "left_anti").withColumn("distance", F.lit(distance))
+        level = written(level, "level")
         if level.isEmpty():
             return up
         up = up.unionByName(level)
@@ -120,10 +126,10 @@ def ancestors(nodes_of: DataFrame) -> DataFrame:
 
 def broken_invariants(nodes_of: DataFrame) -> DataFrame:
     """(rule, n): how often each rule of the step table is broken; all 0 for a sound table."""
-    known = nodes_of.groupBy("citation_id").agg(F.collect_set("node_id").alias("known"))
-    repeated = nodes_of.groupBy("node_id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("repeated node id").alias("rule"), "n")
+    known = nodes_of.groupBy(*KEY).agg(F.collect_set("node_id").alias("known"))
+    repeated = nodes_of.groupBy("doc_id", "node_id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("repeated node id").alias("rule"), "n")
     blank = nodes_of.where("coalesce(node_id, '') = ''").agg(F.count("*").alias("n")).select(F.lit("empty node id").alias("rule"), "n")
-    loose = nodes_of.join(known, "citation_id").where(F.size(F.array_except("depends_on", "known")) > 0).agg(F.count("*").alias("n")).select(F.lit("unknown dependency").alias("rule"), "n")
+    loose = nodes_of.join(known, KEY).where(F.size(F.array_except("depends_on", "known")) > 0).agg(F.count("*").alias("n")).select(F.lit("unknown dependency").alias("rule"), "n")
     return repeated.unionByName(blank).unionByName(loose)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.sources.authority import Authority
+from docketry.tables import written
 
 # What citations are made of.
 REPORTERS = ["U.S.", "F.2d", "F.3d", "S.W.2d", "N.E.2d"]
@@ -64,19 +65,13 @@ def filings(spark: SparkSession, sf_dir: str, cites: DataFrame | None = None) ->
     return table(spark, sf_dir, "documents").join(_listed(spark, sf_dir, cites), "doc_id", "left").select("doc_id", F.when(F.col("cites").isNull(), text).otherwise(written).alias("text"))
 
 
-def short_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filings as the SQL of masked_filings and artifact_round_trip writes them out: without what follows the citations."""
-    head = F.substring(F.coalesce("text", F.lit("")), 1, PLACE)
-    return table(spark, sf_dir, "documents").select("doc_id", head.alias("head")).join(_listed(spark, sf_dir, None), "doc_id").select("doc_id", F.concat("head", F.lit(HEAD), F.array_join("cites", JOIN)).alias("text"))
-
-
 @dataclass(frozen=True)
 class Made(Authority):
     """Authority tables: locators of every fifth order are unknown, some stand for two clusters, some for five."""
 
 
 def authority(spark: SparkSession, sf_dir: str) -> Made:
-    cites = injected(spark, sf_dir)
+    cites = written(injected(spark, sf_dir), "cites")
     known = cites.where("cite_no % 5 <> 0").groupBy("volume", "reporter", "page").agg(F.min_by(F.struct("cite_no", "plaintiff", "defendant", "year", "court_id", "pin"), "cite_no").alias("of"))
     k = F.col("of.cite_no")
     copies = F.when(k % 13 == 0, 5).when(k % 11 == 0, 2).otherwise(1)

@@ -30,7 +30,8 @@ base AS (
     SELECT c.*, length(substr(coalesce(d.text, ''), 1, 200)) + 5 + coalesce(sum(length(cite) + 6) OVER (PARTITION BY c.doc_id ORDER BY cite_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at
     FROM cited c JOIN documents d ON d.doc_id = c.doc_id
 ), texts AS (
-    SELECT p.doc_id, substr(coalesce(any_value(d.text), ''), 1, 200) || ' see ' || string_agg(cite, '; see ' ORDER BY cite_no) AS text FROM placed p JOIN documents d ON d.doc_id = p.doc_id GROUP BY p.doc_id
+    SELECT d.doc_id, CASE WHEN cites IS NULL THEN coalesce(d.text, '') ELSE substr(coalesce(d.text, ''), 1, 200) || ' see ' || cites || CASE WHEN length(d.text) > 200 THEN '.' || chr(10) || substr(d.text, 201) ELSE '' END END AS text
+    FROM documents d LEFT JOIN (SELECT doc_id, string_agg(cite, '; see ' ORDER BY cite_no) AS cites FROM placed GROUP BY doc_id) c ON c.doc_id = d.doc_id
 ), found AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cite_no) - 1 AS ordinal FROM placed WHERE damage <> 2)
 """
 AUTH = """
@@ -153,4 +154,51 @@ ORACLES: dict[str, str] = {
     "annotation_rows": _INJ + """
         SELECT 'label' AS row_type, 'full_case' AS name, count(*) AS n, sum(length(cite))::BIGINT AS n_chars FROM found UNION ALL SELECT 'field', 'volume', count(*), sum(length(volume)) FROM found
         UNION ALL SELECT 'field', 'reporter', count(*), sum(length(reporter)) FROM found UNION ALL SELECT 'field', 'page', count(*), sum(length(page)) FROM found UNION ALL SELECT 'field', 'year', count(*), sum(length(w_year)) FROM found""",
+    "recovered_names": _AUTH + """
+        , named AS (SELECT i.cite_no % 4 AS kind, c.case_name = i.plaintiff || ' v. ' || i.defendant AS same, count(*) OVER (PARTITION BY i.cite_no) AS total FROM inj i JOIN clusters c USING (volume, reporter, page)
+        ), exact AS (SELECT *, CASE WHEN kind = 3 THEN 'unavailable' WHEN kind = 0 AND same THEN 'match' ELSE 'mismatch' END AS name_check FROM named WHERE total <= 3
+        ), sensed AS (SELECT *, CASE WHEN name_check = 'mismatch' THEN CASE WHEN kind = 1 AND same THEN 'match' ELSE 'mismatch' END END AS semantic_check FROM exact
+        ), again AS (SELECT *, name_check = 'unavailable' OR coalesce(semantic_check, '') = 'mismatch' AS retry FROM sensed
+        ), judged AS (SELECT *, CASE WHEN retry THEN 'complete' END AS reextraction, CASE WHEN retry THEN CASE WHEN kind = 3 AND same THEN 'match' ELSE 'mismatch' END END AS reextracted_check FROM again)
+        SELECT name_check, semantic_check, reextraction, reextracted_check, coalesce(reextracted_check, semantic_check, name_check) AS name_outcome,
+            CASE WHEN retry THEN 'reextracted' WHEN semantic_check IS NOT NULL THEN 'semantic' ELSE 'exact' END AS name_evidence, count(*) AS n FROM judged GROUP BY ALL""",
+    "searched_names": _AUTH + """
+        , told AS (SELECT *, source = 'opinion' AND coalesce(try_cast(regexp_extract(found_id, 'c([0-9]+)-', 1) AS BIGINT), 0) % 2 = 1 AS odd FROM searched)
+        SELECT source, CASE WHEN odd THEN 'mismatch' ELSE 'match' END AS name_check, CASE WHEN odd THEN 'match' END AS semantic_check, verdict,
+            CASE WHEN verdict <> 'possible_match' THEN 'Available search evidence does not support this candidate as a possible match.' WHEN source = 'recap' THEN 'Case name and court support this retrieved RECAP candidate as a possible match.'
+                ELSE 'Case name, year, and court support this retrieved candidate as a possible match.' END AS message, count(*) AS n FROM told GROUP BY ALL""",
+    "pinpoint_support": _AUTH + """
+        , one AS (SELECT volume, reporter, page FROM clusters GROUP BY ALL HAVING count(*) = 1
+        ), alone AS (
+            SELECT i.cite_no, CASE WHEN c.k % 3 = 0 OR i.pin <> c.true_pin THEN 'unavailable' WHEN i.cite_no % 2 = 0 THEN 'supports' ELSE 'inconclusive' END AS pinpoint,
+                c.case_name = i.plaintiff || ' v. ' || i.defendant AS same, i.year = c.found_year AS same_year, coalesce(d.docket_court, CASE WHEN c.docket_id IS NULL THEN c.cluster_court END) AS known, i.court_id
+            FROM inj i JOIN one USING (volume, reporter, page) JOIN clusters c USING (volume, reporter, page) LEFT JOIN dockets d ON d.docket_id = c.docket_id)
+        SELECT pinpoint, CASE WHEN same AND same_year AND (known IS NULL OR known = court_id) THEN pinpoint <> 'supports' END AS needs_review, count(*) AS n, count(*) FILTER (pinpoint = 'supports') AS n_placed FROM alone GROUP BY ALL""",
+    "assessment_messages": _AUTH + """
+        SELECT verdict, CASE WHEN verdict = 'match' THEN 'Case name, year, and court do not disagree with this candidate.' WHEN verdict = 'partial_match' THEN 'Case name and court do not disagree; verify the differing year.'
+            WHEN name_check = 'mismatch' AND court_check = 'mismatch' THEN 'The retrieved candidate has a different case name and court.' WHEN name_check = 'mismatch' THEN 'The retrieved candidate has a different case name.'
+            ELSE 'The retrieved candidate has a different court.' END AS message, count(*) AS n FROM assessed GROUP BY ALL""",
+    "validated_round_trip": _AUTH + """
+        , steps AS (SELECT cite_no, 'exact_locator_lookup' AS node_type, lookup AS outcome FROM looked
+            UNION ALL SELECT cite_no, 'locator_candidate_evaluation', 'ready' FROM assessed UNION ALL SELECT cite_no, 'exact_case_name_check', name_check FROM assessed UNION ALL SELECT cite_no, 'year_check', year_check FROM assessed
+            UNION ALL SELECT cite_no, 'court_check', court_check FROM assessed UNION ALL SELECT cite_no, 'locator_candidate_assessment', verdict FROM assessed)
+        SELECT overall, node_type, outcome, count(*) AS n FROM steps JOIN overall USING (cite_no) GROUP BY ALL""",
+    "recovered_locators": _INJ + """
+        SELECT doc_id, start_at::INT AS start, (start_at + length(cite))::INT AS "end", volume, reporter, page FROM found
+        UNION ALL SELECT doc_id, (start_at + length(names))::INT, (start_at + length(names) + length(volume) + length(reporter) + length(page) + 2)::INT, volume, reporter, page FROM placed WHERE damage = 2""",
+    "recovered_dockets": _INJ + """
+        SELECT cite_no AS doc_id, 3::BIGINT AS start, length('In Civil Action No. 1:00-cv-00000')::BIGINT AS "end", 'Civil Action No. 1:' || (cite_no % 90 + 10) || '-cv-' || (cite_no % 90000 + 10000) AS docket, w_court_id AS court_id FROM inj""",
+    "docket_claims": _INJ + "SELECT count(*) FILTER (court_id = w_court_id) AS tp, count(*) FILTER (court_id <> w_court_id) AS fp, count(*) FILTER (court_id <> w_court_id) AS fn FROM inj",
+    "courts_in_windows": _INJ + """
+        SELECT cite_no AS doc_id, 0::BIGINT AS at, court_id FROM inj UNION ALL SELECT cite_no, length(court || ' ruled. In Civil Action No. 1:00-cv-00000 (')::BIGINT, court_id FROM inj
+        UNION ALL SELECT cite_no, length(court || ' ruled. In Civil Action No. 1:00-cv-00000 (' || court || ' 2001), filed. Later ')::BIGINT, w_court_id FROM inj""",
+    "decoded_opinions": """
+        SELECT p_partkey::VARCHAR AS opinion_id, p_partkey::VARCHAR AS cluster_id, 'lead' AS opinion_type, CASE WHEN p_partkey % 2 = 1 THEN '<p>x</p>' END AS html, 3::INT AS ordering_key FROM part""",
+    "decoded_dockets": """
+        SELECT p_partkey::VARCHAR AS docket_id, CASE WHEN p_partkey % 2 = 1 THEN 'ca2' ELSE 'ca9' END AS court_id, CASE WHEN p_partkey % 2 = 1 THEN 'A v. B' END AS case_name FROM part""",
+    "decoded_searches": """
+        SELECT 1::INT AS candidate, 'opinion' AS source, p_partkey::VARCHAR AS found_id, 'A v. B' AS retrieved_name, '2001-02-03' AS date_filed, 'ca2' AS court_id, '/o/1' AS url, 2::BIGINT AS total, 'c' || p_partkey AS next_cursor, NULL::VARCHAR AS previous_cursor FROM part
+        UNION ALL SELECT 2, 'recap', p_partkey::VARCHAR, 'C v. D', NULL, 'ca9', '/d/1', 2, 'c' || p_partkey, NULL FROM part""",
+    "located_candidates": """
+        SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 15 + length('Roe v. Doe ' || p_partkey || ',  ') ELSE 15 END::BIGINT AS start, ['exact', 'without_year', 'whitespace', 'locator'][1 + p_partkey % 4] AS method, true AS whole FROM part""",
 }

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 from docketry.functions import verdicts as V
-from docketry.functions.grounding import grounded, page_text
+from docketry.functions.grounding import grounded, located_candidate, page_text
 from docketry.operators import extraction as X
-from docketry.operators import scoring, validation
-from docketry.plans.fixtures import authority, filings, injected, short_filings, table
+from docketry.operators import adjudication, recovery, scoring, validation
+from docketry.operators.judge import RuleJudge, propositions
+from docketry.plans.fixtures import authority, filings, injected, table
 from docketry.sources import artifacts
 from docketry.sources import authority as service
 from docketry.sources.documents import from_column
+from docketry.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,7 +133,7 @@ def locator_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def masked_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = short_filings(spark, sf_dir)
+    texts = filings(spark, sf_dir)
     found = X.full_citations(X.extract(texts))
     gone = X.mask(X.documents(texts, found))
     return gone.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("citations").cast("long").alias("n_citations"), F.length(F.replace("text", F.lit(" "), F.lit(""))).cast("long").alias("n_left"))
@@ -176,7 +178,8 @@ def _looked_up(spark: SparkSession, sf_dir: str):
     made = authority(spark, sf_dir)
     found = X.extract(filings(spark, sf_dir)).where("kind = 'full_case'")
     with_court = found.join(X.court_table(spark), "court", "left")
-    return validation.lookup(with_court, made.cluster_citations), made
+    # Candidates, searches and summaries all read the lookups: they are computed once.
+    return written(validation.lookup(with_court, made.cluster_citations), "looked"), made
 
 
 @query
@@ -187,7 +190,7 @@ def lookup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assessed(spark: SparkSession, sf_dir: str):
     looked, made = _looked_up(spark, sf_dir)
-    return looked, made, validation.assess(validation.field_checks(validation.candidates(looked, made.clusters), made.dockets))
+    return looked, made, written(validation.assess(validation.field_checks(validation.candidates(looked, made.clusters), made.dockets)), "assessed")
 
 
 @query
@@ -239,14 +242,152 @@ def step_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.broken_invariants(validation.nodes(looked, assessed))
 
 
+def _pages(looked: DataFrame, opinions: DataFrame) -> DataFrame:
+    """doc_id, citation_id, start and page_text of found citations: each cluster's best opinion is chosen first, and read once a page."""
+    base = F.create_map(*(F.lit(x) for kind, rank in V.BASE_OPINIONS.items() for x in (kind, rank)))
+    ranked = opinions.withColumn("priority", F.try_element_at(base, F.col("opinion_type"))).where("priority IS NOT NULL")
+    best = ranked.groupBy("cluster_id").agg(F.min_by("html", F.struct("priority", "opinion_id")).alias("html"))
+    of = looked.where("lookup = 'found'").select("doc_id", "citation_id", "start", T.numeric_pin(F.col("pin_cite")).alias("pin"), F.get("clusters", F.lit(0)).alias("cluster_id"))
+    wanted = of.select("cluster_id", "pin").distinct().join(best, "cluster_id")
+    read = wanted.select("cluster_id", "pin", page_text(F.col("html"), F.lit(1), F.col("pin")).alias("page_text"))
+    return of.join(read, ["cluster_id", "pin"]).select("doc_id", "citation_id", "start", "page_text")
+
+
 @query
 def pinpoint_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     looked, made = _looked_up(spark, sf_dir)
-    base = F.create_map(*(F.lit(x) for kind, rank in V.BASE_OPINIONS.items() for x in (kind, rank)))
-    opinions = made.opinions.withColumn("priority", F.try_element_at(base, F.col("opinion_type"))).where("priority IS NOT NULL")
-    of = looked.where("lookup = 'found'").select("doc_id", "start", T.numeric_pin(F.col("pin_cite")).alias("pin"), F.get("clusters", F.lit(0)).alias("cluster_id")).join(opinions, "cluster_id")
-    read = of.withColumn("page_text", page_text(F.col("html"), F.lit(1), F.col("pin")))
-    return read.groupBy("doc_id", "start").agg(F.min_by("page_text", F.struct("priority", "opinion_id")).alias("page_text"))
+    return _pages(looked, made.opinions).select("doc_id", "start", "page_text")
+
+
+def _alone(spark: SparkSession, sf_dir: str, before: Column, plaintiff: Column, versus: Column):
+    """Filings that hold one citation each (doc_id: its number), their looked-up citations and the authority tables."""
+    made = authority(spark, sf_dir)
+    cite = F.concat(plaintiff, versus, "defendant", F.lit(", "), "volume", F.lit(" "), "reporter", F.lit(" "), "page", F.lit(", "), "pin", F.lit(" ("), "court", F.lit(" "), "year", F.lit(")."))
+    texts = written(injected(spark, sf_dir).select(F.col("cite_no").alias("doc_id"), F.concat(F.lit("Costs were paid. "), before, cite).alias("text")), "alone")
+    found = X.extract(texts).where("kind = 'full_case'").join(X.court_table(spark), "court", "left")
+    return texts, written(validation.lookup(found, made.cluster_citations), "looked"), made
+
+
+@query
+def recovered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("cite_no") % 4
+    name = F.when(kind == 1, F.concat("plaintiff", F.lit(" Co"))).when(kind == 2, "Wrong Party").otherwise(F.col("plaintiff"))
+    texts, looked, made = _alone(spark, sf_dir, F.lit("See "), name, F.when(kind == 3, " v.\n").otherwise(" v. "))
+    checked = validation.field_checks(validation.candidates(looked, made.clusters), made.dockets)
+    done = recovery.recovered_names(checked, texts, RuleJudge())
+    return done.groupBy("name_check", "semantic_check", "reextraction", "reextracted_check", "name_outcome", "name_evidence").agg(F.count("*").alias("n"))
+
+
+@query
+def searched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looked, made = _looked_up(spark, sf_dir)
+    odd = F.regexp_extract("cluster_id", "c([0-9]+)-", 1).cast("long") % 2 == 1
+    named = made.clusters.withColumn("case_name", F.when(odd, F.replace("case_name", F.lit(" v. "), F.lit(" et al. v. "))).otherwise(F.col("case_name")))
+    done = recovery.assessed_search(validation.search(looked, named, made.dockets), RuleJudge())
+    return done.groupBy("source", "name_check", "semantic_check", "verdict", "message").agg(F.count("*").alias("n"))
+
+
+@query
+def pinpoint_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.when(F.col("cite_no") % 2 == 0, "The cited rule governs here, see ").otherwise("Nothing else was said, see ")
+    texts, looked, made = _alone(spark, sf_dir, before, F.col("plaintiff"), F.lit(" v. "))
+    found = looked.where("lookup = 'found'")
+    pages = found.select("doc_id", "citation_id").join(_pages(looked, made.opinions).drop("start"), ["doc_id", "citation_id"], "left")
+    pinpoints = written(recovery.supported(pages, propositions(found, texts, RuleJudge()), RuleJudge()), "pinpoints")
+    assessed = validation.assess(validation.field_checks(validation.candidates(found, made.clusters), made.dockets))
+    reviews = recovery.pinpoint_reviews(assessed, pinpoints)
+    return pinpoints.join(reviews, ["doc_id", "citation_id"]).groupBy("pinpoint", "needs_review").agg(F.count("*").alias("n"), F.count("evidence_start").alias("n_placed"))
+
+
+@query
+def assessment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, assessed = _assessed(spark, sf_dir)
+    return assessed.groupBy("verdict", recovery.locator_message(F.col("verdict"), F.col("name_check"), F.col("court_check")).alias("message")).agg(F.count("*").alias("n"))
+
+
+@query
+def validated_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = filings(spark, sf_dir)
+    looked, _, overall = _summaries(spark, sf_dir)
+    _, _, assessed = _assessed(spark, sf_dir)
+    whole = X.documents(texts, X.extract(texts).where("kind = 'full_case'"))
+    made = artifacts.validated_json(whole, validation.nodes(looked, assessed), overall)
+    back = artifacts.read_validated(made, whole.schema["citations"].dataType.simpleString())
+    steps = back.select(F.length("text").alias("size"), F.explode("progressions").alias("p")).select("p.aggregation.overall", F.explode("p.nodes").alias("n"))
+    return steps.groupBy("overall", "n.node_type", "n.outcome").agg(F.count("*").alias("n"))
+
+
+@query
+def recovered_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = adjudication.recovered_occurrences(filings(spark, sf_dir), RuleJudge())
+    return found.select(F.col("document").alias("doc_id"), "start", "end", "volume", "reporter", "page")
+
+
+def _docket_text(court: str) -> Column:
+    n = F.col("cite_no")
+    return F.concat(F.lit("In Civil Action No. 1:"), F.lpad((n % 90 + 10).cast("string"), 2, "0"), F.lit("-cv-"), F.lpad((n % 90000 + 10000).cast("string"), 5, "0"), F.lit(" ("), court, F.lit(" 2001), filed."))
+
+
+@query
+def recovered_dockets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = injected(spark, sf_dir).select(F.col("cite_no").alias("doc_id"), _docket_text("w_court").alias("text"))
+    return adjudication.adjudicated_dockets(X.suspected_dockets(texts, X.court_table(spark)), RuleJudge()).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "docket", "court_id")
+
+
+@query
+def docket_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dockets are claimed only where courts meet: the expected court against the one that is written."""
+    rows = injected(spark, sf_dir)
+    seen = recovered_dockets(spark, sf_dir)
+    same = F.regexp_replace(T.identity_part(F.col("docket")), "^civilactionno", "")
+    observed = seen.select(F.col("doc_id").alias("document"), same.alias("identity"), "start", "end", F.array("court_id").alias("courts"))
+    n = F.col("cite_no")
+    identity = F.concat(F.lit("1"), (n % 90 + 10).cast("string"), F.lit("cv"), (n % 90000 + 10000).cast("string"))
+    expected = rows.select(n.alias("document"), identity.alias("identity"), F.lit(3).cast("long").alias("start"), F.lit(36).cast("long").alias("end"), F.array("court_id").alias("courts"))
+    return scoring.scores(scoring.claims(expected, observed)).select("tp", "fp", "fn")
+
+
+@query
+def courts_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every court of a window counts, the same one several times."""
+    text = F.concat("court", F.lit(" ruled. "), _docket_text("court"), F.lit(" Later "), "w_court", F.lit(" too."))
+    sites = X.docket_sites(injected(spark, sf_dir).select(F.col("cite_no").alias("doc_id"), text.alias("text")))
+    return X.courts_near(sites, X.court_table(spark)).select("doc_id", F.col("at").cast("long").alias("at"), "court_id")
+
+
+@query
+def decoded_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey").cast("string")
+    odd = F.col("p_partkey") % 2 == 1
+    payload = F.concat(F.lit('{"id": '), n, F.when(odd, F.concat(F.lit(', "cluster_id": "'), n, F.lit('"'))).otherwise(F.concat(F.lit(', "cluster": "https://h.example/api/clusters/'), n, F.lit('/"'))), F.lit(', "type": "lead", "ordering_key": 3, "html_with_citations": '), F.when(odd, F.lit('"<p>x</p>"')).otherwise("1.5"), F.lit("}"))
+    return service.opinions_of(table(spark, sf_dir, "part").select(payload.alias("payload")))
+
+
+@query
+def decoded_dockets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey").cast("string")
+    odd = F.col("p_partkey") % 2 == 1
+    payload = F.concat(F.lit('{"id": "'), n, F.when(odd, F.lit('", "court_id": "ca2", "case_name": "A v. B"')).otherwise(F.lit('", "court": "https://h.example/api/courts/ca9/", "caseName": true')), F.lit("}"))
+    return service.dockets_of(table(spark, sf_dir, "part").select(payload.alias("payload")))
+
+
+@query
+def decoded_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey").cast("string")
+    payload = F.concat(F.lit('{"count": 2, "next": "https://h.example/s?q=a&cursor=c'), n, F.lit('", "previous": null, "results": [{"cluster_id": '), n, F.lit(', "caseName": "A v. B", "dateFiled": "2001-02-03", "court_id": "ca2", "absolute_url": "/o/1"}, {"docket_id": '), n, F.lit(', "case_name": "C v. D", "court_id": "ca9", "docket_absolute_url": "/d/1"}]}'))
+    return service.search_results_of(table(spark, sf_dir, "part").select(payload.alias("payload"))).drop("docket_id")
+
+
+@query
+def located_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed citations by the step that finds them."""
+    n = F.col("p_partkey").cast("string")
+    kind = F.col("p_partkey") % 4
+    chunk = F.concat(F.lit("It was held in Roe v. Doe "), n, F.when(kind == 2, ",\n 9F.2d\n").otherwise(", 9 F.2d "), n, F.lit(" (1973) and not since."))
+    quote = F.concat(F.when(kind == 3, "Coe v. Moe").otherwise("Roe v. Doe"), F.lit(" "), n, F.lit(", 9 F.2d "), n, F.when(kind == 1, " (1974)").when(kind == 3, "").otherwise(" (1973)"))
+    got = table(spark, sf_dir, "part").select("p_partkey", located_candidate(chunk, F.when(kind == 2, F.concat(F.lit("9 F.2d "), n)).otherwise(quote)).alias("g"), chunk.alias("chunk"))
+    whole = F.substring("chunk", F.col("g.start") + 1, F.col("g.end") - F.col("g.start")) == F.col("g.text")
+    return got.select("p_partkey", F.col("g.start").cast("long").alias("start"), "g.method", whole.alias("whole"))
 
 
 @query
@@ -284,7 +425,7 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = short_filings(spark, sf_dir)
+    texts = filings(spark, sf_dir)
     whole = X.documents(texts, X.full_citations(X.extract(texts)))
     back = artifacts.read_extracted(artifacts.extracted_json(whole), whole.schema["citations"].dataType.simpleString())
     return back.select("doc_id", F.md5("text").alias("text_md5"), F.size("citations").cast("long").alias("n"), F.array_join(F.transform("citations", lambda c: c["page"]), ",").alias("pages"))

@@ -1,0 +1,106 @@
+"""Recovery with a judge, courts of a window, dockets, payloads and validated artifacts on small inputs."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from docketry.functions import grammar, grounding
+from docketry.operators import adjudication, recovery, scoring, validation
+from docketry.operators import extraction as X
+from docketry.operators.judge import RuleJudge
+from docketry.sources import artifacts, authority
+from docketry.tables import shared_dir
+
+
+def test_only_words_of_digits_are_numbers_a_quote_must_keep():
+    source = "the second rule in 9 F2d was read to cover all later cases of this kind"
+    assert grounding.ground_quote(source, "the second rule in 9 F3d was read to cover all later cases of this kind")[3] == "fuzzy"
+    assert grounding.ground_quote(source, "the second rule in 8 F2d was read to cover all later cases of this kind") is None
+    long = "every one of these many words here is needed to be quite sure"
+    assert grounding.ground_quote(f"{long} now?!) next", long.replace("quite", "very") + " now")[2].endswith("now?!)")
+    assert grounding.ground_quote(f"{long} now", "every other of those many words there is needed to be very sure") is None
+
+
+@pytest.mark.parametrize(
+    "chunk, candidate, want",
+    [("as Roe v. Doe, 410 U.S. 113 (1973) says", "Roe v. Doe, 410 U.S. 113 (1973)", "exact"), ("as Roe v. Doe, 410 U.S. 113 says", "Roe v. Doe, 410 U.S. 113 (1973)", "without_year"), ("as 410U.S.113 says", "410 U.S. 113", "whitespace"), ("as Roe v. Doe, 410U.S.113 says", "Coe v. Moe, 410 U.S. 113", "locator"), ("nothing", "410 U.S. 113", None), (None, "x", None), ("x", " ", None)],
+)
+def test_candidates_are_placed_by_the_first_step_that_finds_them(chunk, candidate, want):
+    got = grounding.locate_candidate(chunk, candidate)
+    assert (got and got[3]) == want and (got is None or chunk[got[0] : got[1]] == got[2])
+    assert want != "locator" or got[2] == "Roe v. Doe, 410U.S.113"
+
+
+def test_many_citations_of_one_text_are_found_in_order():
+    text = "; ".join(f"A v. B, {n} U.S. {n + 1}, {n + 2} (1999)" for n in range(1, 3001))
+    found = grammar.cite_spans(text)
+    assert [c["volume"] for c in found] == [str(n) for n in range(1, 3001)] and all(a["end"] <= b["start"] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_every_court_of_a_window_counts(spark):
+    courts = spark.createDataFrame([("D. Mass.", "mad"), ("S.D.N.Y.", "nysd"), ("Sup. Ct. S.D.N.Y.", "long"), ("9th", "no")], "court string, court_id string")
+    text = "D. Mass., D. Mass. and Sup. Ct. S.D.N.Y. No. 1:20-cv-12345 XD. Mass. S.D.N.Y.x S.D.N.Y. and 9th"
+    sites = X.docket_sites(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"))
+    got = sorted((r["at"], r["court"]) for r in X.courts_near(sites, courts).collect())
+    assert got == [(0, "D. Mass."), (10, "D. Mass."), (23, "Sup. Ct. S.D.N.Y."), (text.rindex("S.D.N.Y."), "S.D.N.Y.")]
+
+
+def test_dockets_need_a_court_in_common(spark):
+    schema = "document long, identity string, start int, end int, courts array<string>"
+    expected = spark.createDataFrame([(1, "d", 0, 5, ["ca2", "2d Cir."]), (1, "d", 6, 9, ["ca9"]), (2, "x", 0, 5, None), (3, "d", 0, 5, ["ca1"])], schema)
+    observed = spark.createDataFrame([(1, "d", 0, 9, ["ca9"]), (2, "x", 0, 5, None), (3, "d", 0, 5, [])], schema)
+    got = scoring.scores(scoring.claims(expected, observed)).first()
+    assert (got["tp"], got["fp"], got["fn"]) == (2, 1, 2)
+
+
+def test_answers_count_only_where_they_stand_in_the_text(spark):
+    class Careless:
+        """Answers that do not stand in the text."""
+
+        def __call__(self, task, prompt):
+            return json.dumps({"parties": {"classification": "complete_case_name", "plaintiff": "Not", "defendant": "There"}, "pinpoint": {"verdict": "supports", "reasoning": "x", "evidence_quote": "not there"}, "docket": {"is_docket_citation": True, "docket": "9:99-xx-1", "court": None},
+                "locators": {"locators": [{"text": "1 U.S. 2", "volume": "1", "reporter": "U.S.", "page": "2"}, {"text": "7 F.2d\n8", "volume": "7", "reporter": "F.2d", "page": "8"}, {"text": "7 F.2d\n8", "volume": "", "reporter": "F.2d", "page": "8"}]}}.get(task, {"outcome": "mismatch"}))
+
+    filings = spark.createDataFrame([(1, "See Roe v. Doe, 410 U.S. 113 (1973). Cf. 7 F.2d\n8 (1999).")], "doc_id long, text string")
+    checked = X.extract(filings).withColumns({"retrieved_name": F.lit("A v. B"), "name_check": F.lit("mismatch")})
+    assert {r["reextraction"] for r in recovery.recovered_names(checked, filings, Careless()).collect()} == {"failed"}
+    got = recovery.recovered_names(checked, filings, RuleJudge()).where("plaintiff = 'Roe'").first()
+    assert (got["reextraction"], got["re_plaintiff"], got["name_outcome"], got["name_evidence"]) == ("complete", "See Roe", "mismatch", "reextracted")
+    sites = X.suspected_locators(filings, ["F.2d"])
+    assert [(r["start"], r["matched_text"]) for r in adjudication.adjudicated_locators(sites, Careless()).collect()] == [(41, "7 F.2d\n8")]
+    dockets = X.suspected_dockets(spark.createDataFrame([(1, "In No. 1:20-cv-12345 (D. Mass. 2001)")], "doc_id long, text string"), X.court_table(spark))
+    assert adjudication.adjudicated_dockets(dockets, Careless()).count() == 0
+    assert [tuple(r) for r in adjudication.adjudicated_dockets(dockets, RuleJudge()).collect()] == [(1, 3, 20, "No. 1:20-cv-12345", "D. Mass.", "mad")]
+    pages = spark.createDataFrame([(1, "a", "a page of text"), (1, "b", None)], "doc_id long, citation_id string, page_text string")
+    said = spark.createDataFrame([(1, "a", "identified", "some text"), (1, "b", "identified", "x")], "doc_id long, citation_id string, outcome string, proposition string")
+    assert sorted((r["citation_id"], r["pinpoint"]) for r in recovery.supported(pages, said, Careless()).collect()) == [("a", "failed"), ("b", "unavailable")]
+
+
+def test_fields_of_other_types_are_null(spark):
+    rows = [('{"id": 1.5, "cluster_id": true, "type": "lead"}',), ("not json",), (None,)]
+    got = authority.opinions_of(spark.createDataFrame(rows, "payload string")).collect()
+    assert [(r["opinion_id"], r["cluster_id"], r["opinion_type"]) for r in got] == [(None, None, "lead"), (None, None, None), (None, None, None)]
+    assert authority.search_results_of(spark.createDataFrame([('{"results": []}',), ("{}",)], "payload string")).count() == 0
+
+
+def test_validated_documents_must_replay(spark):
+    filings = spark.createDataFrame([(1, "A v. B, 1 U.S. 2 (1999); C v. D, 3 U.S. 4 (1999)"), (2, "none"), (3, None)], "doc_id long, text string")
+    whole = X.documents(filings, X.extract(filings))
+    looked = validation.lookup(X.extract(filings).withColumn("court_id", F.lit("x")), spark.createDataFrame([("c1", "1", "U.S.", "2")], "cluster_id string, volume string, reporter string, page string"))
+    clusters = spark.createDataFrame([("c1", "A v. B", "1999-01-01", "x", None)], "cluster_id string, case_name string, date_filed string, court_id string, docket_id string")
+    dockets = spark.createDataFrame([], "docket_id string, court_id string, case_name string")
+    assessed = validation.assess(validation.field_checks(validation.candidates(looked, clusters), dockets))
+    overall = validation.summaries(looked, assessed, validation.search(looked, clusters, dockets))
+    made = artifacts.validated_json(whole, validation.nodes(looked, assessed), overall)
+    kind = whole.schema["citations"].dataType.simpleString()
+    got = {r["doc_id"]: r for r in artifacts.read_validated(made, kind).collect()}
+    assert [len(p["nodes"]) for p in got[1]["progressions"]] == [6, 1] and [p["aggregation"]["overall"] for p in got[1]["progressions"]] == ["match", "not_found"]
+    assert (got[2]["text"], got[2]["progressions"], got[3]["text"]) == ("none", [], None)
+    for old, new, says in (('"schema_version":2', '"schema_version":1', "this version"), ('"node_type":"year_check"', '"node_type":"other"', "follow"), (':year_check"', ':court_check"', "follow")):
+        with pytest.raises(Exception, match=says):
+            artifacts.read_validated(made.withColumn("artifact", F.replace("artifact", F.lit(old), F.lit(new))), kind).collect()
+
+
+def test_the_shared_folder_is_the_sessions(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
