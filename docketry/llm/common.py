@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.tables import written
+
+__all__ = ["fresh", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,27 +17,3 @@ def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a name made of it that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}
     return next(x for x in (f"{name}{i or ''}" for i in range(len(taken) + 1)) if x not in taken)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Where the session names none, a local master gets one of its own (tests);
-    on a cluster each machine would write to its own disk, so that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else None
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="docketry-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docketry-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
