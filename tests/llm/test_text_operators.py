@@ -217,6 +217,20 @@ def test_byte_bpe_equals_the_library(frame):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_the_fold_of_higher_order_functions_gives_the_same_ids(spark):
+    import public_tokenizers
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = [" hello", "aaaaaaa", "é", " extraordinarily", "q", "zxqj", "ababab", " the"]
+    df = spark.createDataFrame([(w, [ranks[bytes([b])] for b in w.encode()]) for w in known], "word string, tokens array<int>")
+    pairs = bpe.PairRanks(ranks)
+    got = {r["word"]: r["ids"] for r in df.select("word", bpe.fold(F.col("tokens"), pairs, pairs.literal).alias("ids")).collect()}
+    assert got == {w: library.encode_ordinary(w) for w in known}
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
