@@ -51,7 +51,7 @@ def assess(checked: DataFrame) -> DataFrame:
 
 def search(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame) -> DataFrame:
     """Candidates of citations that were not found: a case name that holds both parties, in the same court; opinions
-    first, then docket entries, each within the guard.  Adds source, candidate and verdict."""
+    first, then docket entries, each within the guard.  Adds source, candidate, the field checks and verdict."""
     asked = looked_up.where((F.col("lookup") == "not_found") & F.col("court_id").isNotNull() & (F.col("plaintiff") != "") & (F.col("defendant") != ""))
     opinions = clusters.select(F.col("court_id").alias("found_court"), F.col("case_name").alias("retrieved_name"), F.substring("date_filed", 1, 4).alias("found_year"), F.col("cluster_id").alias("found_id"), F.lit("opinion").alias("source"))
     recap = dockets.select(F.col("court_id").alias("found_court"), F.col("case_name").alias("retrieved_name"), F.lit(None).cast("string").alias("found_year"), F.col("docket_id").alias("found_id"), F.lit("recap").alias("source"))
@@ -71,7 +71,8 @@ def search(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame) -> Dat
     number = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy("found_id"))
     kept = met.drop("rarest", "word", "name_words", "of_source").withColumn("candidate", number)
     name, court, year = case_name_check(case_name(F.col("plaintiff"), F.col("defendant")), F.col("retrieved_name")), agree(F.col("court_id"), F.col("found_court")), agree(F.col("year"), F.col("found_year"))
-    return kept.withColumn("verdict", search_verdict(F.col("source"), name, court, year))
+    checked = kept.withColumn("name_check", name).withColumn("court_check", court).withColumn("year_check", year)
+    return checked.withColumn("verdict", search_verdict(F.col("source"), F.col("name_check"), F.col("court_check"), F.col("year_check")))
 
 
 def _words(x: Column) -> Column:
@@ -106,6 +107,33 @@ def nodes(looked_up: DataFrame, assessed: DataFrame) -> DataFrame:
     return looked.unionByName(below)
 
 
+def search_nodes(looked_up: DataFrame, searched: DataFrame) -> DataFrame:
+    """Steps of citations that were not found, to follow those of :func:`nodes`: a search of opinions and one of docket
+    entries (skipped without a court or a party; outcome ``candidates`` or ``none``, which is also said of more than the
+    guard lets through), then each candidate of :func:`search` with its checks and its assessment."""
+    cite, missing = F.col("citation_id"), looked_up.where("lookup = 'not_found'")
+    named = F.col("court_id").isNotNull() & (F.coalesce("plaintiff", F.lit("")) != "") & (F.coalesce("defendant", F.lit("")) != "")
+    met = searched.select(*KEY, "source").distinct().withColumn("met", F.lit(True))
+    place = F.when(F.col("source") == "opinion", 0).otherwise(1)
+    root, search_id = F.concat(cite, F.lit(":exact_locator_lookup")), F.concat(cite, F.lit(":"), "source", F.lit("_search"))
+    asked = missing.select(*KEY, named.alias("named"), F.explode(F.array(F.lit("opinion"), F.lit("recap"))).alias("source")).join(met, [*KEY, "source"], "left")
+    outcome = F.when(F.col("named"), F.when(F.col("met"), "candidates").otherwise("none")).otherwise("missing_terms")
+    searches = asked.select(
+        *KEY, (place + 1).alias("seq"), search_id.alias("node_id"), F.concat("source", F.lit("_search")).alias("node_type"),
+        F.when(F.col("named"), "succeeded").otherwise("skipped").alias("status"), outcome.alias("outcome"), F.array(root).alias("depends_on"),
+    )
+    candidate = F.concat(search_id, F.lit("_candidate:"), F.col("candidate").cast("string"))
+    first = 3 + 5 * (place * GUARD + F.col("candidate") - 1)
+    step = lambda at, name, said: F.struct((first + at).cast("int").alias("seq"), F.concat(candidate, F.lit(":"), name).alias("node_id"), name.alias("node_type"), said.alias("outcome"), F.array(candidate).alias("depends_on"))
+    start = F.struct(first.cast("int").alias("seq"), candidate.alias("node_id"), F.concat("source", F.lit("_search_candidate")).alias("node_type"), F.lit("ready").alias("outcome"), F.array(search_id).alias("depends_on"))
+    steps = F.array(
+        start, step(1, F.lit("exact_case_name_check"), F.col("name_check")), step(2, F.lit("year_check"), F.col("year_check")),
+        step(3, F.lit("court_check"), F.col("court_check")), step(4, F.concat("source", F.lit("_search_candidate_assessment")), F.col("verdict")),
+    )
+    below = searched.select(*KEY, F.explode(steps).alias("s")).select(*KEY, "s.seq", "s.node_id", "s.node_type", F.lit("succeeded").alias("status"), "s.outcome", "s.depends_on")
+    return searches.unionByName(below)
+
+
 def ancestors(nodes_of: DataFrame) -> DataFrame:
     """(node_id, ancestor, distance) over the graph of dependencies: one join a level, until a level adds nothing."""
     edges = nodes_of.select("node_id", F.explode("depends_on").alias("ancestor")).distinct()

@@ -134,6 +134,15 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT 'locator_candidate_evaluation', 'ready', 1 FROM assessed UNION ALL SELECT 'exact_case_name_check', name_check, 1 FROM assessed UNION ALL SELECT 'year_check', year_check, 1 FROM assessed
             UNION ALL SELECT 'court_check', court_check, 1 FROM assessed UNION ALL SELECT 'locator_candidate_assessment', verdict, 1 FROM assessed
         ) GROUP BY ALL""",
+    "search_steps": _AUTH + """
+        SELECT node_type, status, outcome, count(*) AS n, count(*) AS n_parents FROM (
+            SELECT k.kind || '_search' AS node_type, CASE WHEN l.w_court_id IS NULL THEN 'skipped' ELSE 'succeeded' END AS status,
+                CASE WHEN l.w_court_id IS NULL THEN 'missing_terms' WHEN s.cite_no IS NOT NULL THEN 'candidates' ELSE 'none' END AS outcome
+            FROM looked l CROSS JOIN (VALUES ('opinion'), ('recap')) k(kind) LEFT JOIN (SELECT DISTINCT cite_no, source FROM searched) s ON s.cite_no = l.cite_no AND s.source = k.kind WHERE l.lookup = 'not_found'
+            UNION ALL SELECT source || '_search_candidate', 'succeeded', 'ready' FROM searched UNION ALL SELECT source || '_search_candidate_assessment', 'succeeded', verdict FROM searched
+            UNION ALL SELECT 'exact_case_name_check', 'succeeded', 'match' FROM searched UNION ALL SELECT 'court_check', 'succeeded', 'match' FROM searched
+            UNION ALL SELECT 'year_check', 'succeeded', CASE WHEN source = 'recap' THEN 'unavailable' WHEN verdict = 'possible_match' THEN 'match' ELSE 'mismatch' END FROM searched
+        ) GROUP BY ALL""",
     "step_ancestors": _AUTH + """
         SELECT 'exact_locator_lookup' AS ancestor_type, 1::BIGINT AS distance, count(*) AS n FROM assessed UNION ALL SELECT 'exact_locator_lookup', 2, 4 * count(*) FROM assessed
         UNION ALL SELECT 'locator_candidate_evaluation', 1, 4 * count(*) FROM assessed""",

@@ -229,6 +229,13 @@ def step_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.nodes(looked, assessed).groupBy("node_type", "status", "outcome").agg(F.count("*").alias("n"), F.sum(F.size("depends_on")).alias("n_parents"))
 
 
+@query
+def search_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looked, made = _looked_up(spark, sf_dir)
+    searched = written(validation.search(looked, made.clusters, made.dockets), "searched")
+    return validation.search_nodes(looked, searched).groupBy("node_type", "status", "outcome").agg(F.count("*").alias("n"), F.sum(F.size("depends_on")).alias("n_parents"))
+
+
 @query
 def step_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     looked, _, assessed = _assessed(spark, sf_dir)

@@ -102,5 +102,26 @@ def test_validated_documents_must_replay(spark):
             artifacts.read_validated(made.withColumn("artifact", F.replace("artifact", F.lit(old), F.lit(new))), kind).collect()
 
 
+def test_steps_of_searches_follow_those_of_lookups(spark):
+    filings = spark.createDataFrame([(1, "A v. B, 1 U.S. 2 (1999); C v. D, 3 U.S. 4 (1999)"), (2, "E v. F, 5 U.S. 6 (1999)"), (3, "none")], "doc_id long, text string")
+    extracted = X.extract(filings)
+    whole = X.documents(filings, extracted)
+    court = F.when(F.col("doc_id") == 1, "x")
+    looked = validation.lookup(extracted.withColumn("court_id", court), spark.createDataFrame([("c1", "1", "U.S.", "2")], "cluster_id string, volume string, reporter string, page string"))
+    clusters = spark.createDataFrame([("c1", "A v. B", "1999-01-01", "x", None), ("c2", "C v. D", "1998-01-01", "x", None)], "cluster_id string, case_name string, date_filed string, court_id string, docket_id string")
+    dockets = spark.createDataFrame([("d1", "x", "C v. D")], "docket_id string, court_id string, case_name string")
+    assessed = validation.assess(validation.field_checks(validation.candidates(looked, clusters), dockets))
+    searched = validation.search(looked, clusters, dockets)
+    steps = validation.nodes(looked, assessed).unionByName(validation.search_nodes(looked, searched))
+    assert {r["n"] for r in validation.broken_invariants(steps).collect()} == {0}
+    made = artifacts.validated_json(whole, steps, validation.summaries(looked, assessed, searched))
+    back = {r["doc_id"]: r["progressions"] for r in artifacts.read_validated(made, whole.schema["citations"].dataType.simpleString()).collect()}
+    assert [len(p["nodes"]) for p in back[1]] == [6, 13] and back[3] == []
+    found = [(n["node_type"], n["status"], n["outcome"]) for n in back[1][1]["nodes"]]
+    assert found[:3] == [("exact_locator_lookup", "succeeded", "not_found"), ("opinion_search", "succeeded", "candidates"), ("recap_search", "succeeded", "candidates")]
+    assert [x for x in found if x[0].endswith("assessment")] == [("opinion_search_candidate_assessment", "succeeded", "mismatch"), ("recap_search_candidate_assessment", "succeeded", "possible_match")]
+    assert [(n["status"], n["outcome"]) for n in back[2][0]["nodes"]] == [("succeeded", "not_found"), ("skipped", "missing_terms"), ("skipped", "missing_terms")]
+
+
 def test_the_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
