@@ -149,6 +149,13 @@ def resource_id(url: Column, resource: str) -> Column:
     return F.when(F.try_element_at(parts, F.lit(-2)) == resource, F.try_element_at(parts, F.lit(-1)))
 
 
+def run_document(path: Column) -> Column:
+    """The document's number that a run file's name begins with (``006__name.json`` or ``6.json``), by which run files are
+    ordered; any other name is an error."""
+    number = F.regexp_extract(path, r"(?:^|/)([0-9]+)(?:__[^/]*)?\.[A-Za-z0-9]+$", 1)
+    return F.when(number != "", number.cast("long")).otherwise(F.raise_error(F.concat(F.lit("no document number: "), path)).cast("long"))
+
+
 def window_start(start: Column, end: Column, length: Column, before: int = 900, size: int = 1200) -> Column:
     """Where the bounded window around a citation begins: ``before`` ahead of it, moved so the window stays in the text and holds the citation."""
     least = F.greatest(start - before, F.lit(0))

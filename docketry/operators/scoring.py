@@ -64,5 +64,15 @@ def confusion(expected: DataFrame, observed: DataFrame, verdicts: tuple[str, ...
     return joined.select(seen.alias("observed"), "expected_verdict").groupBy("observed").pivot("expected_verdict", list(verdicts)).count().fillna(0)
 
 
+def disagreements(expected: DataFrame, observed: DataFrame, verdicts: tuple[str, ...] = ("match", "mismatch")) -> DataFrame:
+    """id, reason, expected_verdict and verdict of what :func:`confusion` counts off its diagonal: run verdicts outside
+    ``verdicts`` are ``non_confident_verdict``, others that differ ``verdict_disagreement``."""
+    joined = expected.join(observed, "id", "left")
+    seen = F.coalesce("verdict", F.raise_error(F.concat(F.lit("no verdict for "), F.col("id").cast("string"))).cast("string"))
+    told = joined.select("id", "expected_verdict", seen.alias("verdict"))
+    reason = F.when(~F.col("verdict").isin(*verdicts), "non_confident_verdict").when(F.col("verdict") != F.col("expected_verdict"), "verdict_disagreement")
+    return told.withColumn("reason", reason).where("reason IS NOT NULL").select("id", "reason", "expected_verdict", "verdict")
+
+
 def repeated_keys(records: DataFrame, *key: str) -> DataFrame:
     return records.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

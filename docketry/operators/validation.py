@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.text import case_name, identity_part, locator_text, year_of
+from docketry.functions.text import absolute_url, case_name, identity_part, locator_text, year_of
 from docketry.functions.verdicts import GUARD, agree, case_name_check, guard, locator_verdict, lookup_outcome, lookup_status, search_summary, search_verdict, strongest, verdict_rank
 from docketry.tables import written
 
@@ -90,6 +90,23 @@ def summaries(looked_up: DataFrame, assessed: DataFrame, searched: DataFrame) ->
     return joined.select(*KEY, "lookup", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), overall.alias("overall"))
 
 
+def summary_candidates(assessed: DataFrame, searched: DataFrame, clusters: DataFrame, dockets: DataFrame, origin: str) -> DataFrame:
+    """The candidates of each citation's summary in order: doc_id, citation_id, start, place (from 1; by locator, then
+    opinions, then docket entries), provenance, found_id, outcome, opinion_url and docket_url.
+
+    Only opinions have an opinion's address and only docket entries a docket's, made from ``absolute_url`` of clusters and
+    dockets; null where that is null or empty."""
+    row = lambda df, rank, found, provenance: df.select(*KEY, "start", rank.alias("rank"), "candidate", F.col(found).alias("found_id"), provenance.alias("provenance"), F.col("verdict").alias("outcome"))
+    by_locator = row(assessed, F.lit(0), "cluster_id", F.lit("opinion"))
+    by_search = row(searched, F.when(F.col("source") == "opinion", 1).otherwise(2), "found_id", F.col("source"))
+    address = lambda df, key, provenance: df.select(F.col(key).alias("found_id"), F.lit(provenance).alias("provenance"), absolute_url(origin, F.col("absolute_url")).alias("url"))
+    known = address(clusters, "cluster_id", "opinion").unionByName(address(dockets, "docket_id", "recap")).where("url IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("rank", "candidate"))
+    joined = by_locator.unionByName(by_search).join(known, ["found_id", "provenance"], "left").withColumn("place", place)
+    only = lambda provenance: F.when(F.col("provenance") == provenance, F.col("url"))
+    return joined.select(*KEY, "start", "place", "provenance", "found_id", "outcome", only("opinion").alias("opinion_url"), only("recap").alias("docket_url"))
+
+
 def nodes(looked_up: DataFrame, assessed: DataFrame) -> DataFrame:
     """The long table of steps: doc_id, citation_id, seq, node_id, node_type, status, outcome, depends_on."""
     cite = F.col("citation_id")

@@ -157,6 +157,17 @@ ORACLES: dict[str, str] = {
     "verdict_matrix": """
         SELECT CASE WHEN coalesce(length(text), 0) < 200 THEN 'not_found' WHEN contains(text, '###') THEN 'mismatch' ELSE 'match' END AS observed, count(*) FILTER (quality = 1) AS match, count(*) FILTER (quality IS NULL OR quality <> 1) AS mismatch
         FROM labels JOIN documents USING (doc_id) GROUP BY ALL""",
+    "verdict_disagreements": """
+        SELECT id, CASE WHEN verdict = 'not_found' THEN 'non_confident_verdict' ELSE 'verdict_disagreement' END AS reason, expected_verdict, verdict FROM (
+            SELECT l.doc_id AS id, CASE WHEN quality = 1 THEN 'match' ELSE 'mismatch' END AS expected_verdict, CASE WHEN coalesce(length(text), 0) < 200 THEN 'not_found' WHEN contains(text, '###') THEN 'mismatch' ELSE 'match' END AS verdict
+            FROM labels l JOIN documents d ON d.doc_id = l.doc_id) WHERE verdict <> expected_verdict""",
+    "run_documents": "SELECT p_partkey, p_partkey::BIGINT AS document FROM part",
+    "summary_candidates": _AUTH + """
+        , every AS (SELECT doc_id, cite_no, start_at, 0 AS rank, cluster_id AS found_id, 'opinion' AS provenance, verdict AS outcome FROM assessed
+            UNION ALL SELECT doc_id, cite_no, start_at, CASE source WHEN 'opinion' THEN 1 ELSE 2 END, found_id, source, verdict FROM searched)
+        SELECT doc_id, start_at::BIGINT AS start, row_number() OVER (PARTITION BY cite_no ORDER BY rank, found_id) AS place, provenance, found_id, outcome,
+            CASE WHEN provenance = 'opinion' AND found_id LIKE '%-0' THEN 'https://h.example/opinion/' || found_id || '/' END AS opinion_url,
+            CASE WHEN provenance = 'recap' AND found_id NOT LIKE '%3' THEN 'https://h.example/docket/' || found_id || '/' END AS docket_url FROM every""",
     "repeated_keys": _INJ + "SELECT volume, reporter, count(*) AS n FROM inj GROUP BY ALL HAVING count(*) > 1",
     "artifact_round_trip": _INJ + """
         SELECT t.doc_id, md5(text) AS text_md5, coalesce(n, 0)::BIGINT AS n, coalesce(pages, '') AS pages FROM texts t LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(page, ',' ORDER BY cite_no) AS pages FROM found GROUP BY doc_id) USING (doc_id)""",

@@ -210,6 +210,16 @@ def _summaries(spark: SparkSession, sf_dir: str):
     return looked, assessed, validation.summaries(looked, assessed, validation.search(looked, made.clusters, made.dockets))
 
 
+@query
+def summary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looked, made, assessed = _assessed(spark, sf_dir)
+    address = lambda kind, key, has: F.when(has, F.concat(F.lit(f"/{kind}/"), key, F.lit("/")))
+    clusters = made.clusters.withColumn("absolute_url", address("opinion", "cluster_id", F.endswith("cluster_id", F.lit("-0"))))
+    dockets = made.dockets.withColumn("absolute_url", address("docket", "docket_id", ~F.endswith("docket_id", F.lit("3"))))
+    done = validation.summary_candidates(assessed, validation.search(looked, made.clusters, made.dockets), clusters, dockets, "https://h.example")
+    return done.select("doc_id", F.col("start").cast("long").alias("start"), F.col("place").cast("long").alias("place"), "provenance", "found_id", "outcome", "opinion_url", "docket_url")
+
+
 @query
 def citation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: how many citations each lookup and each overall verdict has."""
@@ -418,11 +428,28 @@ def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scores(scoring.claims(expected, observed))
 
 
-@query
-def verdict_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Expected and observed verdicts by id."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "match").otherwise("mismatch").alias("expected_verdict"))
     rule = F.when(F.coalesce(F.length("text"), F.lit(0)) < 200, "not_found").when(F.contains("text", F.lit("###")), "mismatch").otherwise("match")
-    return scoring.confusion(labels, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), rule.alias("verdict")))
+    return labels, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), rule.alias("verdict"))
+
+
+@query
+def verdict_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.confusion(*_labelled(spark, sf_dir))
+
+
+@query
+def verdict_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.disagreements(*_labelled(spark, sf_dir))
+
+
+@query
+def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey")
+    path = F.when(n % 3 == 0, F.concat(F.lit("runs/"), n.cast("string"), F.lit(".json"))).otherwise(F.concat(F.lit("runs/a__b/"), F.lpad(n.cast("string"), 9, "0"), F.lit("__roe-v-doe__2.json")))
+    return table(spark, sf_dir, "part").select("p_partkey", T.run_document(path).alias("document"))
 
 
 @query
