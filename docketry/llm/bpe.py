@@ -137,16 +137,19 @@ _kinds: list[np.ndarray] = []
 
 
 def kinds() -> np.ndarray:
-    """The kind of every code point; kept for the worker's life."""
+    """The kind of every code point as the tokenizers' own pattern engine has it (its version of Unicode, not that of
+    another library); kept for the worker's life."""
     if not _kinds:
-        import regex
+        from tokenizers import pre_tokenizers
 
-        points = "".join(map(chr, range(0xD800))) + "x" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+        cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        white = set(WHITE)
+        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c not in white and c != 0x27]
         out = np.full(0x110000, OTHER, dtype=np.uint8)
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-            for m in regex.finditer(pattern, points):
-                out[m.start() : m.end()] = kind
-        out[0xD800:0xE000] = OTHER
+        # Cut into runs of one kind; each run's kind shows in which of three characters its first one joins.
+        for _, (a, b) in cut("".join(map(chr, points))):
+            kind = next((k for k, x in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "%")) if len(cut(x + chr(points[a]))) == 1), BLANK)
+            out[points[a:b]] = kind
         out[WHITE] = BLANK
         _kinds.append(out)
     return _kinds[0]
