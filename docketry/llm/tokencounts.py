@@ -34,6 +34,8 @@ from docketry.llm.textbytes import Run, runs
 BLOCK_BYTES = 32 << 20
 #: Words of a row of a block's list.
 SLICE = 20_000
+#: Counts that a task holds back to send them together.
+KEEP = 2_000_000
 LIMIT = 1024
 
 
@@ -101,14 +103,57 @@ def _vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-FREQUENCIES = "block string, doc_id long, n_bytes long, known long, ids array<int>, n array<int>, first int, words array<binary>"
-_ARROW = pa.schema([("block", pa.string()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("ids", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("first", pa.int32()), ("words", pa.list_(pa.binary()))])
+FREQUENCIES = "block long, doc_id long, n_bytes long, known long, ids binary, n binary, first int, words array<binary>"
+_ARROW = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("ids", pa.binary()), ("n", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.binary()))])
+
+
+def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Rows of numbers (``at``: where each begins, one more than rows) as bytes, seven bits of a number in each."""
+    sizes = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    begin = np.append(0, np.cumsum(sizes))
+    out = np.zeros(begin[-1], dtype=np.uint8)
+    for k in range(5):
+        more = np.flatnonzero(sizes > k)
+        out[begin[more] + k] = values[more] >> 7 * k & 127 | np.where(sizes[more] > k + 1, 128, 0)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(begin[at].astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and where each row's begin."""
+    column = column.cast(pa.large_binary())
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    _, places, content = column.buffers()
+    at = np.frombuffer(places, dtype=np.int64, count=len(column) + 1, offset=8 * column.offset)
+    data = np.frombuffer(content, dtype=np.uint8)[at[0] : at[-1]] if content else np.zeros(0, dtype=np.uint8)
+    if not len(data):
+        return np.zeros(0, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    last = data < 128
+    before = np.append(0, np.cumsum(last))  # numbers that end before each byte
+    starts = np.append(0, np.flatnonzero(last)[:-1] + 1)
+    shift = np.arange(len(data)) - starts[before[:-1]]
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * shift, starts), before[at - at[0]]
+
+
+def steps(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ascending numbers of rows as differences, each row's first as it is."""
+    out = np.diff(ids, prepend=0)
+    begin = at[:-1][at[:-1] < at[1:]]
+    out[begin] = ids[begin]
+    return out
+
+
+def sums(differences: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What :func:`steps` was made of."""
+    total = np.append(0, np.cumsum(differences))
+    return total[1:] - np.repeat(total[at[:-1]], np.diff(at))
 
 
 class Block:
     """The distinct words of consecutive texts, numbered in order of their first occurrence."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: int):
         self.name, self.bytes, self.numbers, self.words = name, 0, {}, []
 
     def add(self, run: Run, ids: pa.Array, vocabulary: Vocabulary) -> pa.RecordBatch:
@@ -131,11 +176,11 @@ class Block:
         settled = np.bincount(owner, minlength=run.n) - 1 + np.bincount(text[known[inverse]], minlength=run.n)
         rest = ~known[inverse]
         pairs, n = np.unique(text[rest] << 32 | numbers[inverse][rest], return_counts=True)
-        offsets = pa.array(np.searchsorted(pairs, np.arange(run.n + 1) << 32), pa.int32())
+        at = np.searchsorted(pairs, np.arange(run.n + 1) << 32)
         self.bytes += len(run.data)
         columns = {
-            "block": pa.array([self.name] * run.n, pa.string()), "doc_id": ids, "n_bytes": pa.array(np.diff(run.at), pa.int64()), "known": pa.array(settled, pa.int64()),
-            "ids": pa.ListArray.from_arrays(offsets, pa.array((pairs & 0xFFFFFFFF).astype(np.int32))), "n": pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
+            "block": pa.array([self.name] * run.n, pa.int64()), "doc_id": ids, "n_bytes": pa.array(np.diff(run.at), pa.int64()), "known": pa.array(settled, pa.int64()),
+            "ids": packed(steps(pairs & 0xFFFFFFFF, at), at), "n": packed(n - 1, at),
             "first": pa.nulls(run.n, pa.int32()), "words": pa.nulls(run.n, pa.list_(pa.binary())),
         }
         return pa.RecordBatch.from_pydict(columns, schema=_ARROW)
@@ -152,27 +197,50 @@ def frequencies(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> D
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, count = _vocabulary(path), 0
-        task = TaskContext.get().partitionId()
-        block = Block(f"{task}-0")
+        task = TaskContext.get().partitionId() << 32
+        block = Block(task)
         for batch in batches:
             for run in runs(batch.column(1)):
                 if block.bytes and block.bytes + len(run.data) > block_bytes:
                     yield from block.lists()
                     count += 1
-                    block = Block(f"{task}-{count}")
+                    block = Block(task + count)
                 yield block.add(run, batch.column(0).slice(run.first, run.n), vocabulary)
         yield from block.lists()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run_batches, FREQUENCIES)
 
 
+class Counted:
+    """Counts of a task's words by block, until they are sent back."""
+
+    def __init__(self):
+        self.of, self.ids, self.n, self.size = [], [], [], 0
+
+    def add(self, of: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        self.of.append(of)
+        self.ids.append(ids)
+        self.n.append(n)
+        self.size += len(of)
+
+    def rows(self) -> pa.RecordBatch:
+        """A row a block: its words' numbers, ascending, and their pieces."""
+        of, ids, n = (np.concatenate(x) for x in (self.of, self.ids, self.n))
+        order = np.lexsort((ids, of))
+        of, ids, n = of[order], ids[order], n[order]
+        blocks, begin = np.unique(of, return_index=True)
+        at = np.append(begin, len(of))
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), packed(steps(ids, at), at), packed(n, at)], names=["of", "ids", "pieces"])
+
+
 def pieces(lists: DataFrame, path: str) -> DataFrame:
-    """``lists`` (of, id, word) with the pieces of their words in place of these.  Equal words come one after another, so
-    each distinct one is counted once."""
+    """Of ``lists`` (of, id, word) the blocks' numbers and pieces of words: of, ids and pieces, both packed.  Equal words come
+    one after another, so each distinct one is counted once."""
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(path)
+        vocabulary, counted = _vocabulary(path), Counted()
         last: dict[bytes, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):  # the library makes an object of each word
@@ -180,31 +248,36 @@ def pieces(lists: DataFrame, path: str) -> DataFrame:
                 distinct = words.dictionary.to_pylist()
                 new = [w for w in distinct if w not in last]
                 last |= dict(zip(new, vocabulary.pieces([w.decode() for w in new]), strict=True))
-                each = pa.array([last[w] for w in distinct], pa.int32())
+                each = np.array([last[w] for w in distinct], dtype=np.int64)
                 last = {distinct[-1]: last[distinct[-1]]}
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, SLICE), batch.column(1).slice(at, SLICE), each.take(words.indices)], names=["of", "id", "pieces"])
+                of, ids = (batch.column(k).slice(at, SLICE).to_numpy().astype(np.int64) for k in (0, 1))
+                counted.add(of, ids, each[words.indices.to_numpy()])
+            if counted.size > KEEP:
+                yield counted.rows()
+        if counted.size:
+            yield counted.rows()
 
     # By number, so that small lists still go to all cores: their bytes are few, the work on them is not.
-    return lists.select("of", "id", "word").repartition(n, "word").sortWithinPartitions("word").mapInArrow(run_batches, "of string, id int, pieces int")
+    return lists.select("of", "id", "word").repartition(n, "word").sortWithinPartitions("word").mapInArrow(run_batches, "of long, ids binary, pieces binary")
 
 
 def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs`` (doc_id, text)."""
     made = written(frequencies(docs, path), "frequencies")
     lists = made.where("first IS NOT NULL").select(F.col("block").alias("of"), "first", F.posexplode("words").alias("at", "word")).select("of", "word", (F.col("first") + F.col("at")).alias("id"))
-    counted = pieces(lists, path)
 
     def total(documents: pa.Table, words: pa.Table) -> pa.Table:
-        each = np.zeros(words.num_rows, dtype=np.int64)
-        each[words["id"].to_numpy()] = words["pieces"].to_numpy()
-        ids, n = (documents[c].combine_chunks() for c in ("ids", "n"))
-        product = np.append(0, np.cumsum(each[ids.flatten().to_numpy()] * n.flatten().to_numpy()))
-        at = np.append(0, np.cumsum(ids.value_lengths().to_numpy()))
+        numbers, at = unpacked(words["ids"])
+        numbers = sums(numbers, at)
+        each = np.zeros(len(numbers), dtype=np.int64)
+        each[numbers] = unpacked(words["pieces"])[0]
+        ids, at = unpacked(documents["ids"])
+        product = np.append(0, np.cumsum(each[sums(ids, at)] * (unpacked(documents["n"])[0] + 1)))
         tokens = product[at[1:]] - product[at[:-1]] + documents["known"].to_numpy()
         return pa.table({"doc_id": documents["doc_id"], "n_bytes": documents["n_bytes"], "n_tokens": pa.array(tokens, pa.int64())})
 
     documents = made.where("first IS NULL").select("block", "doc_id", "n_bytes", "known", "ids", "n")
-    out = documents.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long")
+    out = documents.groupBy("block").cogroup(pieces(lists, path).groupBy("of")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -9,6 +9,7 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -169,10 +170,25 @@ def test_counts_of_odd_rows(odd, library):
     assert counts(odd.limit(0)) == []
 
 
-def test_each_pre_token_is_counted_once(spark, monkeypatch):
-    lists = spark.createDataFrame([(f"b{i}", i, f"word{i % 5}".encode()) for i in range(400)], "of string, id int, word binary").coalesce(1)
-    got = tokencounts.pieces(lists, VOCABULARY).collect()
-    assert len(got) == 400 and len({r["pieces"] for r in got}) <= 5
+def test_counts_of_words_go_back_to_their_blocks(spark, library):
+    rows = [(i % 3, i, f" wörd{i % 50}") for i in range(400)]
+    lists = spark.createDataFrame([(of, i, w.encode()) for of, i, w in rows], "of long, id int, word binary").coalesce(1)
+    got = {}
+    for r in tokencounts.pieces(lists, VOCABULARY).collect():
+        ids, at = tokencounts.unpacked(pa.array([bytes(r["ids"])]))
+        n, _ = tokencounts.unpacked(pa.array([bytes(r["pieces"])]))
+        got |= {(r["of"], int(i)): int(k) for i, k in zip(tokencounts.sums(ids, at), n, strict=True)}
+    assert got == {(of, i): len(library.encode(w).ids) for of, i, w in rows}
+
+
+def test_packed_numbers():
+    rng = random.Random(6)
+    rows = [sorted(rng.sample(range(1 << 30), rng.randint(0, 40))) for _ in range(60)] + [[], [0], [127, 128, 1 << 28, (1 << 31) - 1], []]
+    at = np.append(0, np.cumsum([len(r) for r in rows]))
+    flat = np.array([x for r in rows for x in r], dtype=np.int64)
+    back, again = tokencounts.unpacked(tokencounts.packed(tokencounts.steps(flat, at), at))
+    assert (again == at).all() and (tokencounts.sums(back, at) == flat).all()
+    assert tokencounts.unpacked(pa.array([], pa.binary()))[1].tolist() == [0]
 
 
 def test_rank_and_select():
