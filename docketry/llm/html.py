@@ -7,9 +7,11 @@ where there is none as far as what a parent adds is text rather than links.  Vot
 Spark, each host keeps its ``TOP_PATHS`` strongest paths, and every page is extracted anew from the
 first of its host's paths that it has; a page that has none of them uses its own best container, and
 a page without containers its body.  Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out wherever they stand: by tag and role, or by a class or
-id that names them.  A class or id alone never leaves out an element that holds an ``article`` or
-``main``, nor, on a page that has neither, one with three quarters of the page's text.
+scripts, styles and reader comments are left out: by tag and role, by hiding, or by a class or id that names them.  What
+holds the article stays whatever it is called: an element with half of what the page's ``article`` and
+``main`` elements hold; a form, or one that a class or id names, with three quarters of the text of a page that has
+neither; a hidden one with three quarters of the whole text.  A paragraph or list of the article goes by its class only if
+that says nothing but what it is (``advert``, not ``story-alert``).
 
 Null html counts as empty and gives an empty text; a null url belongs to the host ''.  Repeated pages
 and ids are extracted each for itself, extra columns are not read.  Very long pages are parsed whole, in
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from docketry.llm.common import table, written
 
 TOP_PATHS, VOTES = 5, 3
+#: Over how many tasks the pages of one host are dealt.
+SALTS = 16
 #: Levels of a path; what is nested deeper shares one path.
 DEPTH = 64
 # Markup that begins at a "<"; attribute values may hold ">" between quotes.
@@ -38,13 +42,22 @@ _MARKUP = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|t
 _TOKEN = re.compile(_MARKUP.format(skip=_QUOTED.replace("?P<attrs>", "?:"), attrs=_QUOTED), re.S | re.I)
 #: For pages with a quote that is never closed: the next ">" ends a tag.
 _BROKEN = re.compile(_MARKUP.format(skip="[^>]*", attrs="(?P<attrs>[^>]*)"), re.S | re.I)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another, so that names are told from what stands in values.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ASKED = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _CONTAINERS = frozenset("article main section div body td".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_OUT_TAGS = frozenset("head nav header footer aside form button menu dialog input select".split())
-_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Left out whatever they hold; by tag or role, with whatever is in them that is no article; by tag or role like a name.
+_NEVER = frozenset("head button input select".split())
+_REGIONS = frozenset("nav header footer aside menu".split())
+_REGION_ROLES = frozenset("navigation banner contentinfo complementary menu menubar".split())
+_FORM_ROLES = frozenset("search form".split())
+_HIDING_ROLES = frozenset("dialog alert alertdialog".split())
+REGION, NAMED, HIDDEN = range(3)
+#: Blocks of an article that hold its text.
+_TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dd dt blockquote pre figure figcaption table tr th td".split())
 # Words of class and id values that name something other than the article.
 _OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -63,22 +76,39 @@ _IN_HEAD = frozenset("base link meta noscript script style template title".split
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(text)} if "=" in text or "hidden" in text.lower() else {}
-
-
-def _left_out(tag: str, attrs: dict[str, str]) -> bool:
-    """By tag, role or hiding: whatever it holds."""
-    return tag in _OUT_TAGS or attrs.get("role", "").lower() in _OUT_ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs
-
-
-def _names_other(attrs: dict[str, str]) -> bool:
+    out: dict[str, str] = {}
+    if "=" in text or "hidden" in text.lower():
+        for m in _ATTR.finditer(text):
+            name = m[1].lower()
+            if name in _ASKED:
+                out.setdefault(name, m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _apart(tag: str, attrs: dict[str, str], in_article: bool) -> int | None:
+    """Whether and by what an element may be left out."""
+    role = attrs.get("role", "").lower()
+    if attrs.get("aria-hidden") == "true" or "hidden" in attrs or role in _HIDING_ROLES or tag == "dialog":
+        return HIDDEN
+    if tag in _REGIONS or role in _REGION_ROLES:
+        return REGION
+    if tag == "form" or role in _FORM_ROLES:
+        return NAMED
+    return NAMED if attrs and tag not in ("body", "html", "article", "main") and _names_other(attrs, in_article and (tag in _TEXT_BLOCKS or tag in _INLINE)) else None
+
+
+def _names_other(attrs: dict[str, str], text_block: bool) -> bool:
     """Whether a class or id names something other than the article: it ends in a word for that (``site-header``), or
-    holds one among words that say nothing else (``related-posts``); ``share-price`` and ``has-sidebar`` do not."""
+    holds one among words that say nothing else (``related-posts``); ``share-price`` and ``has-sidebar`` do not.  Of a
+    block of the article's text all words must be such words."""
     for name in (*attrs.get("class", "").split(), attrs.get("id", "")):
         words = [w.lower() for w in _WORDS.findall(name) if not w[0].isdigit()]
         if not words or words[0] in _TURNING or _OUT_WORDS.isdisjoint(words):
             continue
-        if words[-1] in _OUT_WORDS and _TURNING.isdisjoint(words) or all(w in _OUT_WORDS or w in _PLAIN_WORDS for w in words):
+        if text_block:
+            if _OUT_WORDS.issuperset(words):
+                return True
+        elif words[-1] in _OUT_WORDS and _TURNING.isdisjoint(words) or all(w in _OUT_WORDS or w in _PLAIN_WORDS for w in words):
             return True
     return False
 
@@ -109,24 +139,29 @@ class Page:
         self.parents: list[int] = []
         #: (container or -1, text, within a link); None is a break between blocks.
         self.pieces: list[tuple[int, str, bool] | None] = []
-        named: list[int] = []  # of every piece, the innermost element whose class or id names something else
+        named: list[int] = []  # of every piece, the innermost element that may be left out
+        within: list[bool] = []  # and whether it is in an article or main
         above: list[int] = []  # of every such element, the next one around it
-        holds: list[bool] = []  # whether an article or main is in it
-        stack: list[tuple[str, int, bool, str, int]] = []  # tag, innermost container, left out, path, innermost such element
-        here, out, path, other, at, links, head = -1, False, "", -1, 0, 0, -1
+        rules: list[tuple[int, bool]] = []  # and why it may be, and whether it is a part of an article
+        # Tag, innermost container, left out, path, innermost element that may be, in an article.
+        stack: list[tuple[str, int, bool, str, int, bool]] = []
+        outside = ("", -1, False, "", -1, False)
+        here, out, path, other, inner, at, links, head = -1, False, "", -1, False, 0, 0, -1
 
         def text(piece: str) -> None:
-            nonlocal here, out, path, other
+            nonlocal here, out, path, other, inner
             if 0 <= head < len(stack) and piece.strip():  # text ends a head that was not closed
                 del stack[head:]
-                here, out, path, other = stack[-1][1:] if stack else (-1, False, "", -1)
+                here, out, path, other, inner = (stack[-1] if stack else outside)[1:]
             if not out:
                 self.pieces.append((here, piece, links > 0))
                 named.append(other)
+                within.append(inner)
 
         def gap() -> None:
             self.pieces.append(None)
             named.append(other)
+            within.append(inner)
 
         for m in _tokens(page):
             if m.start() > at:
@@ -170,52 +205,56 @@ class Page:
                             break
                         if stack[i][0] in ("ul", "ol", "dl", "table", "select") or stack[i][0] == "tr" and tag != "tr" or stack[i][0] in _CONTAINERS:
                             break
-                around = stack[-1] if stack else ("", -1, False, "", -1)
+                around = stack[-1] if stack else outside
                 attrs = _attributes(m["attrs"]) if m["attrs"] else {}
-                own, gone, inside = around[1], around[2] or _left_out(tag, attrs), around[4]
+                own, gone, inside, deep = around[1], around[2] or tag in _NEVER, around[4], around[5]
                 if len(stack) < DEPTH:
                     path = f"{around[3]}>{_step(tag, attrs)}" if around[3] else _step(tag, attrs)
                 else:
                     path = around[3] if around[3].endswith(">*") else f"{around[3]}>*"
-                if tag in ("article", "main"):
-                    up = inside
-                    while up >= 0 and not holds[up]:
-                        holds[up], up = True, above[up]
-                elif attrs and not gone and tag not in ("body", "html") and _names_other(attrs):
+                if not gone and (rule := _apart(tag, attrs, deep)) is not None:
                     above.append(inside)
-                    holds.append(False)
+                    rules.append((rule, deep))
                     inside = len(above) - 1
+                deep = deep or tag in ("article", "main")
                 if tag in _CONTAINERS and not gone:
                     self.paths.append(path)
                     self.parents.append(around[1])
                     own = len(self.paths) - 1
                 if not m["attrs"].endswith("/") or tag in _CONTAINERS:
-                    stack.append((tag, own, gone, path, inside))
-            here, out, path, other = stack[-1][1:] if stack else (-1, False, "", -1)
+                    stack.append((tag, own, gone, path, inside, deep))
+            here, out, path, other, inner = (stack[-1] if stack else outside)[1:]
             links = sum(s[0] == "a" for s in stack) if tag == "a" or links else 0
         if at < len(page):
             text(page[at:])
-        self._leave_out(named, above, holds)
+        self._leave_out(named, within, above, rules)
 
-    def _leave_out(self, named: list[int], above: list[int], holds: list[bool]) -> None:
-        """Take out the pieces within elements that name something else, unless those hold the article or, on a page
-        that marks none, three quarters of the text."""
+    def _leave_out(self, named: list[int], within: list[bool], above: list[int], rules: list[tuple[int, bool]]) -> None:
+        """Take out the pieces within elements that are something else, unless those hold the article."""
         if not above:
             return
-        articles = any(p.rpartition(">")[2].split(".")[0] in ("article", "main") for p in self.paths)
-        size, total = [0] * len(above), 0
-        for piece, of in zip(self.pieces, named, strict=True):
+        size, deep, total, articles = [0] * len(above), [0] * len(above), 0, 0
+        for piece, of, inner in zip(self.pieces, named, within, strict=True):
             if piece:
                 n = len(piece[1].strip())
                 total += n
+                articles += n * inner
                 if of >= 0:
                     size[of] += n
+                    deep[of] += n * inner
         for i in range(len(above) - 1, -1, -1):  # what is inside comes later
             if above[i] >= 0:
                 size[above[i]] += size[i]
+                deep[above[i]] += deep[i]
         gone: list[bool] = []
-        for up, n, article in zip(above, size, holds, strict=True):
-            gone.append(up >= 0 and gone[up] or not article and (articles or 4 * n < 3 * total))
+        for i, (up, (rule, part)) in enumerate(zip(above, rules, strict=True)):
+            if rule == HIDDEN:
+                stays = 4 * size[i] >= 3 * total
+            elif articles:
+                stays = not part and 2 * deep[i] >= articles
+            else:
+                stays = rule == NAMED and 4 * size[i] >= 3 * total
+            gone.append(up >= 0 and gone[up] or not stays)
         self.pieces = [piece if of < 0 or not gone[of] else None for piece, of in zip(self.pieces, named, strict=True)]
 
     def sizes(self) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -326,7 +365,10 @@ def winners(votes_of: DataFrame, top: int = TOP_PATHS) -> DataFrame:
 def extract(pages: DataFrame, top: int = TOP_PATHS) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
     won = written(winners(votes(pages), top), "hosts")
-    joined = pages.select("page_id", "url", "html", host_of("url").alias("host")).join(won, "host", "left").select("page_id", "url", "html", "paths")
+    # A host may have a third of all pages: its paths go to every salt, its pages to one each.
+    salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int")
+    joined = pages.select("page_id", "url", "html", host_of("url").alias("host"), salt.alias("salt")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
