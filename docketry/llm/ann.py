@@ -20,6 +20,7 @@ with one that takes in every code.
 Every row is a query or candidate of its own, known by a row number: a query never meets its own row,
 but rows that repeat its id or vector are candidates.  Equal vectors are one index entry with their k+1
 smallest ids (all that can ever be returned), so a vector held by a third of all rows costs one entry.
+Vectors of any finite length count alike: they are scaled by powers of two before anything is squared.
 Distinct vectors too close for their codes to differ are all reranked, against the queries among them.
 Rows with a null id, null or zero vectors, those with null or non-finite components or another
 dimension than the sample's commonest take no part.  Ties go to the smaller id.  An empty table gives
@@ -47,6 +48,16 @@ WORDS = ["c0", "c1", "c2", "c3"]
 WIDER = (1, 3, 7, SUB_BITS)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to about 1: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Codes:
     """A learned coder: ``centre``, ``directions`` (dimension x bits), ``radius`` for probes, ``reach`` for whole codes."""
 
@@ -61,9 +72,8 @@ class Codes:
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Four words a row; bits that are not there are 0."""
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         bits = np.zeros((len(x), BITS), dtype=np.uint8)
-        bits[:, : self.bits] = (unit - self.centre) @ self.directions > 0
+        bits[:, : self.bits] = (unit(x) - self.centre) @ self.directions > 0
         return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
@@ -82,13 +92,13 @@ def _rotation(low: np.ndarray, seed: int) -> np.ndarray:
 
 def fit(x: np.ndarray) -> Codes:
     """Codes for the sample ``x``; their radii take in everything."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    centre = unit.mean(axis=0)
+    directions = unit(x)
+    centre = directions.mean(axis=0)
     size = min(BITS, x.shape[1])
-    _, _, v = np.linalg.svd(unit - centre, full_matrices=False)
+    _, _, v = np.linalg.svd(directions - centre, full_matrices=False)
     axes = np.zeros((x.shape[1], size))
     axes[:, : min(size, len(v))] = v[:size].T
-    low = (unit - centre) @ axes
+    low = (directions - centre) @ axes
     return Codes(centre, np.concatenate([axes @ _rotation(low, seed) for seed in range(BITS // size)], axis=1), BITS + SUB_BITS, BITS)
 
 
@@ -101,15 +111,15 @@ def calibrate(coder: Codes, asked: np.ndarray, query: np.ndarray, found: np.ndar
 
 def true_neighbours(rows: DataFrame, coder: Codes, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, code) of the k nearest of a few vectors ``asked`` in the whole table, vectors equal to them apart."""
-    unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
-    dimension = unit.shape[1]
+    own = unit(asked)
+    dimension = own.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, codes = np.full((len(unit), 0), 0.0), np.zeros((len(unit), 0, len(WORDS)), dtype="<u8")
+        best, codes = np.full((len(own), 0), 0.0), np.zeros((len(own), 0, len(WORDS)), dtype="<u8")
         for b in batches:
             if b.num_rows:
                 x = _vectors(b, 0, dimension)
-                near = unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                near = own @ unit(x).T
                 near[near > 1 - 1e-9] = -np.inf
                 some = np.argpartition(-near, min(k, len(x)) - 1, axis=1)[:, :k]
                 both = np.concatenate([best, np.take_along_axis(near, some, axis=1)], axis=1)
@@ -236,7 +246,7 @@ def rerank(pairs: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype="<f8").reshape(b.num_rows, -1) for i in (2, 3))
+                x, y = (scaled(np.frombuffer(b"".join(b.column(i).to_pylist()), dtype="<f8").reshape(b.num_rows, -1)) for i in (2, 3))
                 cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cosine), b.column(4)], names=["uid", "query_id", "score", "ids"])
 

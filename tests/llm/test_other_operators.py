@@ -47,6 +47,23 @@ def test_nearest_neighbours_against_brute_force(spark):
     assert [r["vec_id"] for r in twins] == [561, 562, 563, 564, 565, 560, 561, 562, 563, 564]
 
 
+def test_vectors_of_any_finite_length(spark):
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([rng.normal(size=(30, 8)), np.full((1, 8), 1e-200), np.full((1, 8), 1e200), rng.normal(size=(2, 8)) * 1e300, rng.normal(size=(2, 8)) * 1e-308])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, vector array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.lit(True)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    hits = 0
+    for q, best in brute_nearest(range(len(unit)), unit, range(len(unit)), 5).items():
+        assert len(got[q]) == 5 and np.isfinite([s for _, s in got[q]]).all()
+        for v, score in got[q]:
+            assert abs(score - unit[q] @ unit[v] / np.sqrt((unit[q] @ unit[q]) * (unit[v] @ unit[v]))) < 1e-12
+        hits += len({v for v, _ in got[q]} & {v for _, v in best})
+    assert hits >= 0.9 * 5 * len(unit)
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (7, [1.0, 1.0]), (50, [0.0, 2.0])], "vec_id long, vector array<double>")
     got = [tuple(r) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id").orderBy("query_id", "rank").collect()]
@@ -171,7 +188,13 @@ def _page(rng, n):
     else:  # the article inside a wrapper that is named for what it also holds
         body, want = f'<div id="page" class="with-header notice"><article><h2>{title}</h2>' + "".join(f"<p>{p}</p>" for p in parts) + f"{other('ad-banner')}</article></div>", [title, *parts]
     head = f"<head><title>{title}</title><meta charset=utf-8>" + ("</head>" if n % 3 else "")
-    page = f'<html>{head}<body class="with-header"><nav><a href="/">{said(9)}</a></nav>{other("cookie-notice")}{body}<aside>{said(20)}</aside><div id="comments">{said(25)}</div><footer>{said(5)}</footer></body></html>'
+    if n // 4 % 4 == 1:  # names of attributes in the values of others
+        body = f'<div style="overflow:hidden" data-role="navigation" data-id="banner" onclick="x.hidden=1" title=\'hidden "gems"\'>{body}</div>'
+    attrs = ' aria-hidden="true"' if n // 4 % 4 == 3 else ""
+    if n // 4 % 4 == 2:  # a form around the whole page
+        page = f'<html>{head}<body><form id="aspnetForm" method="post"><nav><a href="/">{said(9)}</a></nav>{body}<aside>{said(20)}</aside><div id="comments">{said(5)}</div></form></body></html>'
+        return page, " ".join(want)
+    page = f'<html>{head}<body class="with-header"{attrs}><nav><a href="/">{said(9)}</a></nav>{other("cookie-notice")}{body}<aside>{said(20)}</aside><div id="comments">{said(25)}</div><footer>{said(5)}</footer></body></html>'
     return page, " ".join(want)
 
 
@@ -184,6 +207,27 @@ def test_main_text_of_made_pages(spark):
         assert got[f"https://site{n % 4}.example/{n}"]["text"] == want, n
 
 
+def test_what_is_left_out_of_a_page():
+    story = "<p>" + "The council met to hear the plan. " * 6 + "</p>"
+    said = " ".join(("The council met to hear the plan. " * 6).split())
+
+    def text(page):
+        parsed = html.Page(page)
+        return parsed.text(next((p for p, _ in parsed.best(1)), None))
+
+    for page in (
+        f'<nav>Menu</nav><div style="overflow:hidden">{story}</div>',
+        f'<form id="aspnetForm"><div class="main">{story}</div><input type=hidden></form><footer hidden>Foot</footer>',
+        f'<form><article>{story}</article><div role="dialog">Log in</div></form>',
+        f'<body aria-hidden="true"><div>{story}</div></body>',
+        f'<article>{story}<p class="newsletter-signup">Sign up</p></article><aside><article>Read also</article></aside>',
+        f'<div data-x="class=ad" CLASS=content>{story}</div><div hidden>Not shown</div><div role=navigation>Menu</div>',
+        f'<article>{story}<form>Name <button>Send</button></form><div class="comments">{story}</div></article>',
+    ):
+        assert text(page) == said, page
+    assert text(f'<article>{story}<p class="story-alert">A storm came.</p></article>') == f"{said} A storm came."
+
+
 def test_pages_of_broken_markup_take_linear_time(spark):
     import time
 
@@ -287,5 +331,5 @@ def test_registry_names(spark):
     from docketry.llm import registry
 
     names = [n for n in registry.queries() if n != "pipeline"]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert rows_of(["x"])[0][1] == "x"
