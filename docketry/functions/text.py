@@ -5,10 +5,15 @@ White space is Unicode's (``(?U)``), as the JVM's ``\\s`` alone is ASCII's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARKER = "--- Plain text ---"
+#: White space as Python's patterns and ``str.split`` have it, for the JVM's patterns.
+WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # Suffixes of the formats that are read, and the names they go by.
 FORMATS = {"txt": "plain_text", "pdf": "pdf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "html": "html", "htm": "html", "md": "markdown"}
 # Patterns of locators and docket numbers.
@@ -181,5 +186,22 @@ def char_windows(text: Column, size: int = 1500, overlap: int = 300) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span (array of start and end) blanked out, its length unchanged."""
-    return F.aggregate(spans, text, lambda t, s: F.overlay(t, F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")), s["start"] + 1, s["end"] - s["start"]))
+    """``text`` with every span (array of start and end, none overlapping) blanked out, its length unchanged: one pass over
+    the pieces between."""
+
+    def blank(t: str | None, cuts: list | None) -> str | None:
+        if t is None or cuts is None or not len(cuts):
+            return t
+        out, at = [], 0
+        for a, b in sorted((c["start"], c["end"]) for c in cuts):
+            a, b = max(a, at), min(b, len(t))
+            if a < b:
+                out += [t[at:a], " " * (b - a)]
+                at = b
+        return "".join([*out, t[at:]])
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, cuts in batches:
+            yield pd.Series([blank(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
+
+    return F.when(F.size(spans) > 0, F.pandas_udf(run, "string")(text, spans)).otherwise(text)

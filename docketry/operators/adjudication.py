@@ -15,7 +15,7 @@ from docketry.functions.grammar import CASE_REPORTERS, CODES
 from docketry.functions.grounding import ground_window
 from docketry.functions.text import identity_part, implausible_locator, locator_key
 from docketry.operators import extraction as X
-from docketry.operators.judge import Judge, asked
+from docketry.operators.judge import Answers, Judge, with_answers
 
 #: Proposals of one window that are taken at most.
 PROPOSALS = 64
@@ -54,11 +54,11 @@ def _places(window: Column, quotes: Column) -> Column:
     return F.pandas_udf(run, PLACES)(window, quotes)
 
 
-def adjudicated_locators(sites: DataFrame, judge: Judge) -> DataFrame:
+def adjudicated_locators(sites: DataFrame, judge: Judge, answers: Answers | None = None) -> DataFrame:
     """doc_id, start, end, matched_text, volume, reporter, page and method of the locators a judge sees in the windows of
     :func:`docketry.operators.extraction.suspected_locators`.  Sound proposals count even where others of an answer do not."""
     prompt = F.struct("window", reporter_cue(F.col("reporter")).alias("cue"))
-    said = sites.withColumn("__said", asked(judge, "locators", prompt, lambda a: isinstance(a.get("locators"), list)))
+    said = with_answers(sites, judge, "locators", prompt, lambda a: isinstance(a.get("locators"), list), answers=answers)
     proposals = F.slice(F.coalesce(F.from_json(F.get_json_object("__said.answer", "$.locators"), LOCATORS), F.array().cast(LOCATORS)), 1, PROPOSALS)
     good = said.select("doc_id", "window", "window_start", F.filter(proposals, _sound).alias("good")).where(F.size("good") > 0)
     placed = good.withColumn("places", _places(F.col("window"), F.transform("good", lambda p: p["text"])))
@@ -68,11 +68,11 @@ def adjudicated_locators(sites: DataFrame, judge: Judge) -> DataFrame:
     return rows.dropDuplicates(["doc_id", "start", "end"])  # windows overlap: one locator may be seen in several
 
 
-def adjudicated_dockets(sites: DataFrame, judge: Judge) -> DataFrame:
+def adjudicated_dockets(sites: DataFrame, judge: Judge, answers: Answers | None = None) -> DataFrame:
     """doc_id, start, end, docket, court and court_id of the sites of :func:`docketry.operators.extraction.suspected_dockets`
     that a judge takes for docket citations.  The docket must be quoted from the window, the court be one of those offered."""
     prompt = F.struct("docket", "window", court_cue(F.col("courts")).alias("cue"), F.to_json(F.transform("courts", lambda c: c["court"])).alias("offered"))
-    said = sites.withColumn("__said", asked(judge, "docket", prompt, _docket_holds, with_prompt=True))
+    said = with_answers(sites, judge, "docket", prompt, _docket_holds, True, answers)
     answer = F.from_json("__said.answer", "is_docket_citation boolean, docket string, court string")
     held = said.withColumn("__a", answer).where("__a.is_docket_citation")
     chosen = F.get(F.filter("courts", lambda c: c["court"] == F.col("__a.court")), F.lit(0))

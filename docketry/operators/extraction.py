@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.gazetteer import gazetteer
 from docketry.functions.grammar import COURTS, FIELDS, cite_spans, repaired_spans
-from docketry.functions.text import DOCKET, char_windows, locator_key, masked, normal_court
+from docketry.functions.text import DOCKET, WHITE, case_name, char_windows, locator_key, masked, normal_case_name, normal_court
 from docketry.functions.verdicts import FULL_KINDS
 
 SPANS = "array<struct<kind:string,start:int,end:int,locator_start:int,locator_end:int,matched_text:string," + ",".join(f"{f}:string" for f in FIELDS) + ">>"
-#: Texts without one of these hold no citation; they never reach Python.
-_HINT = r"[0-9]\s*[A-Z]|Id\.|Ibid\.|supra"
+#: Texts without one of these hold no citation; they never reach Python.  White space is what the grammar takes for it.
+HINT = rf"[0-9]{WHITE}*+[A-Z]|(?<![A-Za-z0-9_])(?:[Ii]d|[Ii]bid)\.|supra"
 
 
 def _spans(kernel: Callable[[str, bool], list[dict]], tolerant: bool):
@@ -35,7 +36,7 @@ def citation_id(doc_id: Column, start: Column, end: Column, kind: Column) -> Col
 def extract(filings: DataFrame, *, repair: bool = True, tolerant: bool = False) -> DataFrame:
     """Citations of every filing (doc_id, text), with exact spans; ``ordinal`` counts them from 0 in a filing."""
     found = _spans(repaired_spans if repair else cite_spans, tolerant)
-    each = filings.where(F.col("text").rlike(_HINT)).select("doc_id", F.posexplode(found("text")).alias("ordinal", "c"))
+    each = filings.where(F.col("text").rlike(HINT)).select("doc_id", F.posexplode(found("text")).alias("ordinal", "c"))
     c = F.col("c")
     return each.select("doc_id", "ordinal", citation_id(F.col("doc_id"), c["start"], c["end"], c["kind"]).alias("citation_id"), "c.*")
 
@@ -46,22 +47,27 @@ def full_citations(citations: DataFrame) -> DataFrame:
 
 def resolve(citations: DataFrame) -> DataFrame:
     """Adds resolves_to: for ``id`` the nearest citation before it that is full or resolved through one; for a short
-    case the last full case before it with its volume and reporter; for supra the last full case before it with the party."""
+    case the last full case before it with its volume and reporter; for supra the last full case before it with the party;
+    for a reference the same, where all full cases before it with that party are one case by name."""
     before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("doc_id", F.col("volume"), F.regexp_replace("reporter", r"[\s.]", "")).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    full = F.when(F.col("kind").isin(*FULL_KINDS), F.col("citation_id"))
-    out = citations.withColumn("__short", F.when(F.col("kind") == "short_case", F.last(full, ignorenulls=True).over(same)))
-    # A supra names a party: a full case stands once for each of its parties, so the last one that bears the name is a
-    # running value of that name; only the first row of a case stays.
+    kind = F.col("kind")
+    full = F.when(kind.isin(*FULL_KINDS), F.col("citation_id"))
+    out = citations.withColumn("__short", F.when(kind == "short_case", F.last(full, ignorenulls=True).over(same)))
+    # Supra and references name a party: a full case stands once for each of its parties, so the last one that bears the
+    # name is a running value of that name; only the first row of a case stays.
     party = lambda i, name: F.struct(F.lit(i).alias("i"), F.col(name).alias("name"))
-    parties = F.when(F.col("kind") == "full_case", F.array(party(0, "plaintiff"), party(1, "defendant"))).when(F.col("kind") == "supra", F.array(party(0, "plaintiff"))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("name"))))
-    out = out.withColumn("__party", F.explode(parties))
+    other = F.array(F.struct(F.lit(0).alias("i"), F.when(kind.isin("supra", "reference"), F.coalesce("plaintiff", "defendant")).alias("name")))
+    out = out.withColumn("__party", F.explode(F.when(kind == "full_case", F.array(party(0, "plaintiff"), party(1, "defendant"))).otherwise(other)))
     bearer = Window.partitionBy("doc_id", "__party.name").orderBy("start", "__party.i").rowsBetween(Window.unboundedPreceding, -1)
-    case = F.when(F.col("kind") == "full_case", F.col("citation_id"))
-    out = out.withColumn("__named", F.when(F.col("kind") == "supra", F.last(case, ignorenulls=True).over(bearer))).where("__party.i = 0")
+    case = F.when(kind == "full_case", F.col("citation_id"))
+    name = F.when(kind == "full_case", normal_case_name(case_name(F.col("plaintiff"), F.col("defendant"))))
+    one = F.min(name).over(bearer) == F.max(name).over(bearer)
+    named = F.last(case, ignorenulls=True).over(bearer)
+    out = out.withColumn("__named", F.when(kind == "supra", named).when((kind == "reference") & one, named)).where("__party.i = 0")
     out = out.withColumn("__own", F.coalesce("__short", "__named", full))
     nearest = F.last("__own", ignorenulls=True).over(before)
-    resolved = F.when(F.col("kind") == "id", nearest).when(~F.col("kind").isin(*FULL_KINDS), F.col("__own"))
+    resolved = F.when(kind == "id", nearest).when(~kind.isin(*FULL_KINDS), F.col("__own"))
     return out.withColumn("resolves_to", resolved).drop("__short", "__party", "__named", "__own")
 
 
@@ -78,48 +84,57 @@ def mask(extracted: DataFrame, locators_only: bool = False) -> DataFrame:
     return extracted.withColumn("text", masked(F.col("text"), spans))
 
 
-def docket_sites(filings: DataFrame) -> DataFrame:
-    """doc_id, site, start, end, docket of every docket number.  Starts are sums of the lengths of what lies between."""
-    parts, found = F.split("text", DOCKET, -1), F.regexp_extract_all("text", F.lit(DOCKET), F.lit(0))
-    each = filings.where(F.col("text").rlike(DOCKET)).select("doc_id", "text", parts.alias("parts"), found.alias("found"))
-    placed = each.select("doc_id", "text", "parts", "found", F.posexplode("found").alias("site", "docket"))
-    ahead = lambda column, n: F.aggregate(F.slice(column, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-    start = ahead("parts", F.col("site") + 1) + ahead("found", F.col("site"))
-    return placed.select("doc_id", "text", "site", start.alias("start"), (start + F.length("docket")).alias("end"), "docket")
-
-
 #: Court strings that are sent to every task at most.
 MAX_COURTS = 20_000
-DOCKET_CONTEXT = 170
+DOCKET_CONTEXT, COURT_BEFORE, COURT_AFTER = 170, 90, 140
+
+
+def docket_sites(filings: DataFrame, context: int = DOCKET_CONTEXT, before: int = COURT_BEFORE, after: int = COURT_AFTER) -> DataFrame:
+    """doc_id, site, start, end, docket of every docket number, the window of ``context`` around it, and the text near it
+    (from ``low`` on) in which courts count.  Windows are cut in one pass over a text, so no site carries the whole of it."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pattern = re.compile(DOCKET, re.ASCII)
+        for texts in batches:
+            yield pd.Series([[_site(t, m) for m in pattern.finditer(t)] for t in texts], dtype=object)
+
+    def _site(t: str, m: re.Match) -> dict:
+        a, b = m.span()
+        low, around = max(0, a - before), max(0, a - context)
+        return {"start": a, "end": b, "docket": m.group(), "low": low, "near": t[low : b + after], "window": t[around : b + context]}
 
+    sites = F.pandas_udf(run, "array<struct<start:int,end:int,docket:string,low:int,near:string,window:string>>")
+    return filings.where(F.col("text").rlike(DOCKET)).select("doc_id", F.posexplode(sites("text")).alias("site", "s")).select("doc_id", "site", "s.*")
 
-def courts_near(sites: DataFrame, courts: DataFrame, before: int = 90, after: int = 140) -> DataFrame:
-    """doc_id, site, court, court_id, at: every place of a court string around a site, none within a longer one.
+
+def courts_near(sites: DataFrame, courts: DataFrame) -> DataFrame:
+    """doc_id, site, court, court_id, at: every place of a court string near a site, none within a longer one.
 
     ``courts`` (court, court_id) is a dimension of at most ``MAX_COURTS`` strings; of equal ones the least id counts."""
     rows = courts.where(F.length(normal_court(F.col("court"))) >= 4).groupBy("court").agg(F.min("court_id").alias("court_id")).limit(MAX_COURTS + 1).collect()
     if len(rows) > MAX_COURTS:
         raise ValueError(f"more than {MAX_COURTS} court strings")
     ids = {r["court"]: r["court_id"] for r in rows}
-    low = F.greatest(F.col("start") - before, F.lit(0))
-    window = sites.select("doc_id", "site", low.alias("low"), F.substring("text", low + 1, F.col("end") + after - low).alias("near"))
+    names = tuple(sorted(ids))
+
+    def places(text: str | None) -> list[dict]:
+        # A court begins and ends with a word; of those within each other the longest counts.
+        found, reached = [], 0
+        for a, b in gazetteer(names).hits(text or ""):
+            if b > reached and not _LETTER.match(text, b) and not (a and _INNER.match(text, a - 1)):
+                found.append({"at": a, "court": text[a:b], "court_id": ids[text[a:b]]})
+                reached = b
+        return found
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        # At each place the longest string that ends with its word; alternatives are tried longest first.
-        pattern = re.compile(r"(?<![A-Za-z0-9.])(?=(" + "|".join(re.escape(c) for c in sorted(ids, key=lambda c: (-len(c), c))) + r")(?![A-Za-z0-9]))")
         for windows in batches:
-            out = []
-            for text in windows:
-                found, reached = [], 0
-                for m in pattern.finditer(text or "") if ids else ():
-                    if m.end(1) > reached:
-                        found.append({"at": m.start(), "court": m[1], "court_id": ids[m[1]]})
-                        reached = m.end(1)
-                out.append(found)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([places(t) for t in windows], dtype=object)
 
     hits = F.pandas_udf(run, "array<struct<at:int,court:string,court_id:string>>")
-    return window.select("doc_id", "site", "low", F.explode(hits("near")).alias("h")).select("doc_id", "site", "h.court", "h.court_id", (F.col("low") + F.col("h.at")).alias("at"))
+    return sites.select("doc_id", "site", "low", F.explode(hits("near")).alias("h")).select("doc_id", "site", "h.court", "h.court_id", (F.col("low") + F.col("h.at")).alias("at"))
+
+
+_LETTER, _INNER = re.compile("[A-Za-z0-9]"), re.compile("[A-Za-z0-9.]")
 
 
 def court_table(spark) -> DataFrame:
@@ -128,35 +143,52 @@ def court_table(spark) -> DataFrame:
 
 def suspected_dockets(filings: DataFrame, courts: DataFrame, context: int = DOCKET_CONTEXT) -> DataFrame:
     """Docket sites with their courts in order and a window of text."""
-    sites = docket_sites(filings)
+    sites = docket_sites(filings, context)
     near = courts_near(sites, courts).groupBy("doc_id", "site").agg(F.array_sort(F.collect_list(F.struct("at", "court", "court_id"))).alias("courts"))
-    low = F.greatest(F.col("start") - context, F.lit(0))
-    return sites.join(near, ["doc_id", "site"], "left").select("doc_id", "site", "start", "end", "docket", "courts", F.substring("text", low + 1, F.col("end") + context - low).alias("window"))
+    return sites.join(near, ["doc_id", "site"], "left").select("doc_id", "site", "start", "end", "docket", "courts", "window")
 
 
 def suspected_locators(masked_filings: DataFrame, reporters: list[str], before: int = 170, after: int = 85, digits_within: int = 12) -> DataFrame:
-    """Reporter strings in what is left of a filing, with a digit near on both sides: doc_id, start, end, reporter, window_start, window."""
-    alternatives = "|".join(re.escape(r) for r in sorted({r for r in reporters if len(r) >= 2}, key=lambda r: (-len(r), r)))
+    """Reporter strings in what is left of a filing, found by an automaton over the whole table (the longest reading of a
+    place), not within a word, with a digit near on both sides: doc_id, start, end, reporter, window_start, window."""
+    names = tuple(sorted(set(reporters)))
+    digit = re.compile(r"\d")
+
+    def places(t: str) -> list[dict]:
+        found = []
+        for a, b in gazetteer(names).maximal(t):
+            inside = a and t[a - 1].isalnum() or b < len(t) and t[b].isalpha()
+            if not inside and digit.search(t, max(0, a - digits_within), a) and digit.search(t, b, b + digits_within):
+                low = max(0, a - before)
+                found.append({"start": a, "end": b, "reporter": t[a:b], "window_start": low, "window": t[low : b + after]})
+        return found
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pattern = re.compile(rf"(?<![A-Za-z])(?:{alternatives})(?![A-Za-z])")
         for texts in batches:
-            yield pd.Series(
-                [
-                    [
-                        {"start": m.start(), "end": m.end(), "reporter": m.group(), "window_start": max(0, m.start() - before), "window": t[max(0, m.start() - before) : m.end() + after]}
-                        for m in pattern.finditer(t or "")
-                        if re.search(r"\d", t[max(0, m.start() - digits_within) : m.start()]) and re.search(r"\d", t[m.end() : m.end() + digits_within])
-                    ]
-                    for t in texts
-                ],
-                dtype=object,
-            )
+            yield pd.Series([places(t or "") for t in texts], dtype=object)
 
     hunt = F.pandas_udf(run, "array<struct<start:int,end:int,reporter:string,window_start:int,window:string>>")
     return masked_filings.select("doc_id", F.explode(hunt("text")).alias("s")).select("doc_id", "s.*")
 
 
+def windows_around(filings: DataFrame, places: DataFrame, before: int, after: int) -> DataFrame:
+    """``places`` (doc_id, start, end and more) with ``low`` and the ``window`` of text from ``before`` characters ahead of each to
+    ``after`` behind it, and the text's length ``n_chars``.  The places of a filing are gathered and all its windows cut in one pass, so its text moves once."""
+    rest = [c for c in places.columns if c != "doc_id"]
+    gathered = places.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("__places"))
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, starts, ends in batches:
+            cut = lambda t, a, b: {"low": max(0, a - before), "window": t[max(0, a - before) : b + after]}
+            yield pd.Series([[cut(t or "", int(a), int(b)) for a, b in zip(x, y, strict=True)] for t, x, y in zip(texts, starts, ends, strict=True)], dtype=object)
+
+    windows = F.pandas_udf(run, "array<struct<low:int,window:string>>")
+    joined = filings.select("doc_id", "text").join(gathered, "doc_id")
+    cut = joined.select("doc_id", "__places", F.length("text").alias("n_chars"), windows("text", F.col("__places.start"), F.col("__places.end")).alias("__windows"))
+    each = cut.select("doc_id", "n_chars", F.explode(F.arrays_zip("__places", "__windows")).alias("x"))
+    return each.select("doc_id", *(F.col(f"x.__places.{c}").alias(c) for c in rest), "n_chars", "x.__windows.low", "x.__windows.window")
+
+
 def sliding_windows(filings: DataFrame, size: int = 1500, overlap: int = 300) -> DataFrame:
     return filings.select("doc_id", "text", F.explode(char_windows(F.col("text"), size, overlap)).alias("start")).select("doc_id", "start", F.substring("text", F.col("start") + 1, F.lit(size)).alias("window"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 from docketry.functions.grammar import cite_spans
 from docketry.functions.grounding import grounded
 from docketry.functions.text import normal_case_name, window_end, window_start
+from docketry.operators.extraction import windows_around
+from docketry.tables import exists
 
 BUDGET = 2
-_NAMED = re.compile(r"([A-Z][\w.&'’-]*(?:\s+[A-Z0-9][\w.&'’-]*)*)\s+v\.\s+([A-Z][\w.&'’-]*(?:\s+[A-Z0-9][\w.&'’-]*)*)\s*,")
+_NAME = r"[A-Z][\w.&'’-]*(?:,?\s+(?:&|[A-Z0-9][\w.&'’-]*)){0,40}"
+_NAMED = re.compile(rf"({_NAME})\s+v\.\s+({_NAME})\s*,")
 
 
 class Judge(Protocol):
@@ -56,6 +60,12 @@ class RuleJudge:
             after = prompt["window"].partition(prompt["docket"])[2]
             near = sorted((after.find(c), c) for c in offered if c in after)
             return json.dumps({"is_docket_citation": True, "docket": prompt["docket"], "court": near[0][1] if near else next(iter(offered), None)})
+        if task == "gate":
+            return json.dumps({"has_citation": any(c["kind"] == "full_case" for c in cite_spans(prompt["window"], True))})
+        if task == "citations":
+            return json.dumps({"citations": [c["matched_text"] for c in cite_spans(prompt["window"], True) if c["kind"] == "full_case"]})
+        if task == "confirm":
+            return json.dumps({"matches": prompt["candidate"].split() == prompt["excerpt"].split()})
         raise ValueError(f"no rule for {task}")
 
 
@@ -79,23 +89,64 @@ def asked(judge: Judge, task: str, prompt: Column, valid: Callable[..., bool], w
                 out.append((answer, error))
             yield pd.DataFrame(out, columns=["answer", "error"])
 
-    return F.pandas_udf(run, "answer string, error string")(prompt)
+    # A judge may answer differently each time, and each answer costs: it is not to be evaluated once a use.
+    return F.pandas_udf(run, "answer string, error string").asNondeterministic()(prompt)
 
 
-def judged_names(checked: DataFrame, judge: Judge) -> DataFrame:
+SAID = "struct<answer:string,error:string>"
+
+
+@dataclass(frozen=True)
+class Answers:
+    """A table of answers by prompt, for one judge: what was answered once is not asked again, in this run or a later one.
+
+    ``path`` is a folder that all executors share.  A prompt's key is the hash of its task and its JSON; failed prompts are
+    not kept, so a later run asks them again."""
+
+    path: str
+
+    def known(self, rows: DataFrame, task: str) -> DataFrame | None:
+        """key and answer of the task's answers; null if there are none yet."""
+        folder = f"{self.path.rstrip('/')}/{task}"
+        if not exists(rows.sparkSession, folder):
+            return None
+        # A run that was cut off may have left answers that a later one asked for again: one of each key counts.
+        return rows.sparkSession.read.schema("key string, answer string").parquet(folder).groupBy("key").agg(F.min("answer").alias("answer"))
+
+    def ask(self, rows: DataFrame, judge: Judge, task: str, prompt: Column, valid: Callable[..., bool], with_prompt: bool) -> DataFrame:
+        keyed = rows.withColumn("__prompt", prompt).withColumn("__key", F.sha2(F.concat(F.lit(f"{task}\n"), F.to_json("__prompt", {"ignoreNullFields": "false"})), 256))
+        new = keyed.select("__key", "__prompt").dropDuplicates(["__key"])
+        before = self.known(rows, task)
+        if before is not None:
+            new = new.join(before.withColumnRenamed("key", "__key"), "__key", "left_anti")
+        asked_now = new.select(F.col("__key").alias("key"), asked(judge, task, F.col("__prompt"), valid, with_prompt).alias("said"))
+        asked_now.where("said.answer IS NOT NULL").select("key", "said.answer").write.mode("append").parquet(f"{self.path.rstrip('/')}/{task}")
+        answers = self.known(rows, task).select(F.col("key").alias("__key"), "answer")
+        said = F.struct(F.col("answer"), F.when(F.col("answer").isNull(), "not valid").alias("error"))
+        return keyed.join(answers, "__key", "left").withColumn("__said", said).drop("__prompt", "__key", "answer")
+
+
+def with_answers(rows: DataFrame, judge: Judge, task: str, prompt: Column, valid: Callable[..., bool], with_prompt: bool = False, answers: Answers | None = None) -> DataFrame:
+    """``rows`` with __said: the judge's answer to each row's prompt, asked a row, or a distinct prompt with ``answers``."""
+    if answers is None:
+        return rows.withColumn("__said", asked(judge, task, prompt, valid, with_prompt))
+    return answers.ask(rows, judge, task, prompt, valid, with_prompt)
+
+
+def judged_names(checked: DataFrame, judge: Judge, answers: Answers | None = None) -> DataFrame:
     """Adds semantic_check for rows whose exact name check is a mismatch: match, mismatch or failed; null elsewhere."""
     prompt = F.struct(F.concat_ws(" v. ", "plaintiff", "defendant").alias("written"), F.col("retrieved_name").alias("retrieved"))
-    rows = checked.where("name_check = 'mismatch'").withColumn("__said", asked(judge, "same_case", prompt, lambda a: a.get("outcome") in ("match", "mismatch")))
+    rows = with_answers(checked.where("name_check = 'mismatch'"), judge, "same_case", prompt, lambda a: a.get("outcome") in ("match", "mismatch"), answers=answers)
     outcome = F.coalesce(F.get_json_object("__said.answer", "$.outcome"), F.lit("failed"))
     return rows.withColumn("semantic_check", outcome).drop("__said").unionByName(checked.where("name_check <> 'mismatch'").withColumn("semantic_check", F.lit(None).cast("string")))
 
 
-def propositions(citations: DataFrame, filings: DataFrame, judge: Judge) -> DataFrame:
+def propositions(citations: DataFrame, filings: DataFrame, judge: Judge, answers: Answers | None = None) -> DataFrame:
     """doc_id, citation_id, outcome and the grounded span of the proposition a citation stands for."""
-    of = citations.select("doc_id", "citation_id", "start", "end").join(filings.select("doc_id", "text"), "doc_id")
-    low, high = window_start(F.col("start"), F.col("end"), F.length("text")), window_end(F.col("start"), F.col("end"), F.length("text"))
-    windows = of.select("doc_id", "citation_id", low.alias("low"), F.substring("text", low + 1, high - low).alias("window"), (F.col("start") - low).alias("at"))
-    said = windows.withColumn("__said", asked(judge, "proposition", F.struct("window", "at"), lambda a: a.get("outcome") in ("identified", "inconclusive") and (a["outcome"] == "identified") == bool(a.get("quote"))))
+    near = windows_around(filings, citations.select("doc_id", "citation_id", "start", "end"), 1200, 1200)
+    low, high = (f(F.col("start"), F.col("end"), F.col("n_chars")) for f in (window_start, window_end))
+    windows = near.select("doc_id", "citation_id", low.alias("low"), F.substring("window", low - F.col("low") + 1, high - low).alias("window"), (F.col("start") - low).alias("at"))
+    said = with_answers(windows, judge, "proposition", F.struct("window", "at"), lambda a: a.get("outcome") in ("identified", "inconclusive") and (a["outcome"] == "identified") == bool(a.get("quote")), answers=answers)
     placed = said.withColumn("quote", F.get_json_object("__said.answer", "$.quote")).withColumn("place", grounded(F.col("window"), F.col("quote")))
     found = F.col("place.start").isNotNull()
     outcome = F.when(F.col("__said.answer").isNull(), "failed").when(F.col("quote").isNotNull() & ~found, "failed").when(found, "identified").otherwise("inconclusive")

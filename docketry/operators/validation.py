@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import absolute_url, case_name, identity_part, locator_text, year_of
 from docketry.functions.verdicts import GUARD, agree, case_name_check, guard, locator_verdict, lookup_outcome, lookup_status, search_summary, search_verdict, strongest, verdict_rank
+from docketry.operators import search as find
 from docketry.tables import written
 
 KEY = ["doc_id", "citation_id"]
@@ -19,8 +20,11 @@ KEY = ["doc_id", "citation_id"]
 
 def lookup(citations: DataFrame, cluster_citations: DataFrame) -> DataFrame:
     """Adds clusters (ids in order), status and lookup: the exact lookup of volume, reporter and page."""
-    by_locator = cluster_citations.groupBy("volume", "reporter", "page").agg(F.array_sort(F.collect_set("cluster_id")).alias("clusters"))
-    joined = citations.join(by_locator, ["volume", "reporter", "page"], "left")
+    key = ["volume", "reporter", "page"]
+    by_locator = cluster_citations.groupBy(*key).agg(F.array_sort(F.collect_set("cluster_id")).alias("clusters"))
+    whole = F.col("volume").isNotNull() & F.col("reporter").isNotNull() & F.col("page").isNotNull()
+    # Citations without a whole locator go round the join: null keys would all be one task's.
+    joined = citations.where(whole).join(by_locator, key, "left").unionByName(citations.where(~whole), allowMissingColumns=True)
     clusters = F.coalesce("clusters", F.array().cast("array<string>"))
     out = joined.withColumn("clusters", clusters).withColumn("status", lookup_status(F.size("clusters")))
     return out.withColumn("lookup", lookup_outcome(F.col("kind"), F.col("volume"), F.col("reporter"), F.col("page"), F.col("status"), F.size("clusters")))
@@ -46,38 +50,44 @@ def field_checks(candidates_of: DataFrame, dockets: DataFrame, court_id: Column
 
 
 def assess(checked: DataFrame) -> DataFrame:
-    return checked.withColumn("verdict", locator_verdict(F.col("name_check"), F.col("court_check"), F.col("year_check")))
+    """Adds verdict: by the last conclusion on the case name (``name_outcome``, where names were recovered), court and year."""
+    name = "name_outcome" if "name_outcome" in checked.columns else "name_check"
+    return checked.withColumn("verdict", locator_verdict(F.col(name), F.col("court_check"), F.col("year_check")))
 
 
-def search(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame) -> DataFrame:
-    """Candidates of citations that were not found: a case name that holds both parties, in the same court; opinions
-    first, then docket entries, each within the guard.  Adds source, candidate, the field checks and verdict."""
+def searches(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates of citations that were not found (a case name that holds both parties, in the same court; opinions first,
+    then docket entries, each within the guard) with source, candidate, the field checks and verdict; and how many each
+    search found, the guard aside: doc_id, citation_id, source, total."""
     asked = looked_up.where((F.col("lookup") == "not_found") & F.col("court_id").isNotNull() & (F.col("plaintiff") != "") & (F.col("defendant") != ""))
-    opinions = clusters.select(F.col("court_id").alias("found_court"), F.col("case_name").alias("retrieved_name"), F.substring("date_filed", 1, 4).alias("found_year"), F.col("cluster_id").alias("found_id"), F.lit("opinion").alias("source"))
-    recap = dockets.select(F.col("court_id").alias("found_court"), F.col("case_name").alias("retrieved_name"), F.lit(None).cast("string").alias("found_year"), F.col("docket_id").alias("found_id"), F.lit("recap").alias("source"))
-    # A name that holds both parties has their rarest word, so words are the key: the join meets the fewest names.
-    pool = opinions.unionByName(recap).withColumn("name_words", _words(F.col("retrieved_name")))
-    by_word = pool.select("*", F.explode(F.array_distinct(F.split(F.btrim("name_words"), " "))).alias("word"))
-    often = by_word.groupBy("found_court", "word").agg(F.count("*").alias("often"))
-    both = F.concat(_words(F.col("plaintiff")), _words(F.col("defendant")))
-    asked_words = asked.select(*KEY, F.col("court_id").alias("found_court"), F.explode(F.array_distinct(F.split(F.btrim(both), " +"))).alias("word"))
-    rarest = asked_words.join(often, ["found_court", "word"]).groupBy(*KEY).agg(F.min_by("word", F.struct("often", "word")).alias("rarest"))
-    holds = F.contains("name_words", _words(F.col("plaintiff"))) & F.contains("name_words", _words(F.col("defendant")))
-    meets = (F.col("court_id") == F.col("found_court")) & (F.col("rarest") == F.col("word")) & holds
-    # Counts come first, on keys alone: what is over the guard never becomes rows.
-    terms = asked.select(*KEY, "court_id", "plaintiff", "defendant").join(rarest, KEY)
-    within = terms.join(by_word.select("found_court", "word", "name_words", "source"), meets).groupBy(*KEY, "source").agg(F.count("*").alias("total")).where(F.col("total") <= GUARD)
-    met = asked.join(rarest, KEY).join(within.withColumnRenamed("source", "of_source"), KEY).join(by_word, meets & (F.col("of_source") == F.col("source")))
+    scope = lambda source, court: F.concat(F.lit(f"{source} "), court)
+    opinions = clusters.select(scope("opinion", F.col("court_id")).alias("scope"), F.col("cluster_id").alias("found_id"), F.col("case_name").alias("name"), F.substring("date_filed", 1, 4).alias("about"))
+    recap = dockets.select(scope("recap", F.col("court_id")).alias("scope"), F.col("docket_id").alias("found_id"), F.col("case_name").alias("name"), F.lit(None).cast("string").alias("about"))
+    each = asked.select(*KEY, "plaintiff", "defendant", "court_id", F.explode(F.array(F.lit("opinion"), F.lit("recap"))).alias("source"))
+    query_id = F.concat_ws("\n", F.col("doc_id").cast("string"), "citation_id", "source")
+    each = written(each.withColumn("query_id", query_id), "asked")
+    terms = each.select("query_id", F.concat("source", F.lit(" "), "court_id").alias("scope"), F.concat_ws(" ", "plaintiff", "defendant").alias("text"))
+    met = find.matches(terms, find.index(opinions.unionByName(recap))).select("query_id", "found_id", "name", "about", "terms")
+    said = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
+    holds = F.contains(said, _words(F.col("plaintiff"))) & F.contains(said, _words(F.col("defendant")))
+    held = written(met.join(each, "query_id").where(holds).select(*KEY, "source", "found_id", F.col("name").alias("retrieved_name"), F.col("about").alias("found_year")), "held")
+    totals = held.groupBy(*KEY, "source").agg(F.count("*").alias("total"))
+    # What is over the guard never becomes rows of citations.
+    within = held.join(totals.where(F.col("total") <= GUARD), [*KEY, "source"])
     number = F.row_number().over(Window.partitionBy(*KEY, "source").orderBy("found_id"))
-    kept = met.drop("rarest", "word", "name_words", "of_source").withColumn("candidate", number)
+    kept = asked.join(within.withColumn("candidate", number), KEY).withColumn("found_court", F.col("court_id"))
     name, court, year = case_name_check(case_name(F.col("plaintiff"), F.col("defendant")), F.col("retrieved_name")), agree(F.col("court_id"), F.col("found_court")), agree(F.col("year"), F.col("found_year"))
     checked = kept.withColumn("name_check", name).withColumn("court_check", court).withColumn("year_check", year)
-    return checked.withColumn("verdict", search_verdict(F.col("source"), F.col("name_check"), F.col("court_check"), F.col("year_check")))
+    return checked.withColumn("verdict", search_verdict(F.col("source"), F.col("name_check"), F.col("court_check"), F.col("year_check"))), totals
+
+
+def search(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame) -> DataFrame:
+    return searches(looked_up, clusters, dockets)[0]
 
 
 def _words(x: Column) -> Column:
     """Lower-case words between blanks, so that containment is of whole words."""
-    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.array_join(find.words_of(x), " "), F.lit(" "))
 
 
 def summaries(looked_up: DataFrame, assessed: DataFrame, searched: DataFrame) -> DataFrame:
@@ -107,62 +117,125 @@ def summary_candidates(assessed: DataFrame, searched: DataFrame, clusters: DataF
     return joined.select(*KEY, "start", "place", "provenance", "found_id", "outcome", only("opinion").alias("opinion_url"), only("recap").alias("docket_url"))
 
 
+def _payload(*fields: Column) -> Column:
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def _check(name: str, outcome: Column, extracted: Column, retrieved: Column) -> tuple[str, Column, Column]:
+    return name, outcome, _payload(extracted.alias("extracted"), retrieved.alias("retrieved"))
+
+
+def _has(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
+#: Places of a candidate's steps: the candidate itself, its checks, its assessment.
+STRIDE = 8
+
+
 def nodes(looked_up: DataFrame, assessed: DataFrame) -> DataFrame:
-    """The long table of steps: doc_id, citation_id, seq, node_id, node_type, status, outcome, depends_on."""
+    """The long table of steps: doc_id, citation_id, seq, node_id, node_type, status, outcome, depends_on, payload (JSON of the
+    step's own fields, see ``artifacts.STEPS``).  Names that were recovered (:mod:`docketry.operators.recovery`) add their steps."""
     cite = F.col("citation_id")
     root = F.concat(cite, F.lit(":exact_locator_lookup"))
     skipped = F.col("lookup").isin("unsupported_citation", "incomplete_locator")
     empty = F.array().cast("array<string>")
-    looked = looked_up.select(*KEY, F.lit(0).alias("seq"), root.alias("node_id"), F.lit("exact_locator_lookup").alias("node_type"), F.when(skipped, "skipped").otherwise("succeeded").alias("status"), F.col("lookup").alias("outcome"), empty.alias("depends_on"))
+    about = _payload("volume", "reporter", "page", F.col("status").cast("int").alias("status"), "clusters")
+    looked = looked_up.select(*KEY, F.lit(0).alias("seq"), root.alias("node_id"), F.lit("exact_locator_lookup").alias("node_type"), F.when(skipped, "skipped").otherwise("succeeded").alias("status"), F.col("lookup").alias("outcome"), empty.alias("depends_on"), about.alias("payload"))
     candidate = F.concat(cite, F.lit(":locator_candidate_evaluation:"), F.col("candidate").cast("string"))
-    step = lambda place, name, outcome: F.struct((F.col("candidate") * 5 - 4 + place).alias("seq"), F.concat(candidate, F.lit(f":{name}") if place else F.lit("")).alias("node_id"), F.lit(name).alias("node_type"), outcome.alias("outcome"), F.array(candidate if place else root).alias("depends_on"))
-    steps = F.array(
-        step(0, "locator_candidate_evaluation", F.lit("ready")), step(1, "exact_case_name_check", F.col("name_check")), step(2, "year_check", F.col("year_check")),
-        step(3, "court_check", F.col("court_check")), step(4, "locator_candidate_assessment", F.col("verdict")),
-    )
-    below = assessed.select(*KEY, F.explode(steps).alias("s")).select(*KEY, "s.seq", "s.node_id", "s.node_type", F.lit("succeeded").alias("status"), "s.outcome", "s.depends_on")
-    return looked.unionByName(below)
-
-
-def search_nodes(looked_up: DataFrame, searched: DataFrame) -> DataFrame:
+    name, again = case_name(F.col("plaintiff"), F.col("defendant")), case_name(_has(assessed, "re_plaintiff"), _has(assessed, "re_defendant"))
+    court = F.coalesce("docket_court", F.when(F.col("docket_id").isNull(), F.col("cluster_court")))
+    from docketry.operators.recovery import locator_message
+
+    last = F.col("name_outcome") if "name_outcome" in assessed.columns else F.col("name_check")
+    said = locator_message(F.col("verdict"), last, F.col("court_check"))
+    below = [
+        ("locator_candidate_evaluation", F.lit("ready"), _payload("candidate", "cluster_id")),
+        _check("exact_case_name_check", F.col("name_check"), name, F.col("retrieved_name")),
+        _check("semantic_case_name_check", _has(assessed, "semantic_check"), name, F.col("retrieved_name")),
+        ("local_party_reextraction", _has(assessed, "reextraction"), _payload(_has(assessed, "re_plaintiff").alias("plaintiff"), _has(assessed, "re_defendant").alias("defendant"))),
+        _check("reextracted_case_name_check", _has(assessed, "reextracted_check"), again, F.col("retrieved_name")),
+        _check("year_check", F.col("year_check"), F.col("year"), year_of(F.col("date_filed"))),
+        _check("court_check", F.col("court_check"), F.col("court_id"), court),
+        ("locator_candidate_assessment", F.col("verdict"), _payload("cluster_id", F.col("retrieved_name").alias("case_name"), "date_filed", said.alias("message"))),
+    ]
+    first = (F.col("candidate") - 1) * STRIDE + 1
+    return looked.unionByName(_steps(assessed, first, candidate, root, [(F.lit(n), o, p) for n, o, p in below]))
+
+
+def _steps(rows: DataFrame, first: Column, start: Column, root: Column, below: list[tuple[Column, Column, Column]]) -> DataFrame:
+    """The steps of candidates: ``below`` holds name, outcome (null: not taken) and payload, the candidate's own first."""
+    step = lambda at, n, o, p: F.struct((first + at).cast("int").alias("seq"), (F.concat(start, F.lit(":"), n) if at else start).alias("node_id"), n.alias("node_type"), o.alias("outcome"), F.array(start if at else root).alias("depends_on"), p.alias("payload"))
+    taken = F.filter(F.array(*(step(at, *x) for at, x in enumerate(below))), lambda x: x["outcome"].isNotNull())
+    status = F.when(F.col("s.outcome") == "failed", "failed").otherwise("succeeded")
+    return rows.select(*KEY, F.explode(taken).alias("s")).select(*KEY, "s.seq", "s.node_id", "s.node_type", status.alias("status"), "s.outcome", "s.depends_on", "s.payload")
+
+
+def search_nodes(looked_up: DataFrame, searched: DataFrame, totals: DataFrame) -> DataFrame:
     """Steps of citations that were not found, to follow those of :func:`nodes`: a search of opinions and one of docket
-    entries (skipped without a court or a party; outcome ``candidates`` or ``none``, which is also said of more than the
-    guard lets through), then each candidate of :func:`search` with its checks and its assessment."""
+    entries (skipped without a court or a party; outcome ``candidates``, ``none``, or ``deferred_over_limit`` for more than the
+    guard lets through), then each candidate of :func:`searches` with its checks and its assessment."""
     cite, missing = F.col("citation_id"), looked_up.where("lookup = 'not_found'")
     named = F.col("court_id").isNotNull() & (F.coalesce("plaintiff", F.lit("")) != "") & (F.coalesce("defendant", F.lit("")) != "")
-    met = searched.select(*KEY, "source").distinct().withColumn("met", F.lit(True))
     place = F.when(F.col("source") == "opinion", 0).otherwise(1)
     root, search_id = F.concat(cite, F.lit(":exact_locator_lookup")), F.concat(cite, F.lit(":"), "source", F.lit("_search"))
-    asked = missing.select(*KEY, named.alias("named"), F.explode(F.array(F.lit("opinion"), F.lit("recap"))).alias("source")).join(met, [*KEY, "source"], "left")
-    outcome = F.when(F.col("named"), F.when(F.col("met"), "candidates").otherwise("none")).otherwise("missing_terms")
-    searches = asked.select(
-        *KEY, (place + 1).alias("seq"), search_id.alias("node_id"), F.concat("source", F.lit("_search")).alias("node_type"),
+    asked = missing.select(*KEY, named.alias("named"), "plaintiff", "defendant", "court_id", F.explode(F.array(F.lit("opinion"), F.lit("recap"))).alias("source")).join(totals, [*KEY, "source"], "left")
+    outcome = F.when(~F.col("named"), "missing_terms").when(F.col("total").isNull(), "none").when(F.col("total") <= GUARD, "candidates").otherwise("deferred_over_limit")
+    found = asked.select(
+        *KEY, (place + 1).cast("int").alias("seq"), search_id.alias("node_id"), F.concat("source", F.lit("_search")).alias("node_type"),
         F.when(F.col("named"), "succeeded").otherwise("skipped").alias("status"), outcome.alias("outcome"), F.array(root).alias("depends_on"),
+        _payload("plaintiff", "defendant", "court_id", F.when(F.col("named"), F.coalesce("total", F.lit(0))).alias("total")).alias("payload"),
     )
     candidate = F.concat(search_id, F.lit("_candidate:"), F.col("candidate").cast("string"))
-    first = 3 + 5 * (place * GUARD + F.col("candidate") - 1)
-    step = lambda at, name, said: F.struct((first + at).cast("int").alias("seq"), F.concat(candidate, F.lit(":"), name).alias("node_id"), name.alias("node_type"), said.alias("outcome"), F.array(candidate).alias("depends_on"))
-    start = F.struct(first.cast("int").alias("seq"), candidate.alias("node_id"), F.concat("source", F.lit("_search_candidate")).alias("node_type"), F.lit("ready").alias("outcome"), F.array(search_id).alias("depends_on"))
-    steps = F.array(
-        start, step(1, F.lit("exact_case_name_check"), F.col("name_check")), step(2, F.lit("year_check"), F.col("year_check")),
-        step(3, F.lit("court_check"), F.col("court_check")), step(4, F.concat("source", F.lit("_search_candidate_assessment")), F.col("verdict")),
-    )
-    below = searched.select(*KEY, F.explode(steps).alias("s")).select(*KEY, "s.seq", "s.node_id", "s.node_type", F.lit("succeeded").alias("status"), "s.outcome", "s.depends_on")
-    return searches.unionByName(below)
+    name = case_name(F.col("plaintiff"), F.col("defendant"))
+    message = _has(searched, "message")
+    below = [
+        (F.concat("source", F.lit("_search_candidate")), F.lit("ready"), _payload("candidate", "found_id")),
+        *((F.lit(n), o, p) for n, o, p in (
+            _check("exact_case_name_check", F.col("name_check"), name, F.col("retrieved_name")),
+            _check("semantic_case_name_check", _has(searched, "semantic_check"), name, F.col("retrieved_name")),
+            _check("year_check", F.col("year_check"), F.col("year"), F.col("found_year")),
+            _check("court_check", F.col("court_check"), F.col("court_id"), F.col("found_court")),
+        )),
+        (F.concat("source", F.lit("_search_candidate_assessment")), F.col("verdict"), _payload("found_id", F.col("retrieved_name").alias("case_name"), F.col("found_year").alias("year"), F.col("found_court").alias("court_id"), message.alias("message"))),
+    ]
+    return found.unionByName(_steps(searched, 3 + STRIDE * (place * GUARD + F.col("candidate") - 1), candidate, search_id, below))
+
+
+def pinpoint_nodes(looked_up: DataFrame, pages: DataFrame, propositions: DataFrame, pinpoints: DataFrame) -> DataFrame:
+    """Steps of found citations that name a page, to follow those of :func:`nodes`: the page, the proposition the citation
+    stands for, and whether the one supports the other.  Without a page the later steps are not taken."""
+    cite, root = F.col("citation_id"), F.concat("citation_id", F.lit(":exact_locator_lookup"))
+    of = looked_up.where("lookup = 'found'").select(*KEY, F.col("pin_cite").alias("pin"), F.get("clusters", F.lit(0)).alias("cluster_id"))
+    said = propositions.select(*KEY, F.col("outcome").alias("said"), "proposition", F.col("start").alias("said_start"), F.col("end").alias("said_end"))
+    rows = of.join(pages.select(*KEY, "page_text"), KEY, "left").join(said, KEY, "left").join(pinpoints, KEY, "left")
+    page = F.col("page_text").isNotNull()
+    ids = [F.concat(cite, F.lit(f":{n}")) for n in ("reporter_page_retrieval", "citing_proposition", "pinpoint_support")]
+    kinds = [
+        (F.when(page, "found").otherwise("unavailable"), F.array(root), _payload("cluster_id", "pin", "page_text")),
+        (F.when(page, F.coalesce("said", F.lit("failed"))), F.array(ids[0]), _payload("proposition", F.col("said_start").alias("start"), F.col("said_end").alias("end"))),
+        (F.when(page, F.col("pinpoint")), F.array(ids[0], ids[1]), _payload("evidence_start", "evidence_end")),
+    ]
+    after = 1 + STRIDE * GUARD
+    steps = F.array(*(F.struct(F.lit(after + at).alias("seq"), i.alias("node_id"), F.element_at(F.split(i, ":"), 2).alias("node_type"), o.alias("outcome"), d.alias("depends_on"), p.alias("payload")) for at, (i, (o, d, p)) in enumerate(zip(ids, kinds, strict=True))))
+    taken = F.filter(steps, lambda x: x["outcome"].isNotNull())
+    status = F.when(F.col("s.outcome") == "failed", "failed").otherwise("succeeded")
+    return rows.select(*KEY, F.explode(taken).alias("s")).select(*KEY, "s.seq", "s.node_id", "s.node_type", status.alias("status"), "s.outcome", "s.depends_on", "s.payload")
 
 
 def ancestors(nodes_of: DataFrame) -> DataFrame:
-    """(node_id, ancestor, distance) over the graph of dependencies: one join a level, until a level adds nothing."""
-    edges = nodes_of.select("node_id", F.explode("depends_on").alias("ancestor")).distinct()
+    """(doc_id, node_id, ancestor, distance) over the graphs of dependencies, each of one document: one join a level, until a
+    level adds nothing."""
+    edges = nodes_of.select("doc_id", "node_id", F.explode("depends_on").alias("ancestor")).distinct()
     edges = written(edges, "edges")
-    up = edges.select("node_id", "ancestor", F.lit(1).alias("distance"))
+    up = edges.select("doc_id", "node_id", "ancestor", F.lit(1).alias("distance"))
     level, distance = up, 1
     while True:
         distance += 1
-        step = edges.select(F.col("node_id").alias("ancestor"), F.col("ancestor").alias("next"))
-        nearer = up.select("node_id", "ancestor")
-        further = level.join(step, "ancestor").select("node_id", F.col("next").alias("ancestor")).distinct()
-        level = further.join(nearer, ["node_id", "ancestor"], "left_anti").withColumn("distance", F.lit(distance))
+        step = edges.select("doc_id", F.col("node_id").alias("ancestor"), F.col("ancestor").alias("next"))
+        nearer = up.select("doc_id", "node_id", "ancestor")
+        further = level.join(step, ["doc_id", "ancestor"]).select("doc_id", "node_id", F.col("next").alias("ancestor")).distinct()
+        level = further.join(nearer, ["doc_id", "node_id", "ancestor"], "left_anti").withColumn("distance", F.lit(distance))
         level = written(level, "level")
         if level.isEmpty():
             return up

@@ -1,8 +1,9 @@
 """Filings and authority tables made from the star-schema tables, whose texts hold no citations of their own.
 
 Every order with a first line gives one citation.  ``damage`` (0 to 6) says what is wrong with how it is
-written: 1 a doubled blank, 2 a line end within the locator, 3 another party, 4 another year, 5 another
-court, else nothing.  Arithmetic on keys only, so any engine gives the same rows.
+written: 1 a doubled blank, 2 a line end within the locator, 3 another party or one with a word more, 4 another year, 5 another
+court, else nothing.  Some suppliers are companies (``X & Co., Inc.``), some pins name a note (``12 n.3``), some locators of
+U.S. name the reporter who wrote them (``5 U.S. (1 Cranch) 137``).  Arithmetic on keys only, so any engine gives the same rows.
 """
 
 from __future__ import annotations
@@ -40,16 +41,19 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, court = F.col("o_orderkey"), F.col("c_nationkey") % len(COURTS)
     rows = joined.select(
         n.alias("cite_no"), (n % n_docs).alias("doc_id"), (n % 7).alias("damage"),
-        F.replace("c_name", F.lit("#"), F.lit(" ")).alias("plaintiff"), F.replace("s_name", F.lit("#"), F.lit(" ")).alias("defendant"),
+        F.replace("c_name", F.lit("#"), F.lit(" ")).alias("plaintiff"), F.concat(F.replace("s_name", F.lit("#"), F.lit(" ")), F.when(F.col("l_suppkey") % 4 == 1, " & Co., Inc.").otherwise("")).alias("defendant"),
         (F.col("l_partkey") % 900 + 1).cast("string").alias("volume"), _pick(REPORTERS, F.col("l_suppkey") % len(REPORTERS)).alias("reporter"),
         (n % 1500 + 1).cast("string").alias("page"), (n % 1500 + 2).cast("string").alias("pin"), F.year("o_orderdate").cast("string").alias("year"),
         _pick([c for c, _ in COURTS], court).alias("court"), _pick([i for _, i in COURTS], court).alias("court_id"),
         _pick([c for c, _ in COURTS], F.when(n % 7 == 5, (court + 1) % len(COURTS)).otherwise(court)).alias("w_court"),
     )
     damage = F.col("damage")
-    rows = rows.withColumn("w_plaintiff", F.when(damage == 3, "Wrong Party").otherwise(F.col("plaintiff"))).withColumn("w_year", F.when(damage == 4, (F.col("year").cast("int") + 1).cast("string")).otherwise(F.col("year")))
+    rows = rows.withColumn("w_plaintiff", F.when((damage == 3) & (F.floor(F.col("cite_no") / 7) % 2 == 0), "Wrong Party").when(damage == 3, F.concat("plaintiff", F.lit(" Company"))).otherwise(F.col("plaintiff"))).withColumn("w_year", F.when(damage == 4, (F.col("year").cast("int") + 1).cast("string")).otherwise(F.col("year")))
+    form = F.floor(F.col("cite_no") / 7) % 4
+    rows = rows.withColumn("w_pin", F.when(form == 1, F.concat("pin", F.lit(" n.3"))).otherwise(F.col("pin")))
+    by = F.when((form == 2) & (F.col("reporter") == "U.S.") & ~damage.isin(1, 2), " (1 Cranch) ").otherwise(" ")
     gap = F.when(damage == 1, "  ").when(damage == 2, "\n").otherwise(" ")
-    return rows.withColumn("cite", F.concat("w_plaintiff", F.lit(" v. "), "defendant", F.lit(", "), "volume", gap, "reporter", F.lit(" "), "page", F.lit(", "), "pin", F.lit(" ("), "w_court", F.lit(" "), "w_year", F.lit(")")))
+    return rows.withColumn("cite", F.concat("w_plaintiff", F.lit(" v. "), "defendant", F.lit(", "), "volume", gap, "reporter", by, "page", F.lit(", "), "w_pin", F.lit(" ("), "w_court", F.lit(" "), "w_year", F.lit(")")))
 
 
 def _listed(spark: SparkSession, sf_dir: str, cites: DataFrame | None) -> DataFrame:

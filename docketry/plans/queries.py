@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from docketry.functions import text as T
 from docketry.functions import verdicts as V
-from docketry.functions.grounding import grounded, located_candidate, page_text
+from docketry.functions.alignment import aligned
+from docketry.functions.grounding import grounded, located_candidate
 from docketry.operators import extraction as X
-from docketry.operators import adjudication, recovery, scoring, validation
+from docketry.operators import adjudication, recovery, scoring, validation, verdict
+from docketry.operators import search as find
 from docketry.operators.judge import RuleJudge, propositions
 from docketry.plans.fixtures import authority, filings, injected, table
 from docketry.sources import artifacts
@@ -124,6 +126,38 @@ def antecedents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("kind <> 'full_case'").join(full, ["doc_id", "resolves_to"], "left").groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count("to_page").alias("n_resolved"), F.sum(F.col("to_page").cast("long")).alias("pages"))
 
 
+@query
+def citation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms that filings use, with all their fields: In re, sections of a code, parallel locators, electronic reporters with
+    a date, a name and a page, nominative reporters and notes."""
+    n, lit = F.col("cite_no") % 6, F.lit
+    case = F.concat("plaintiff", lit(" v. "), "defendant", lit(", "))
+    locator = F.concat("volume", lit(" "), "reporter", lit(" "), "page")
+    cite = (
+        F.when(n == 0, F.concat(lit("In re "), "defendant", lit(", "), locator, lit(" ("), "court", lit(" "), "year", lit(")")))
+        .when(n == 1, F.concat("volume", lit(" U.S.C. § "), "page", lit("(b)(1) ("), "year", lit(")")))
+        .when(n == 2, F.concat(case, locator, lit(", "), "pin", lit(" S. Ct. "), "page", lit(" ("), "year", lit(")")))
+        .when(n == 3, F.concat(case, "year", lit(" WL "), "page", lit(", at *"), "pin", lit(" ("), "court", lit(" Jan. 5, "), "year", lit(")")))
+        .when(n == 4, F.concat(case, locator, lit(" ("), "year", lit("); "), "plaintiff", lit(" at "), "pin"))
+        .otherwise(F.concat("volume", lit(" U.S. (2 Cranch) "), "page", lit(", "), "pin", lit(" n.4")))
+    )
+    texts = filings(spark, sf_dir, injected(spark, sf_dir).select("doc_id", "cite_no", cite.alias("cite")))
+    found = X.extract(texts)
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind", "plaintiff", "defendant", "volume", "reporter", "page", "pin_cite", "extra", "year", "court")
+
+
+@query
+def reference_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of cases that stand again with a page, and the page of the one case they can mean (null: several)."""
+    lit = F.lit
+    cite = F.concat("plaintiff", lit(" v. "), "defendant", lit(", "), "volume", lit(" "), "reporter", lit(" "), "page", lit(" ("), "year", lit(")"))
+    again = F.when(F.col("cite_no") % 3 == 0, F.concat(lit("; see "), "plaintiff", lit(" at "), "pin")).otherwise("")
+    texts = filings(spark, sf_dir, injected(spark, sf_dir).select("doc_id", "cite_no", F.concat(cite, again).alias("cite")))
+    found = X.resolve(X.extract(texts))
+    full = found.where("kind = 'full_case'").select("doc_id", F.col("citation_id").alias("resolves_to"), F.col("page").alias("to_page"))
+    return found.where("kind = 'reference'").join(full, ["doc_id", "resolves_to"], "left").select("doc_id", "start", "pin_cite", "to_page")
+
+
 @query
 def locator_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = injected(spark, sf_dir).select("cite_no", F.concat("volume", F.lit(" "), "reporter", F.lit(" "), "page", F.lit(", 9-10, "), "pin", F.lit(" S.Ct. "), "page").alias("text"))
@@ -190,7 +224,7 @@ def lookup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assessed(spark: SparkSession, sf_dir: str):
     looked, made = _looked_up(spark, sf_dir)
-    return looked, made, written(validation.assess(validation.field_checks(validation.candidates(looked, made.clusters), made.dockets)), "assessed")
+    return looked, made, verdict.assessed_candidates(looked, filings(spark, sf_dir), made, RuleJudge())
 
 
 @query
@@ -205,9 +239,32 @@ def search_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.search(looked, made.clusters, made.dockets).select("doc_id", "start", "source", F.col("candidate").cast("long").alias("candidate"), "found_id", "verdict")
 
 
+@query
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two pages of two results each for every customer, by name among the opinions of all courts."""
+    made = authority(spark, sf_dir)
+    of = find.index(made.clusters.select(F.lit("opinion").alias("scope"), F.col("cluster_id").alias("found_id"), F.col("case_name").alias("name")))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"), F.lit("opinion").alias("scope"), F.replace("c_name", F.lit("#"), F.lit(" ")).alias("text"))
+    results = written(find.ranked(asked, of), "ranked")
+    first = find.page(results, 2)
+    second = find.page(results, 2, find.cursors(first, 2))
+    return first.withColumn("page", F.lit(1)).unionByName(second.withColumn("page", F.lit(2))).select("query_id", "page", "rank", "found_id", "score")
+
+
+@query
+def aligned_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a miswritten citation lies in the text around it, by the best partial alignment."""
+    texts = filings(spark, sf_dir)
+    found = X.extract(texts).where("kind = 'full_case' AND plaintiff IS NOT NULL")
+    windows = X.windows_around(texts, found, 150, 150)
+    near = aligned(F.col("window"), F.replace("matched_text", F.lit(" v. "), F.lit(" w. ")))
+    return windows.withColumn("a", near).select("doc_id", (F.col("low") + F.col("a.start")).cast("long").alias("start"), (F.col("low") + F.col("a.end")).cast("long").alias("end"), F.col("a.distance").cast("long").alias("distance"), F.round("a.score", 6).alias("score"))
+
+
 def _summaries(spark: SparkSession, sf_dir: str):
     looked, made, assessed = _assessed(spark, sf_dir)
-    return looked, assessed, validation.summaries(looked, assessed, validation.search(looked, made.clusters, made.dockets))
+    searched, _ = verdict.judged_searches(looked, made, RuleJudge())
+    return looked, assessed, validation.summaries(looked, assessed, searched)
 
 
 @query
@@ -242,8 +299,8 @@ def step_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def search_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     looked, made = _looked_up(spark, sf_dir)
-    searched = written(validation.search(looked, made.clusters, made.dockets), "searched")
-    return validation.search_nodes(looked, searched).groupBy("node_type", "status", "outcome").agg(F.count("*").alias("n"), F.sum(F.size("depends_on")).alias("n_parents"))
+    searched, totals = verdict.judged_searches(looked, made, RuleJudge())
+    return validation.search_nodes(looked, searched, totals).groupBy("node_type", "status", "outcome").agg(F.count("*").alias("n"), F.sum(F.size("depends_on")).alias("n_parents"))
 
 
 @query
@@ -259,21 +316,10 @@ def step_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.broken_invariants(validation.nodes(looked, assessed))
 
 
-def _pages(looked: DataFrame, opinions: DataFrame) -> DataFrame:
-    """doc_id, citation_id, start and page_text of found citations: each cluster's best opinion is chosen first, and read once a page."""
-    base = F.create_map(*(F.lit(x) for kind, rank in V.BASE_OPINIONS.items() for x in (kind, rank)))
-    ranked = opinions.withColumn("priority", F.try_element_at(base, F.col("opinion_type"))).where("priority IS NOT NULL")
-    best = ranked.groupBy("cluster_id").agg(F.min_by("html", F.struct("priority", "opinion_id")).alias("html"))
-    of = looked.where("lookup = 'found'").select("doc_id", "citation_id", "start", T.numeric_pin(F.col("pin_cite")).alias("pin"), F.get("clusters", F.lit(0)).alias("cluster_id"))
-    wanted = of.select("cluster_id", "pin").distinct().join(best, "cluster_id")
-    read = wanted.select("cluster_id", "pin", page_text(F.col("html"), F.lit(1), F.col("pin")).alias("page_text"))
-    return of.join(read, ["cluster_id", "pin"]).select("doc_id", "citation_id", "start", "page_text")
-
-
 @query
 def pinpoint_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     looked, made = _looked_up(spark, sf_dir)
-    return _pages(looked, made.opinions).select("doc_id", "start", "page_text")
+    return recovery.reporter_pages(looked, made.opinions).select("doc_id", "start", "page_text")
 
 
 def _alone(spark: SparkSession, sf_dir: str, before: Column, plaintiff: Column, versus: Column):
@@ -309,7 +355,7 @@ def pinpoint_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.when(F.col("cite_no") % 2 == 0, "The cited rule governs here, see ").otherwise("Nothing else was said, see ")
     texts, looked, made = _alone(spark, sf_dir, before, F.col("plaintiff"), F.lit(" v. "))
     found = looked.where("lookup = 'found'")
-    pages = found.select("doc_id", "citation_id").join(_pages(looked, made.opinions).drop("start"), ["doc_id", "citation_id"], "left")
+    pages = found.select("doc_id", "citation_id").join(recovery.reporter_pages(looked, made.opinions).drop("start"), ["doc_id", "citation_id"], "left")
     pinpoints = written(recovery.supported(pages, propositions(found, texts, RuleJudge()), RuleJudge()), "pinpoints")
     assessed = validation.assess(validation.field_checks(validation.candidates(found, made.clusters), made.dockets))
     reviews = recovery.pinpoint_reviews(assessed, pinpoints)
@@ -319,19 +365,25 @@ def pinpoint_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def assessment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, assessed = _assessed(spark, sf_dir)
-    return assessed.groupBy("verdict", recovery.locator_message(F.col("verdict"), F.col("name_check"), F.col("court_check")).alias("message")).agg(F.count("*").alias("n"))
+    return assessed.groupBy("verdict", recovery.locator_message(F.col("verdict"), F.col("name_outcome"), F.col("court_check")).alias("message")).agg(F.count("*").alias("n"))
 
 
 @query
 def validated_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = filings(spark, sf_dir)
-    looked, _, overall = _summaries(spark, sf_dir)
-    _, _, assessed = _assessed(spark, sf_dir)
-    whole = X.documents(texts, X.extract(texts).where("kind = 'full_case'"))
-    made = artifacts.validated_json(whole, validation.nodes(looked, assessed), overall)
-    back = artifacts.read_validated(made, whole.schema["citations"].dataType.simpleString())
-    steps = back.select(F.length("text").alias("size"), F.explode("progressions").alias("p")).select("p.aggregation.overall", F.explode("p.nodes").alias("n"))
-    return steps.groupBy("overall", "n.node_type", "n.outcome").agg(F.count("*").alias("n"))
+    """Whole documents with every kind of step, through their artifact and back: how many steps of each kind and outcome the
+    citations of each verdict have, how many of them call for a review, and how many payloads name what they are about."""
+    made = authority(spark, sf_dir)
+    n = F.col("cite_no").cast("string")
+    said = F.when(F.col("cite_no") % 2 == 0, F.concat(F.lit("Costs were paid. The cited rule "), n, F.lit(" holds, see "))).otherwise(F.concat(F.lit("Costs were paid. Nothing else was said of "), n, F.lit(", see ")))
+    texts = written(filings(spark, sf_dir, injected(spark, sf_dir).select("doc_id", "cite_no", F.concat(said, "cite").alias("cite"))), "filings")
+    found = written(X.extract(texts).where("kind = 'full_case'"), "citations")
+    looked = written(validation.lookup(found.join(X.court_table(spark), "court", "left"), made.cluster_citations), "looked")
+    done = verdict.validate(looked, texts, made, RuleJudge())
+    whole = X.documents(texts, found)
+    back = artifacts.read_validated(artifacts.validated_json(whole, done.nodes, done.summaries), whole.schema["citations"].dataType.simpleString())
+    steps = artifacts.typed_steps(back)
+    about = F.coalesce(*(F.col("fields")[k] for k in ("message", "page_text", "proposition", "retrieved", "cluster_id", "found_id", "court_id", "page")))
+    return steps.groupBy("aggregation.overall", "node_type", "outcome").agg(F.count("*").alias("n"), F.count(F.when(F.col("aggregation.needs_review"), 1)).alias("n_review"), F.count(about).alias("n_about"))
 
 
 @query

@@ -111,8 +111,8 @@ def test_steps_of_searches_follow_those_of_lookups(spark):
     clusters = spark.createDataFrame([("c1", "A v. B", "1999-01-01", "x", None), ("c2", "C v. D", "1998-01-01", "x", None)], "cluster_id string, case_name string, date_filed string, court_id string, docket_id string")
     dockets = spark.createDataFrame([("d1", "x", "C v. D")], "docket_id string, court_id string, case_name string")
     assessed = validation.assess(validation.field_checks(validation.candidates(looked, clusters), dockets))
-    searched = validation.search(looked, clusters, dockets)
-    steps = validation.nodes(looked, assessed).unionByName(validation.search_nodes(looked, searched))
+    searched, totals = validation.searches(looked, clusters, dockets)
+    steps = validation.nodes(looked, assessed).unionByName(validation.search_nodes(looked, searched, totals))
     assert {r["n"] for r in validation.broken_invariants(steps).collect()} == {0}
     made = artifacts.validated_json(whole, steps, validation.summaries(looked, assessed, searched))
     back = {r["doc_id"]: r["progressions"] for r in artifacts.read_validated(made, whole.schema["citations"].dataType.simpleString()).collect()}
