@@ -258,6 +258,12 @@ ORACLES: dict[str, str] = {
         ), about AS (SELECT cite_no, node_type, outcome, node_type NOT IN ('pinpoint_support', 'local_party_reextraction', 'year_check', 'court_check') AS told FROM every_step)
         SELECT overall, node_type, outcome, count(*) AS n, count(*) FILTER (needs_review) AS n_review, count(*) FILTER (told OR node_type IN ('year_check', 'court_check') AND outcome <> 'unavailable') AS n_about
         FROM about JOIN overall USING (cite_no) LEFT JOIN reviews USING (cite_no) GROUP BY ALL""",
+    "prompts_asked_once": _INJ + """
+        , judged AS (SELECT w_plaintiff || ' v. ' || defendant AS said, plaintiff || ' v. ' || defendant AS retrieved, CASE WHEN cite_no // 7 % 2 = 0 THEN 'mismatch' ELSE 'match' END AS semantic_check FROM inj WHERE damage = 3)
+        SELECT semantic_check, count(*) AS n, count(DISTINCT said || chr(10) || retrieved) AS n_distinct, count(DISTINCT said || chr(10) || retrieved) AS n_answers FROM judged GROUP BY ALL""",
+    "model_citations": _INJ + """SELECT doc_id, start_at AS start, start_at + length(cite) AS "end", 'unknown' AS kind FROM placed""",
+    "extracted_by_sql": _INJ + """
+        SELECT doc_id, ordinal::INT AS ordinal, start_at::INT AS start, (start_at + length(cite))::INT AS "end", 'full_case' AS kind, w_plaintiff AS plaintiff, defendant, volume, reporter, page, w_pin AS pin_cite, w_year AS year, w_court AS court FROM found""",
     "recovered_locators": _INJ + """
         SELECT doc_id, start_at::INT AS start, (start_at + length(cite))::INT AS "end", volume, reporter, page FROM found
         UNION ALL SELECT doc_id, (start_at + length(names))::INT, (start_at + length(names) + length(volume) + length(reporter) + length(page) + 2)::INT, volume, reporter, page FROM placed WHERE damage = 2""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,14 +13,14 @@ from docketry.functions import verdicts as V
 from docketry.functions.alignment import aligned
 from docketry.functions.grounding import grounded, located_candidate
 from docketry.operators import extraction as X
-from docketry.operators import adjudication, recovery, scoring, validation, verdict
+from docketry.operators import adjudication, frontier, recovery, scoring, table_function, validation, verdict
 from docketry.operators import search as find
-from docketry.operators.judge import RuleJudge, propositions
+from docketry.operators.judge import Answers, RuleJudge, judged_names, propositions
 from docketry.plans.fixtures import authority, filings, injected, table
 from docketry.sources import artifacts
 from docketry.sources import authority as service
 from docketry.sources.documents import from_column
-from docketry.tables import written
+from docketry.tables import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -386,6 +387,37 @@ def validated_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.groupBy("aggregation.overall", "node_type", "outcome").agg(F.count("*").alias("n"), F.count(F.when(F.col("aggregation.needs_review"), 1)).alias("n_review"), F.count(about).alias("n_about"))
 
 
+@query
+def prompts_asked_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many case names differ from the retrieved ones, how many of these questions are distinct, and how many answers are
+    kept after the same names have been judged twice."""
+    _, made = _looked_up(spark, sf_dir)
+    pairs = injected(spark, sf_dir).select(F.col("cite_no"), F.col("w_plaintiff").alias("plaintiff"), "defendant", "year")
+    named = pairs.join(made.dockets.select(F.regexp_extract("docket_id", "[0-9]+", 0).cast("long").alias("cite_no"), F.col("case_name").alias("retrieved_name")), "cite_no")
+    checked = written(named.withColumn("name_check", V.case_name_check(T.case_name(F.col("plaintiff"), F.col("defendant")), F.col("retrieved_name"))), "checked")
+    answers = Answers(f"{shared_dir(spark)}/docketry-answers-{uuid.uuid4().hex}")
+    for _ in range(2):
+        judged = written(judged_names(checked, RuleJudge(), answers), "judged")
+    kept = spark.read.parquet(f"{answers.path}/same_case").select(F.get_json_object("answer", "$.outcome").alias("semantic_check")).groupBy("semantic_check").agg(F.count("*").alias("n_answers"))
+    differ = judged.where("semantic_check IS NOT NULL")
+    return differ.groupBy("semantic_check").agg(F.count("*").alias("n"), F.countDistinct("plaintiff", "defendant", "retrieved_name").alias("n_distinct")).join(kept, "semantic_check")
+
+
+@query
+def model_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge alone finds in whole filings, window by window; windows with over three citations are split."""
+    found = frontier.model_citations(filings(spark, sf_dir), RuleJudge(), proposals=3)
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind")
+
+
+@query
+def extracted_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_function.register(spark)
+    filings(spark, sf_dir).createOrReplaceTempView("docketry_filings")
+    names = "doc_id, ordinal, start, end, kind, plaintiff, defendant, volume, reporter, page, pin_cite, year, court"
+    return spark.sql(f"SELECT {names} FROM extract_citations(TABLE(SELECT doc_id, text FROM docketry_filings) PARTITION BY doc_id) WHERE kind IN ('full_case', 'full_law', 'full_journal')")
+
+
 @query
 def recovered_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = adjudication.recovered_occurrences(filings(spark, sf_dir), RuleJudge())
