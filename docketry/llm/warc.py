@@ -7,7 +7,8 @@ HTTP header block and payload digest, carry digests of their own, and name each
 Input: record_id, target_uri, date, http_headers, payload (string or null), as :func:`read` gives them
 of WARC files and :func:`responses` of a table of pages.  A null payload counts as empty, a null URI or
 header block as the empty string.  Pages that repeat an id, a URL or both are responses of their own
-with ids of their own: the row's place in its input split is part of an id.  Line ends in header values
+with ids of their own: the row's place in its file is part of an id (of a table that is not read from files, its place in
+the partition), so other splits and re-run tasks give the same.  Line ends in header values
 become blanks when records are written.  Very long pages are converted whole, extra columns ignored.
 An empty table gives no records.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -33,8 +35,10 @@ CRAWL_DATE = "2024-01-01T00:00:00Z"
 COLUMNS = ("record_type", "record_id", "refers_to", "refers_to_target_uri", "refers_to_date", "concurrent_to", "target_uri", "date", "content_type", "source_headers", "source_payload_digest", "block_digest", "content_length", "content")
 # The title goes to the metadata record; what else a head holds has no text, so a head that is not closed hides nothing.
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|aside|main|form|blockquote|pre|hr|title|body|html|dl|dt|dd|figure|figcaption)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>?")
+# What is left of a tag: quoted values may hold ">".  All ends at a "<", so markup that is never closed costs no more than its tag.
+_INSIDE = r"(?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*+>"
+_BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|aside|main|form|blockquote|pre|hr|title|body|html|dl|dt|dd|figure|figcaption)\b(?:" + _INSIDE + r"|[^<>]*>)", re.I)
+_TAG = re.compile(r"<[!/?a-zA-Z](?:" + _INSIDE + r"|[^<>]*>?)")
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -64,11 +68,21 @@ def digest(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 
 
+def _place(pages: DataFrame) -> tuple[Column, ...]:
+    """What tells equal rows apart: a row's file and its place in it, where the table is read from files."""
+    try:
+        columns = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        pages.select(*columns).schema  # noqa: B018
+    except AnalysisException:
+        return (F.monotonically_increasing_id(),)
+    return columns
+
+
 def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
     """Response records of crawled pages (page_id, url, html), carrying page_id."""
     body = F.coalesce("html", F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body), F.lit("\r\n\r\n"))
-    record_id = uuid_of(F.lit("response"), F.col("page_id"), F.col("url"), F.sha2(body, 256), F.monotonically_increasing_id())
+    record_id = uuid_of(F.lit("response"), F.col("page_id"), F.col("url"), F.sha2(body, 256), *_place(pages))
     return pages.select("page_id", record_id.alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), head.alias("http_headers"), body.alias("payload"))
 
 
