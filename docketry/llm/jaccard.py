@@ -356,7 +356,8 @@ def _decide(keys: np.ndarray, side: np.ndarray, across: bool, weight: np.ndarray
 
 
 def _links(docs: DataFrame, candidates: DataFrame, copies: DataFrame) -> DataFrame:
-    """(key, root, linked) for every set of every home of ``candidates`` (key, home, n); ``copies``: doc_id, key, weight."""
+    """(key, root, linked) for every set of every home of ``candidates`` (key, home, n); ``copies``: doc_id, version, key, weight.
+    A text is found by its id and its version, so many texts under one id, or none, do not meet each other's sets."""
 
     def decide(f: pd.DataFrame) -> pd.DataFrame:
         f = f.drop_duplicates(["key", "text"])
@@ -371,8 +372,9 @@ def _links(docs: DataFrame, candidates: DataFrame, copies: DataFrame) -> DataFra
         return pd.DataFrame({"key": keys, "root": keys[root], "linked": linked})
 
     dealt = _dealt(candidates).join(copies, "key")
-    wanted = dealt.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("key", "weight", "homes", "home", "block", "a", "b")).alias("to"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")))
+    wanted = dealt.groupBy(F.col("doc_id").alias("of"), F.col("version").alias("of_version")).agg(F.collect_list(F.struct("key", "weight", "homes", "home", "block", "a", "b")).alias("to"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", version_of(docs["text"]).alias("version"))
+    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("of_version")))
     return joined.select("text", F.explode("to").alias("to")).select("text", "to.*").groupBy("home", "a", "b").applyInPandas(decide, "key long, root long, linked long")
 
 
@@ -396,7 +398,8 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes, sketch = classes_and_sketch(docs)
     lists = written(_lists(_prefixes(docs, token_ranks(sketch))), "lists")
     candidates = written(_candidates(lists), "candidates")
-    copies = classes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
+    copies = classes.where("n > 0").groupBy("key").agg(first, F.count("*").alias("weight")).select("key", "first.doc_id", "first.version", "weight")
     found = written(_links(docs, candidates, copies), "links")
     labels = components(found.where("key <> root").select("key", "root"))
     counted = found.groupBy("key").agg(F.sum("linked").alias("linked"))

@@ -199,3 +199,46 @@ def test_packing_holds_given_proportions_with_odd_rows(spark):
     pieces = packing.pack(tokens, 256, {"a": 2.0, "b": 1.0, "\x00": 1.0}).collect()
     assert sum(r["length"] for r in pieces) == tokens.agg({"n": "sum"}).first()[0]
     assert max(r["offset"] + r["length"] for r in pieces) <= 256
+
+
+def test_many_texts_under_one_id(spark):
+    """Every pair of neighbours is linked, no text meets the sets of the others that bear its id."""
+    import time
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(1_000):
+        base = words(rng, 60)
+        texts += [" ".join(base), " ".join([*base[:-1], "end"])]
+    for doc_id in (None, 7):
+        began = time.monotonic()
+        rows = jaccard.join(spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")).collect()
+        assert len(rows) == 2_000 and {r["n_links"] for r in rows} == {1} and time.monotonic() - began < 120
+
+
+def test_record_ids_do_not_change_with_splits(spark, tmp_path):
+    from docketry.llm import warc
+
+    rows = [(i % 5, f"http://h/{i % 5}", "<p>one page</p>" * 50) for i in range(3_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.option("parquet.block.size", "4096").parquet(f"{tmp_path}/pages")
+    ids = []
+    for size in ("128m", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            ids.append(sorted(r["record_id"] for r in warc.responses(spark.read.parquet(f"{tmp_path}/pages")).select("record_id").collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1] and len(set(ids[0])) == 3_000
+
+
+def test_tags_with_a_mark_in_a_quoted_value():
+    import time
+
+    from docketry.llm import warc
+
+    assert warc.plain_text('<img alt="a > b">Text <a title=\'x > y\' href="/">link</a><p data-x="1 > 0">Next') == "Text link\nNext"
+    assert warc.plain_text("<p class=it's>one</p><b title=\"open>two <i>three</i>") == "one\ntwo three"
+    began = time.monotonic()
+    for part in ('<a "', "<p '", "<div x='y", "<p ", '<img alt="', "<"):
+        warc.plain_text(part * 50_000)
+    assert time.monotonic() - began < 30
