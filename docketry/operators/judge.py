@@ -60,6 +60,8 @@ class RuleJudge:
             after = prompt["window"].partition(prompt["docket"])[2]
             near = sorted((after.find(c), c) for c in offered if c in after)
             return json.dumps({"is_docket_citation": True, "docket": prompt["docket"], "court": near[0][1] if near else next(iter(offered), None)})
+        if task == "search_terms":
+            return json.dumps({f"{side}_term": re.sub(r",? Inc\.$", "", prompt[side]) for side in ("plaintiff", "defendant")})
         if task == "gate":
             return json.dumps({"has_citation": any(c["kind"] == "full_case" for c in cite_spans(prompt["window"], True))})
         if task == "citations":

@@ -55,15 +55,20 @@ def assess(checked: DataFrame) -> DataFrame:
     return checked.withColumn("verdict", locator_verdict(F.col(name), F.col("court_check"), F.col("year_check")))
 
 
-def searches(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates of citations that were not found (a case name that holds both parties, in the same court; opinions first,
-    then docket entries, each within the guard) with source, candidate, the field checks and verdict; and how many each
-    search found, the guard aside: doc_id, citation_id, source, total."""
+def searches(looked_up: DataFrame, clusters: DataFrame, dockets: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates of citations that were not found (a case name that holds both parties, or the ``terms`` prepared for them, in
+    the same court; opinions first, then docket entries, each within the guard) with source, candidate, the field checks and
+    verdict; and how many each search found, the guard aside: doc_id, citation_id, source, total."""
     asked = looked_up.where((F.col("lookup") == "not_found") & F.col("court_id").isNotNull() & (F.col("plaintiff") != "") & (F.col("defendant") != ""))
     scope = lambda source, court: F.concat(F.lit(f"{source} "), court)
     opinions = clusters.select(scope("opinion", F.col("court_id")).alias("scope"), F.col("cluster_id").alias("found_id"), F.col("case_name").alias("name"), F.substring("date_filed", 1, 4).alias("about"))
     recap = dockets.select(scope("recap", F.col("court_id")).alias("scope"), F.col("docket_id").alias("found_id"), F.col("case_name").alias("name"), F.lit(None).cast("string").alias("about"))
-    each = asked.select(*KEY, "plaintiff", "defendant", "court_id", F.explode(F.array(F.lit("opinion"), F.lit("recap"))).alias("source"))
+    if terms is None:
+        worded = asked.select(*KEY, "plaintiff", "defendant", "court_id")
+    else:
+        ready = terms.where("preparation = 'prepared'").select(*KEY, F.col("plaintiff_term").alias("plaintiff"), F.col("defendant_term").alias("defendant"))
+        worded = asked.select(*KEY, "court_id").join(ready, KEY)
+    each = worded.select(*KEY, "plaintiff", "defendant", "court_id", F.explode(F.array(F.lit("opinion"), F.lit("recap"))).alias("source"))
     query_id = F.concat_ws("\n", F.col("doc_id").cast("string"), "citation_id", "source")
     each = written(each.withColumn("query_id", query_id), "asked")
     terms = each.select("query_id", F.concat("source", F.lit(" "), "court_id").alias("scope"), F.concat_ws(" ", "plaintiff", "defendant").alias("text"))
@@ -171,8 +176,8 @@ def _steps(rows: DataFrame, first: Column, start: Column, root: Column, below: l
     return rows.select(*KEY, F.explode(taken).alias("s")).select(*KEY, "s.seq", "s.node_id", "s.node_type", status.alias("status"), "s.outcome", "s.depends_on", "s.payload")
 
 
-def search_nodes(looked_up: DataFrame, searched: DataFrame, totals: DataFrame) -> DataFrame:
-    """Steps of citations that were not found, to follow those of :func:`nodes`: a search of opinions and one of docket
+def search_nodes(looked_up: DataFrame, searched: DataFrame, totals: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Steps of citations that were not found, to follow those of :func:`nodes`: the preparation of ``terms``, a search of opinions and one of docket
     entries (skipped without a court or a party; outcome ``candidates``, ``none``, or ``deferred_over_limit`` for more than the
     guard lets through), then each candidate of :func:`searches` with its checks and its assessment."""
     cite, missing = F.col("citation_id"), looked_up.where("lookup = 'not_found'")
@@ -181,9 +186,10 @@ def search_nodes(looked_up: DataFrame, searched: DataFrame, totals: DataFrame) -
     root, search_id = F.concat(cite, F.lit(":exact_locator_lookup")), F.concat(cite, F.lit(":"), "source", F.lit("_search"))
     asked = missing.select(*KEY, named.alias("named"), "plaintiff", "defendant", "court_id", F.explode(F.array(F.lit("opinion"), F.lit("recap"))).alias("source")).join(totals, [*KEY, "source"], "left")
     outcome = F.when(~F.col("named"), "missing_terms").when(F.col("total").isNull(), "none").when(F.col("total") <= GUARD, "candidates").otherwise("deferred_over_limit")
+    before = root if terms is None else F.concat(cite, F.lit(":search_term_preparation"))
     found = asked.select(
-        *KEY, (place + 1).cast("int").alias("seq"), search_id.alias("node_id"), F.concat("source", F.lit("_search")).alias("node_type"),
-        F.when(F.col("named"), "succeeded").otherwise("skipped").alias("status"), outcome.alias("outcome"), F.array(root).alias("depends_on"),
+        *KEY, (place + 2).cast("int").alias("seq"), search_id.alias("node_id"), F.concat("source", F.lit("_search")).alias("node_type"),
+        F.when(F.col("named"), "succeeded").otherwise("skipped").alias("status"), outcome.alias("outcome"), F.array(before).alias("depends_on"),
         _payload("plaintiff", "defendant", "court_id", F.when(F.col("named"), F.coalesce("total", F.lit(0))).alias("total")).alias("payload"),
     )
     candidate = F.concat(search_id, F.lit("_candidate:"), F.col("candidate").cast("string"))
@@ -199,7 +205,13 @@ def search_nodes(looked_up: DataFrame, searched: DataFrame, totals: DataFrame) -
         )),
         (F.concat("source", F.lit("_search_candidate_assessment")), F.col("verdict"), _payload("found_id", F.col("retrieved_name").alias("case_name"), F.col("found_year").alias("year"), F.col("found_court").alias("court_id"), message.alias("message"))),
     ]
-    return found.unionByName(_steps(searched, 3 + STRIDE * (place * GUARD + F.col("candidate") - 1), candidate, search_id, below))
+    steps = found.unionByName(_steps(searched, 4 + STRIDE * (place * GUARD + F.col("candidate") - 1), candidate, search_id, below))
+    if terms is None:
+        return steps
+    status = F.when(F.col("preparation") == "prepared", "succeeded").when(F.col("preparation") == "failed", "failed").otherwise("skipped")
+    ready = missing.select(*KEY, "court_id").join(terms, KEY)
+    prepared = ready.select(*KEY, F.lit(1).alias("seq"), before.alias("node_id"), F.lit("search_term_preparation").alias("node_type"), status.alias("status"), F.col("preparation").alias("outcome"), F.array(root).alias("depends_on"), _payload("plaintiff_term", "defendant_term", "court_id").alias("payload"))
+    return steps.unionByName(prepared)
 
 
 def pinpoint_nodes(looked_up: DataFrame, pages: DataFrame, propositions: DataFrame, pinpoints: DataFrame) -> DataFrame:
@@ -242,13 +254,34 @@ def ancestors(nodes_of: DataFrame) -> DataFrame:
         up = up.unionByName(level)
 
 
+def children(nodes_of: DataFrame) -> DataFrame:
+    """doc_id, citation_id, parent, parent_type, child_type, n and only (the child, null unless there is exactly one) of every
+    parent step and type of steps that depend on it."""
+    edges = nodes_of.select(*KEY, F.col("node_id").alias("child"), F.col("node_type").alias("child_type"), F.explode(F.array_distinct("depends_on")).alias("parent"))
+    parents = nodes_of.select(*KEY, F.col("node_id").alias("parent"), F.col("node_type").alias("parent_type"))
+    grouped = edges.join(parents, [*KEY, "parent"]).groupBy(*KEY, "parent", "parent_type", "child_type").agg(F.count("*").alias("n"), F.min("child").alias("only"))
+    return grouped.withColumn("only", F.when(F.col("n") == 1, F.col("only")))
+
+
 def broken_invariants(nodes_of: DataFrame) -> DataFrame:
     """(rule, n): how often each rule of the step table is broken; all 0 for a sound table."""
     known = nodes_of.groupBy(*KEY).agg(F.collect_set("node_id").alias("known"))
-    repeated = nodes_of.groupBy("doc_id", "node_id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("repeated node id").alias("rule"), "n")
-    blank = nodes_of.where("coalesce(node_id, '') = ''").agg(F.count("*").alias("n")).select(F.lit("empty node id").alias("rule"), "n")
-    loose = nodes_of.join(known, KEY).where(F.size(F.array_except("depends_on", "known")) > 0).agg(F.count("*").alias("n")).select(F.lit("unknown dependency").alias("rule"), "n")
-    return repeated.unionByName(blank).unionByName(loose)
+    rule = lambda name, broken: broken.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
+    repeated = rule("repeated node id", nodes_of.groupBy("doc_id", "node_id").count().where("count > 1"))
+    blank = rule("empty node id", nodes_of.where("coalesce(node_id, '') = ''"))
+    loose = rule("unknown dependency", nodes_of.join(known, KEY).where(F.size(F.array_except("depends_on", "known")) > 0))
+    lookups = rule("not one lookup", nodes_of.groupBy(*KEY).agg(F.count(F.when(F.col("node_type") == "exact_locator_lookup", 1)).alias("n")).where("n <> 1"))
+    # Every candidate has one assessment; what a search says it selected is what follows it.
+    candidate = F.col("node_type").isin("locator_candidate_evaluation", "opinion_search_candidate", "recap_search_candidate")
+    by_child = children(nodes_of)
+    settled = by_child.where(F.endswith("child_type", F.lit("_assessment")) & F.col("only").isNotNull()).select(*KEY, F.col("parent").alias("node_id"))
+    open_ones = rule("not one assessment", nodes_of.where(candidate).join(settled, [*KEY, "node_id"], "left_anti"))
+    every = repeated.unionByName(blank).unionByName(loose).unionByName(lookups).unionByName(open_ones)
+    if "payload" not in nodes_of.columns:
+        return every
+    said = nodes_of.where("outcome = 'candidates'").select(*KEY, "node_id", F.get_json_object("payload", "$.total").cast("long").alias("total"))
+    follow = by_child.where(F.endswith("child_type", F.lit("_search_candidate"))).select(*KEY, F.col("parent").alias("node_id"), F.col("n").alias("selected"))
+    return every.unionByName(rule("selection and total differ", said.join(follow, [*KEY, "node_id"], "left").where("coalesce(selected, 0) <> coalesce(total, -1)")))
 
 
 def citation_index(citations: Column, volume: Column, reporter: Column) -> Column:

@@ -79,7 +79,8 @@ looked AS (
     UNION ALL SELECT cite_no, 'reextracted_case_name_check', 'mismatch', 1 FROM assessed WHERE semantic_check = 'mismatch' UNION ALL SELECT cite_no, 'year_check', year_check, 1 FROM assessed
     UNION ALL SELECT cite_no, 'court_check', court_check, 1 FROM assessed UNION ALL SELECT cite_no, 'locator_candidate_assessment', verdict, 1 FROM assessed
 ), search_steps AS (
-    SELECT l.cite_no, k.kind || '_search' AS node_type, CASE WHEN l.w_court_id IS NULL THEN 'skipped' ELSE 'succeeded' END AS status,
+    SELECT cite_no, 'search_term_preparation' AS node_type, CASE WHEN w_court_id IS NULL THEN 'skipped' ELSE 'succeeded' END AS status, CASE WHEN w_court_id IS NULL THEN 'missing_terms' ELSE 'prepared' END AS outcome FROM looked WHERE lookup = 'not_found'
+    UNION ALL SELECT l.cite_no, k.kind || '_search' AS node_type, CASE WHEN l.w_court_id IS NULL THEN 'skipped' ELSE 'succeeded' END AS status,
         CASE WHEN l.w_court_id IS NULL THEN 'missing_terms' WHEN s.total <= 3 THEN 'candidates' WHEN s.total > 3 THEN 'deferred_over_limit' ELSE 'none' END AS outcome
     FROM looked l CROSS JOIN (VALUES ('opinion'), ('recap')) k(kind) LEFT JOIN (SELECT DISTINCT cite_no, source, total FROM every_hit) s ON s.cite_no = l.cite_no AND s.source = k.kind WHERE l.lookup = 'not_found'
     UNION ALL SELECT cite_no, source || '_search_candidate', 'succeeded', 'ready' FROM searched UNION ALL SELECT cite_no, source || '_search_candidate_assessment', 'succeeded', verdict FROM searched
@@ -181,7 +182,10 @@ ORACLES: dict[str, str] = {
         SELECT 'exact_locator_lookup' AS ancestor_type, 1::BIGINT AS distance, count(*) AS n FROM assessed
         UNION ALL SELECT 'exact_locator_lookup', 2, count(*) FROM steps WHERE node_type NOT IN ('exact_locator_lookup', 'locator_candidate_evaluation')
         UNION ALL SELECT 'locator_candidate_evaluation', 1, count(*) FROM steps WHERE node_type NOT IN ('exact_locator_lookup', 'locator_candidate_evaluation')""",
-    "step_invariants": "SELECT unnest(['repeated node id', 'empty node id', 'unknown dependency']) AS rule, 0::BIGINT AS n",
+    "step_children": _AUTH + """
+        SELECT 'locator_candidate_evaluation' AS parent_type, node_type AS child_type, count(*) AS n_parents, count(*) AS n_single FROM steps WHERE node_type NOT IN ('exact_locator_lookup', 'locator_candidate_evaluation') GROUP BY ALL
+        UNION ALL SELECT 'exact_locator_lookup', 'locator_candidate_evaluation', count(*), count(*) FILTER (n = 1) FROM (SELECT cite_no, count(*) AS n FROM assessed GROUP BY cite_no)""",
+    "step_invariants": "SELECT unnest(['repeated node id', 'empty node id', 'unknown dependency', 'not one lookup', 'not one assessment', 'selection and total differ']) AS rule, 0::BIGINT AS n",
     "pinpoint_pages": _AUTH + """
         SELECT doc_id, start_at::INT AS start, CASE WHEN l.w_pin = c.true_pin THEN '*' || l.pin || ' cited rule ' || k END AS page_text FROM looked l JOIN clusters c USING (volume, reporter, page) WHERE l.lookup = 'found' AND k % 3 <> 0""",
     "grounded_quotes": """

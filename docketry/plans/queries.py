@@ -264,7 +264,7 @@ def aligned_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _summaries(spark: SparkSession, sf_dir: str):
     looked, made, assessed = _assessed(spark, sf_dir)
-    searched, _ = verdict.judged_searches(looked, made, RuleJudge())
+    searched, _, _ = verdict.judged_searches(looked, made, RuleJudge())
     return looked, assessed, validation.summaries(looked, assessed, searched)
 
 
@@ -300,8 +300,8 @@ def step_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def search_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     looked, made = _looked_up(spark, sf_dir)
-    searched, totals = verdict.judged_searches(looked, made, RuleJudge())
-    return validation.search_nodes(looked, searched, totals).groupBy("node_type", "status", "outcome").agg(F.count("*").alias("n"), F.sum(F.size("depends_on")).alias("n_parents"))
+    searched, totals, terms = verdict.judged_searches(looked, made, RuleJudge())
+    return validation.search_nodes(looked, searched, totals, terms).groupBy("node_type", "status", "outcome").agg(F.count("*").alias("n"), F.sum(F.size("depends_on")).alias("n_parents"))
 
 
 @query
@@ -312,9 +312,17 @@ def step_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def step_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def step_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of how many steps each kind of child depends, and on how many of them exactly one."""
     looked, _, assessed = _assessed(spark, sf_dir)
-    return validation.broken_invariants(validation.nodes(looked, assessed))
+    return validation.children(validation.nodes(looked, assessed)).groupBy("parent_type", "child_type").agg(F.count("*").alias("n_parents"), F.count("only").alias("n_single"))
+
+
+@query
+def step_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looked, made, assessed = _assessed(spark, sf_dir)
+    searched, totals, terms = verdict.judged_searches(looked, made, RuleJudge())
+    return validation.broken_invariants(written(validation.nodes(looked, assessed).unionByName(validation.search_nodes(looked, searched, totals, terms)), "steps"))
 
 
 @query
