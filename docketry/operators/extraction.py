@@ -41,6 +41,22 @@ def extract(filings: DataFrame, *, repair: bool = True, tolerant: bool = False)
     return each.select("doc_id", "ordinal", citation_id(F.col("doc_id"), c["start"], c["end"], c["kind"]).alias("citation_id"), "c.*")
 
 
+def extract_arms(filings: DataFrame, arms: tuple[str, ...]) -> DataFrame:
+    """arm and citations of several arms (names of :data:`ARMS`), read in one pass over the texts."""
+    how = {"baseline": (cite_spans, False), "production": (repaired_spans, False), "layout_tolerant": (repaired_spans, True)}
+    kinds = [how[a] for a in arms]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[kernel(t, tolerant) if t else [] for kernel, tolerant in kinds] for t in texts], dtype=object)
+
+    found = F.pandas_udf(run, f"array<{SPANS}>")
+    each = filings.where(F.col("text").rlike(HINT)).select("doc_id", F.posexplode(found("text")).alias("__arm", "found"))
+    each = each.select("doc_id", F.array(*map(F.lit, arms))[F.col("__arm")].alias("arm"), F.posexplode("found").alias("ordinal", "c"))
+    c = F.col("c")
+    return each.select("arm", "doc_id", "ordinal", citation_id(F.col("doc_id"), c["start"], c["end"], c["kind"]).alias("citation_id"), "c.*")
+
+
 def full_citations(citations: DataFrame) -> DataFrame:
     return citations.where(F.col("kind").isin(*FULL_KINDS))
 

@@ -74,8 +74,8 @@ class Made(Authority):
     """Authority tables: locators of every fifth order are unknown, some stand for two clusters, some for five."""
 
 
-def authority(spark: SparkSession, sf_dir: str) -> Made:
-    cites = written(injected(spark, sf_dir), "cites")
+def authority(spark: SparkSession, sf_dir: str, cites: DataFrame | None = None) -> Made:
+    cites = written(injected(spark, sf_dir), "cites") if cites is None else cites
     known = cites.where("cite_no % 5 <> 0").groupBy("volume", "reporter", "page").agg(F.min_by(F.struct("cite_no", "plaintiff", "defendant", "year", "court_id", "pin"), "cite_no").alias("of"))
     k = F.col("of.cite_no")
     copies = F.when(k % 13 == 0, 5).when(k % 11 == 0, 2).otherwise(1)

@@ -104,10 +104,8 @@ def span_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extraction_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = filings(spark, sf_dir)
-    arms = [X.ARMS[a](texts).select(F.lit(a).alias("arm"), "document") for a in X.ARMS]
-    out = arms[0].unionByName(arms[1]).unionByName(arms[2])
-    return out.groupBy("arm").agg(F.count("*").alias("n"), F.countDistinct("document").alias("n_documents"))
+    found = X.extract_arms(filings(spark, sf_dir), tuple(X.ARMS)).where("kind = 'full_case'")
+    return found.groupBy("arm").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
 @query
@@ -210,22 +208,25 @@ def scalar_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _looked_up(spark: SparkSession, sf_dir: str):
-    made = authority(spark, sf_dir)
-    found = X.extract(filings(spark, sf_dir)).where("kind = 'full_case'")
+    """Looked-up citations, the authority tables and the filings, all made of one table of citations."""
+    cites = written(injected(spark, sf_dir), "cites")
+    made = authority(spark, sf_dir, cites)
+    texts = written(filings(spark, sf_dir, cites.select("doc_id", "cite_no", "cite")), "filings")
+    found = X.extract(texts).where("kind = 'full_case'")
     with_court = found.join(X.court_table(spark), "court", "left")
     # Candidates, searches and summaries all read the lookups: they are computed once.
-    return written(validation.lookup(with_court, made.cluster_citations), "looked"), made
+    return written(validation.lookup(with_court, made.cluster_citations), "looked"), made, texts
 
 
 @query
 def lookup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    looked, _ = _looked_up(spark, sf_dir)
+    looked, _, _ = _looked_up(spark, sf_dir)
     return looked.groupBy("lookup", F.col("status").cast("long").alias("status"), F.size("clusters").cast("long").alias("n_clusters"), V.guard(F.size("clusters")).alias("selection")).agg(F.count("*").alias("n"))
 
 
 def _assessed(spark: SparkSession, sf_dir: str):
-    looked, made = _looked_up(spark, sf_dir)
-    return looked, made, verdict.assessed_candidates(looked, filings(spark, sf_dir), made, RuleJudge())
+    looked, made, texts = _looked_up(spark, sf_dir)
+    return looked, made, verdict.assessed_candidates(looked, texts, made, RuleJudge())
 
 
 @query
@@ -236,7 +237,7 @@ def field_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    looked, made = _looked_up(spark, sf_dir)
+    looked, made, _ = _looked_up(spark, sf_dir)
     return validation.search(looked, made.clusters, made.dockets).select("doc_id", "start", "source", F.col("candidate").cast("long").alias("candidate"), "found_id", "verdict")
 
 
@@ -299,7 +300,7 @@ def step_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    looked, made = _looked_up(spark, sf_dir)
+    looked, made, _ = _looked_up(spark, sf_dir)
     searched, totals, terms = verdict.judged_searches(looked, made, RuleJudge())
     return validation.search_nodes(looked, searched, totals, terms).groupBy("node_type", "status", "outcome").agg(F.count("*").alias("n"), F.sum(F.size("depends_on")).alias("n_parents"))
 
@@ -327,7 +328,7 @@ def step_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pinpoint_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    looked, made = _looked_up(spark, sf_dir)
+    looked, made, _ = _looked_up(spark, sf_dir)
     return recovery.reporter_pages(looked, made.opinions).select("doc_id", "start", "page_text")
 
 
@@ -352,7 +353,7 @@ def recovered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def searched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    looked, made = _looked_up(spark, sf_dir)
+    looked, made, _ = _looked_up(spark, sf_dir)
     odd = F.regexp_extract("cluster_id", "c([0-9]+)-", 1).cast("long") % 2 == 1
     named = made.clusters.withColumn("case_name", F.when(odd, F.replace("case_name", F.lit(" v. "), F.lit(" et al. v. "))).otherwise(F.col("case_name")))
     done = recovery.assessed_search(validation.search(looked, named, made.dockets), RuleJudge())
@@ -399,8 +400,9 @@ def validated_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompts_asked_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many case names differ from the retrieved ones, how many of these questions are distinct, and how many answers are
     kept after the same names have been judged twice."""
-    _, made = _looked_up(spark, sf_dir)
-    pairs = injected(spark, sf_dir).select(F.col("cite_no"), F.col("w_plaintiff").alias("plaintiff"), "defendant", "year")
+    rows = written(injected(spark, sf_dir), "cites")
+    made = authority(spark, sf_dir, rows)
+    pairs = rows.select(F.col("cite_no"), F.col("w_plaintiff").alias("plaintiff"), "defendant", "year")
     named = pairs.join(made.dockets.select(F.regexp_extract("docket_id", "[0-9]+", 0).cast("long").alias("cite_no"), F.col("case_name").alias("retrieved_name")), "cite_no")
     checked = written(named.withColumn("name_check", V.case_name_check(T.case_name(F.col("plaintiff"), F.col("defendant")), F.col("retrieved_name"))), "checked")
     answers = Answers(f"{shared_dir(spark)}/docketry-answers-{uuid.uuid4().hex}")
@@ -509,15 +511,11 @@ def grounded_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("p_partkey", F.col("g.start").cast("long").alias("start"), F.col("g.end").cast("long").alias("end"), "g.method")
 
 
-def _occurrences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    texts = filings(spark, sf_dir)
-    return X.ARMS["layout_tolerant"](texts), X.ARMS["production"](texts)
-
-
 @query
 def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected, observed = _occurrences(spark, sf_dir)
-    return scoring.scores(scoring.claims(expected, observed))
+    both = written(X.extract_arms(filings(spark, sf_dir), ("layout_tolerant", "production")), "arms")
+    of = lambda arm: X.occurrences(both.where(F.col("arm") == arm))
+    return scoring.scores(scoring.claims(of("layout_tolerant"), of("production")))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

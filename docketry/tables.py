@@ -30,9 +30,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back."""
+    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.  The folder goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docketry-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(schema).parquet(path)
