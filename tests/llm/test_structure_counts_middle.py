@@ -240,3 +240,14 @@ def test_fill_in_middle_by_sql(spark, odd, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = con.sql(fim.OP13_SQL)
     assert got.columns == want.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_kinds_of_characters_are_the_librarys(library):
+    """Of every assigned block and what lies between them; libraries differ in their version of Unicode."""
+    from docketry.llm import bpe
+
+    kinds, cut = bpe.kinds(), library.pre_tokenizer.pre_tokenize_str
+    rng = random.Random(1)
+    for c in [0x558, 0x58B, 0x88F, 0x1C89, 0x323B0, 0x3FC3D, 0x85, 0xA0, 0x27, *rng.sample(range(0xD800), 3_000), *rng.sample(range(0xE000, 0x110000), 3_000)]:
+        joins = [len(cut(x + chr(c))) == 1 for x in "a1%"]
+        assert kinds[c] == (joins.index(True) if any(joins) else bpe.BLANK), hex(c)
