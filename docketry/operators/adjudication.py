@@ -5,7 +5,7 @@ What a judge says counts only where it stands in the window it was shown.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,3 +100,12 @@ def recovered_occurrences(filings: DataFrame, judge: Judge, tolerant: bool = Fal
     )
     both = X.occurrences(found).withColumn("arm_order", F.lit(0)).unionByName(extra.withColumn("arm_order", F.lit(1)))
     return X.first_of_span(both.withColumnRenamed("document", "doc_id")).withColumnRenamed("doc_id", "document").drop("arm_order")
+
+
+def recovery_arms(judge: Judge) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """All arms of the extraction study: those of :data:`docketry.operators.extraction.ARMS`, and the two that a judge adds to."""
+    return {
+        **X.ARMS,
+        "production_recovery": lambda f: recovered_occurrences(f, judge),
+        "layout_tolerant_recovery": lambda f: recovered_occurrences(f, judge, tolerant=True),
+    }

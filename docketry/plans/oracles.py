@@ -120,6 +120,9 @@ ORACLES: dict[str, str] = {
     "extraction_arms": _INJ + """
         SELECT 'baseline' AS arm, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM placed WHERE damage NOT IN (1, 2)
         UNION ALL SELECT 'production', count(*), count(DISTINCT doc_id) FROM found UNION ALL SELECT 'layout_tolerant', count(*), count(DISTINCT doc_id) FROM placed""",
+    "recovery_arms": _INJ + """
+        SELECT arm, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM placed, (VALUES ('baseline'), ('production'), ('layout_tolerant'), ('production_recovery'), ('layout_tolerant_recovery')) a(arm)
+        WHERE arm NOT IN ('baseline', 'production') OR damage <> 2 AND (arm <> 'baseline' OR damage <> 1) GROUP BY arm""",
     "arms_first_of_span": _INJ + "SELECT CASE damage WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::INT AS arm_order, count(*) AS n FROM placed GROUP BY ALL",
     "antecedents": _INJ + """
         SELECT doc_id, CASE WHEN cite_no % 3 = 0 THEN 'id' ELSE 'short_case' END AS kind, count(*) AS n, count(*) AS n_resolved, sum(page::BIGINT)::BIGINT AS pages FROM found WHERE cite_no % 3 < 2 GROUP BY ALL""",

@@ -434,6 +434,17 @@ def recovered_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("document").alias("doc_id"), "start", "end", "volume", "reporter", "page")
 
 
+@query
+def recovery_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every arm of the extraction study finds, those with a judge included."""
+    texts = written(filings(spark, sf_dir), "filings")
+    found = [arm(texts).select(F.lit(name).alias("arm"), "document", "identity") for name, arm in adjudication.recovery_arms(RuleJudge()).items()]
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    return every.groupBy("arm").agg(F.count("*").alias("n"), F.countDistinct("document").alias("n_documents"))
+
+
 def _docket_text(court: str) -> Column:
     n = F.col("cite_no")
     return F.concat(F.lit("In Civil Action No. 1:"), F.lpad((n % 90 + 10).cast("string"), 2, "0"), F.lit("-cv-"), F.lpad((n % 90000 + 10000).cast("string"), 5, "0"), F.lit(" ("), court, F.lit(" 2001), filed."))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,6 +25,13 @@ def read_text(spark: SparkSession, path: str, tolerant: bool = False) -> DataFra
     return from_column(files, tolerant=tolerant)
 
 
+def filings_of(spark: SparkSession, source: str | Path, tolerant: bool = False) -> DataFrame:
+    """Filings of one source: a ``str`` is a text itself (doc_id ``text``), a ``Path`` a file or folder of ``.txt`` files."""
+    if isinstance(source, Path):
+        return read_text(spark, str(source), tolerant)
+    return from_column(spark.createDataFrame([("text", source)], "doc_id string, text string"), tolerant=tolerant)
+
+
 def read_converted(spark: SparkSession, path: str) -> DataFrame:
     """Filings of PDF, office, HTML and Markdown files, by a converter that has to be installed (``docling``)."""
     import importlib
