@@ -21,15 +21,26 @@ def claims(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
     def claim(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("start", kind="stable")
-        free = list(f.loc[f["side"] == 1, ["start", "end", "courts"]].itertuples(index=False))
-        out = []
+        found = list(f.loc[f["side"] == 1, ["start", "end", "courts"]].itertuples(index=False))
+        name, identity = f["document"].iloc[0], f["identity"].iloc[0]
+        # A sweep: what has begun and may still be claimed is ``live``; what ends before one that is expected is over for all later ones.
+        out, claimed, live, begun = [], set(), [], 0
         for a, b, courts in f.loc[f["side"] == 0, ["start", "end", "courts"]].itertuples(index=False):
-            meets = lambda x: x[2] is None and courts is None or x[2] is not None and courts is not None and not set(x[2]).isdisjoint(courts)  # noqa: B023, E731
-            hit = next((x for x in free if a < x[1] and x[0] < b and meets(x)), None)
-            if hit is not None:
-                free = [x for x in free if x is not hit]
-            out.append((f["document"].iloc[0], f["identity"].iloc[0], a, None if hit is None else hit[0]))
-        out += [(f["document"].iloc[0], f["identity"].iloc[0], None, x[0]) for x in free]
+            while begun < len(found) and found[begun][0] < b:
+                live.append(begun)
+                begun += 1
+            hit, rest = None, []
+            for i in live:
+                start, end, own = found[i]
+                meets = own is None and courts is None or own is not None and courts is not None and not set(own).isdisjoint(courts)
+                if hit is None and a < end and start < b and meets:
+                    hit = i
+                elif a < end:
+                    rest.append(i)
+            live = rest
+            claimed.add(hit)
+            out.append((name, identity, a, None if hit is None else found[hit][0]))
+        out += [(name, identity, None, x[0]) for i, x in enumerate(found) if i not in claimed]
         return pd.DataFrame(out, columns=["document", "identity", "expected_start", "observed_start"]).astype({"expected_start": "Int64", "observed_start": "Int64"})
 
     # Most identities are found once in a document on either side at most: they need no order, and no Python.

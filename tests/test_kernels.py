@@ -114,6 +114,29 @@ def test_claims_are_made_once_and_in_order(spark):
     assert (nothing["precision"], nothing["recall"], nothing["f1"]) == (0.0, 0.0, 0.0)
 
 
+def test_claims_of_one_identity_equal_the_plain_way_and_take_linear_time(spark):
+    import random
+    import time
+
+    rng = random.Random(5)
+    schema = "document long, identity string, start int, end int, courts array<string>"
+    made = lambda n: [(d, "x", a := rng.randint(0, 60), a + rng.randint(1, 9), rng.choice([None, ["p"], ["p", "q"], ["q"]])) for d in range(40) for _ in range(n)]
+    expected, observed = made(6), made(7)
+    want = []
+    for d in range(40):
+        free = sorted((r for r in observed if r[0] == d), key=lambda r: r[2])
+        for e in sorted((r for r in expected if r[0] == d), key=lambda r: r[2]):
+            hit = next((o for o in free if e[2] < o[3] and o[2] < e[3] and (o[4] is None and e[4] is None or o[4] is not None and e[4] is not None and set(o[4]) & set(e[4]))), None)
+            free = [o for o in free if o is not hit]
+            want.append((d, e[2], hit and hit[2]))
+        want += [(d, None, o[2]) for o in free]
+    got = scoring.claims(spark.createDataFrame(expected, schema), spark.createDataFrame(observed, schema)).collect()
+    assert sorted(((r["document"], r["expected_start"], r["observed_start"]) for r in got), key=str) == sorted(want, key=str)
+    many = spark.createDataFrame([(1, "x", 10 * i, 10 * i + 5) for i in range(50_000)], "document long, identity string, start int, end int")
+    began = time.monotonic()
+    assert scoring.scores(scoring.claims(many, many)).first()["tp"] == 50_000 and time.monotonic() - began < 60
+
+
 def test_greedy_choice_of_longest(spark):
     rows = [(1, 0, 5), (1, 3, 12), (1, 11, 14), (2, 0, 1)]
     out = X.greedy_longest(spark.createDataFrame(rows, "doc_id long, start int, end int")).collect()
