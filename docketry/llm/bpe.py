@@ -12,8 +12,9 @@ ids, but each word costs it some 200 microseconds, and corpora hold too many dis
 that (see the README for figures), so :func:`encode` folds in Arrow batches.  Either way encoding is
 one narrow stage without a shuffle.
 
-Null text counts as empty: no tokens, digests of the empty string.  Repeated rows are encoded each
-for itself; an empty table gives an empty result; other columns than doc_id and text are not read.
+Null text counts as empty: no tokens, digests of the empty string.  A null doc_id stays null.  Repeated rows are encoded
+each for itself, very long texts whole; an empty table gives an empty result; other columns than doc_id and text are
+not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ with monotonic constraints on chosen features, then flattened into numpy node ar
 batch level by level.  A document is kept unless a base rule fails it or the trees reject it.
 
 Null text counts as empty; an empty text has no words and fails the base rule.  Rows are judged one
-by one, so repeated ids or ties change nothing; extra columns are carried by :func:`keep`.  With no
-usable labels (empty table, or one class only) the trees hold no split and reject nothing.
+by one, so repeated or null ids and ties change nothing; very long texts are counted whole; extra columns are carried
+by :func:`keep`.  With no usable labels (empty table, or one class only) the trees hold no split and reject nothing.
 """
 
 from __future__ import annotations
