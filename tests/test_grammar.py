@@ -217,3 +217,14 @@ def test_equal_ids_of_two_documents_stay_apart(spark):
     rows = [(1, "x:a", []), (1, "x:b", ["x:a"]), (2, "x:b", []), (2, "x:c", ["x:b"]), (2, "x:d", ["x:c"])]
     up = validation.ancestors(spark.createDataFrame(rows, "doc_id long, node_id string, depends_on array<string>"))
     assert sorted(map(tuple, up.collect())) == [(1, "x:b", "x:a", 1), (2, "x:c", "x:b", 1), (2, "x:d", "x:b", 2), (2, "x:d", "x:c", 1)]
+
+
+@pytest.mark.parametrize("tolerant", [False, True])
+@pytest.mark.parametrize("text", ["call +1 (258) 555-4892 La. 71 more", "4771431686562174 Or. 66", "see 13 Or. 71.23.45.67 there", "12 La. 4771431686562174", "221 Del. 4063 4152 7601 9474", "4063 4152 7601 9474 La. 71", "132 Stat. 71.23.45.67"])
+def test_parts_of_other_numbers_are_no_locators(text, tolerant):
+    assert grammar.cite_spans(text, tolerant) == []
+
+
+@pytest.mark.parametrize("text", ["5 La. 71", "1999 WL 12345678", "21 Or. 71.", "17 C.F.R. § 240.10b-5", "9999 La. 71"])
+def test_whole_numbers_are_locators(text):
+    assert [c["matched_text"].rstrip(".") for c in grammar.cite_spans(text)] == [text.rstrip(".")]
