@@ -228,3 +228,9 @@ def test_parts_of_other_numbers_are_no_locators(text, tolerant):
 @pytest.mark.parametrize("text", ["5 La. 71", "1999 WL 12345678", "21 Or. 71.", "17 C.F.R. § 240.10b-5", "9999 La. 71"])
 def test_whole_numbers_are_locators(text):
     assert [c["matched_text"].rstrip(".") for c in grammar.cite_spans(text)] == [text.rstrip(".")]
+
+
+@pytest.mark.parametrize("text", ["528\nF.3d", "382 N.E. 2d", "528 F. 3d; see Roe"])
+@pytest.mark.parametrize("tolerant", [False, True])
+def test_a_series_is_no_page_of_the_shorter_reporter(text, tolerant):
+    assert grammar.cite_spans(text, tolerant) == []
