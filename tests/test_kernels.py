@@ -188,3 +188,19 @@ def test_search_finds_names_that_hold_both_parties(spark):
     dockets = spark.createDataFrame([("9", "ca2", "BROWN v. BOARD OF EDUCATION")], "docket_id string, court_id string, case_name string")
     got = validation.search(asked, clusters, dockets).collect()
     assert sorted((r["citation_id"], r["source"], r["found_id"], r["verdict"]) for r in got) == [("a", "opinion", "1", "mismatch"), ("a", "recap", "9", "possible_match")]
+
+
+def test_quotes_of_a_small_file_are_read_by_all_cores(spark):
+    from docketry.plans.queries import QUERIES
+
+    for name in ("located_candidates", "grounded_quotes"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+def test_a_worker_hands_back_its_rows_in_parts():
+    import pandas as pd
+
+    from docketry.functions.batches import ROWS, parts
+
+    sizes = [len(p[0]) for p in parts([(pd.Series(range(2 * ROWS + 1)), pd.Series(range(2 * ROWS + 1)))])]
+    assert sizes == [ROWS, ROWS, 1]
