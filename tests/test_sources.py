@@ -63,3 +63,18 @@ def test_arms_with_a_judge_find_what_is_damaged(spark):
     assert got == {"baseline": ["113"], "production": ["113"], "layout_tolerant": ["113", "8"], "production_recovery": ["113", "8"], "layout_tolerant_recovery": ["113", "8"]}
     both = extraction.extract_arms(filings, ("baseline", "layout_tolerant"))
     assert sorted((r["arm"], r["page"]) for r in both.collect()) == [("baseline", "113"), ("layout_tolerant", "113"), ("layout_tolerant", "8")]
+
+
+def test_all_arms_in_one_pass_equal_each_arm_alone(spark, monkeypatch):
+    texts = ["See Roe v. Doe, 410 U.S. 113 (1973). Cf. 7 F.2d\n8 (1999).", "Roe v. Doe, 410  U.S. 113 (1973); see Coe v. Moe, 7\nF.2d\n8 (9th Cir. 1999); 12 U.S.C. § 3", "+1 (988) 555-2485 La. 4984250489669609", "", None]
+    filings = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    key = lambda r: (r["document"], r["start"], r["end"], r["identity"])
+    alone = sorted((name, *key(r)) for name, arm in adjudication.recovery_arms(RuleJudge()).items() for r in arm(filings).collect())
+    together = adjudication.all_arms(filings, RuleJudge())
+    assert sorted((r["arm"], *key(r)) for r in together.collect()) == alone
+    assert len({a for a, *_ in alone}) == 5
+    # Texts are read by Python once for the five arms, and each arm's own reading is no more than a row of its answer.
+    read = []
+    monkeypatch.setattr(extraction.F, "arrow_udf", lambda f, t, make=extraction.F.arrow_udf: read.append(f.__qualname__) or make(f, t))
+    adjudication.all_arms(filings, RuleJudge())
+    assert [q for q in read if "arms_and_suspects" in q or "_spans" in q or "suspected" in q] == ["arms_and_suspects.<locals>.run"]
