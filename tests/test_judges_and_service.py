@@ -180,3 +180,22 @@ def test_pages_of_an_opinion_are_read_together(spark):
     opinions = spark.createDataFrame([("o2", "c", "lead", html), ("o1", "c", "dissent", "no"), ("o9", "none", "dissent", html)], "opinion_id string, cluster_id string, opinion_type string, html string")
     got = {r["citation_id"]: r["page_text"] for r in recovery.reporter_pages(looked, opinions).collect()}
     assert got == {"a": "*5 five x more", "b": "*6 six &", "c": None, "d": None}
+
+
+def test_a_window_goes_out_once_for_gate_and_list_with_the_same_answers(spark, tmp_path):
+    class Moody:
+        """A gate that fails for some windows and shuts for others, lists that are not valid for some."""
+
+        def __call__(self, task, prompt):
+            text = prompt["window"]
+            if task == "gate":
+                return "no json" if "fails" in text else json.dumps({"has_citation": "shut" not in text})
+            return "no json" if "bad" in text else json.dumps({"citations": [text]})
+
+    texts = ["open", "shut", "gate fails", "bad", "shut, bad", "gate fails, bad"]
+    windows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, start int, window string")
+    once = frontier._listed(windows, Moody(), None)
+    assert once._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
+    told = lambda df: sorted((r["doc_id"], r["__said"]["answer"]) for r in df.collect())
+    want = [(0, '{"citations": ["open"]}'), (2, '{"citations": ["gate fails"]}'), (3, None), (5, None)]
+    assert told(once) == told(frontier._listed(windows, Moody(), judge.Answers(str(tmp_path / "answers")))) == want
